@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, sharding, simhash, urlfilter
+from . import fingerprint, langid, mixing, packing, quality, sharding, simhash, urlfilter
 from .common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "source", "lang", "doc_score", "host_posterior", "path_posterior", F.col("quality_score").alias("score"), "keep")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"), with_spans=False).drop("spans")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -54,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op4_packing, op5_simhash, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing)}
+    return {q.__name__: q for q in (op1_quality_classifier, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing)}
 
 
 #: Rules as the contract lists them: (verdict, host, path).
