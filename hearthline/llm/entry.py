@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, packing, quality, sharding, simhash, urlfilter
+from . import fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
 from .common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "source", "lang", "doc_score", "host_posterior", "path_posterior", F.col("quality_score").alias("score"), "keep")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(_read(spark, sf_dir, "embeddings"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_classifier, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing)}
+    return {q.__name__: q for q in (op1_quality_classifier, op2_exact_topk, op3_lm_scoring, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing)}
 
 
 #: Rules as the contract lists them: (verdict, host, path).
@@ -86,6 +94,18 @@ SELECT page_id, host, path, rule,
 FROM cut LEFT JOIN best USING (page_id)
 """
 
+_OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _OP7}
+    return {"op2_exact_topk": _OP2, "op7_url_filter": _OP7}
