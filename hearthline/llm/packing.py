@@ -2,8 +2,8 @@
 
 A document of n tokens is cut into pieces of the context length and of the
 distinct powers of two that make up the rest, longest first. Each piece is a
-sequence of its own, and sequences of equal length form one bucket with
-consecutive sequence ids. So no sequence crosses documents and none is padded.
+sequence of its own, and sequences of equal length form one bucket, written
+together. So no sequence crosses documents and none is padded.
 
 Tokens: white-space words are tokenized once each and kept in a bounded cache,
 since the tokenizer's pre-tokens never cross white space; words beyond the
@@ -103,7 +103,7 @@ def piece_lengths(n: int, context: int) -> list[int]:
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, context: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket; with_ids adds the ids.
 
-    The pieces are a written table in the shared folder; sequence ids number them by falling length.
+    The pieces are a table in the shared folder, its files split by length: each bucket's sequences have one length.
     """
     if context & (context - 1):
         raise ValueError("context must be a power of two")
@@ -128,8 +128,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, context: int = 4096,
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names[: len(kinds)])
 
     cut = docs.select(F.col("doc_id").cast("long"), text_or_empty(docs).alias("text")).mapInArrow(pieces, schema)
-    table = materialize(cut, "pieces")
-    # Equal lengths lie side by side; rows alike in all three columns are alike altogether.
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("start")]
-    filed = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    return filed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
+    table = materialize(cut.withColumn("bucket", F.log2("length").cast("int")), "pieces", "bucket")
+    # The written files don't change, so every read numbers their rows alike.
+    return table.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -31,6 +31,8 @@ from .common import as_bytes, materialize, text_or_empty
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
 SAMPLE_ROWS = 20_000
+#: Columns that classify() adds; columns of these names are replaced.
+TAKEN = ("doc_score", "host_posterior", "path_posterior", "quality_score", "keep")
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 N_FEATURES = 9 + len(_MARKS)
 
@@ -120,30 +122,30 @@ def _odds(p: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """docs with doc_score, host_posterior, path_posterior, quality_score and keep."""
-    taken = ("doc_score", "host_posterior", "path_posterior", "quality_score", "keep", "_host", "_path")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in taken))
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in TAKEN))
     good = _evidence(fit_classifier(docs, labels))
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     scored = docs.withColumns({"_host": key(host), "_path": key(path)}).withColumn("doc_score", good(text_or_empty(docs)))
 
-    paths = materialize(scored.groupBy("_host", "_path").agg(F.sum("doc_score").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    total = paths.agg((F.sum("s") / F.sum("n")).alias("m")).first()["m"]
+    paths = materialize(scored.groupBy("_host", "_path").agg(F.sum("doc_score").alias("_s"), F.count("*").alias("_n")), "paths")
+    hosts = paths.groupBy("_host").agg(F.sum("_s").alias("_hs"), F.sum("_n").alias("_hn"))
+    total = paths.agg((F.sum("_s") / F.sum("_n")).alias("m")).first()["m"]
     mean = F.lit(float(total if total is not None else 1.0))
-    host_k = float(hosts.agg(_strength(F.col("hs") / F.col("hn"), mean, F.col("hn")).alias("k")).first()["k"])
-    both = paths.join(hosts, "_host").withColumn("h", (F.col("hs") + host_k * mean) / (F.col("hn") + host_k))
-    path_k = float(both.agg(_strength(F.col("s") / F.col("n"), F.col("h"), F.col("n")).alias("k")).first()["k"])
-    sites = materialize(both.select("_host", "_path", "s", "n", "hs", "hn"), "sites")  # its size on disk decides how it is joined
+    host_k = float(hosts.agg(_strength(F.col("_hs") / F.col("_hn"), mean, F.col("_hn")).alias("k")).first()["k"])
+    both = paths.join(hosts, "_host").withColumn("_h", (F.col("_hs") + host_k * mean) / (F.col("_hn") + host_k))
+    path_k = float(both.agg(_strength(F.col("_s") / F.col("_n"), F.col("_h"), F.col("_n")).alias("k")).first()["k"])
+    sites = materialize(both.select("_host", "_path", "_s", "_n", "_hs", "_hn"), "sites")  # its size on disk decides how it is joined
 
     own = F.col("doc_score")
     out = scored.join(sites, ["_host", "_path"])
-    out = out.withColumn("host_posterior", (F.col("hs") - own + host_k * mean) / (F.col("hn") - 1 + host_k))
-    out = out.withColumn("path_posterior", (F.col("s") - own + path_k * F.col("host_posterior")) / (F.col("n") - 1 + path_k))
+    out = out.withColumn("host_posterior", (F.col("_hs") - own + host_k * mean) / (F.col("_hn") - 1 + host_k))
+    out = out.withColumn("path_posterior", (F.col("_s") - own + path_k * F.col("host_posterior")) / (F.col("_n") - 1 + path_k))
     out = out.withColumn("quality_score", 1 / (1 + F.exp(-(_odds(own) + _odds(F.col("path_posterior")) - _odds(mean)))))
-    return out.withColumn("keep", F.col("quality_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns), *taken[:5])
+    return out.withColumn("keep", F.col("quality_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns), *TAKEN)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that classify() keeps, with the columns of docs."""
-    judged = classify(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))), labels, **options)
-    return judged.where("keep").select("_row.*")
+    aside = {c: f"_in_{c}" for c in docs.columns if c in TAKEN}
+    judged = classify(docs.withColumnsRenamed(aside), labels, **options)
+    return judged.where("keep").select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
