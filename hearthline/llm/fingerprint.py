@@ -8,7 +8,8 @@ canonical bytes in it are compared (their least against their greatest, so
 copies meet map-side); in a bucket that holds different bytes the fingerprint
 is extended by the SHA-256 of the canonical bytes.
 
-Defined results: null text is empty; a null doc_id is the smallest; rows that
+Defined results: null text is empty; a null doc_id is the smallest, and a
+doc_id of -2^63 counts as null; rows that
 share a doc_id have the same next document, the next larger doc_id's, and of
 several rows there the smallest; an empty table gives an empty result.
 """
@@ -51,35 +52,35 @@ def _successors(ids: DataFrame) -> DataFrame:
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """k (doc_id, null the smallest), doc_id, text, n_chars, fp (the wide hash) and sha (of the canonical bytes)."""
+    """k (doc_id, null as the smallest long), text and fp (the wide hash). No more columns: all uses share one exchange."""
     text = text_or_empty(docs)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").cast("long"), text.alias("text"))
-    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "canon": canonical(F.col("text"))})
-    return rows.select("k", "doc_id", "text", "n_chars", wide_hash(F.col("canon")).alias("fp"), F.sha2("canon", 256).alias("sha"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), text.alias("text"))
+    return rows.withColumn("canon", canonical(F.col("text"))).select("k", "text", wide_hash(F.col("canon")).alias("fp"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited (text), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, copies.
+    """Per row: doc_id, n_chars, edited (text), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last n_chars // 2 code points replaced by the first as many of the next document.
     """
     rows = fingerprint_rows(docs)
-    narrow = materialize(rows.select("k", "n_chars", "fp"), "digests")
+    narrow = materialize(rows.select("k", F.length("text").alias("n_chars"), "fp"), "digests")
     copies = narrow.groupBy("fp").agg(F.count("*").alias("copies"))
     ids = narrow.join(copies, "fp").groupBy("k").agg(F.max(F.floor(F.col("n_chars") / 2)).alias("half"), F.max("copies").alias("most"))
     after = materialize(_successors(ids), "successors")
 
     # Each document sends the document before it what its edit takes, and no more.
-    before = after.select(F.col("next_k").alias("k"), F.col("k").alias("prev_k"), F.col("half").alias("prev_half"), "next_k")
-    before = before.join(after.select(F.col("k").alias("next_k"), "most"), "next_k").drop("next_k")
+    before = after.select(F.col("next_k").alias("k"), F.col("k").alias("prev_k"), F.col("half").alias("prev_half"))
+    before = materialize(before.join(after.select("k", "most"), "k"), "predecessors")
     placed = rows.join(before, "k")
     sent = placed.select("prev_k", F.struct(F.substring("text", F.lit(1), F.col("prev_half").cast("int")).alias("head"), F.col("fp").alias("next_fp")).alias("s"))
     sent = sent.groupBy("prev_k").agg(F.min("s").alias("s")).select(F.col("prev_k").alias("k"), "s.head", "s.next_fp")
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("head", F.lit(1), half))
-    out = rows.join(sent, "k").withColumn("edited", edited).withColumn("edited_canon", canonical(F.col("edited")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("head", F.lit(1), half))
+    out = placed.join(sent, "k").withColumn("edited", edited).withColumn("edited_canon", canonical(F.col("edited")))
     out = out.select(
-        "doc_id", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "fp", "sha", "next_fp",
+        F.when(F.col("k") != -(1 << 63), F.col("k")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "edited", F.sha2("edited", 256).alias("edited_sha256"),
+        "fp", F.when(F.col("most") > 1, F.sha2(canonical(F.col("text")), 256)).alias("sha"), "next_fp",
         wide_hash(F.col("edited_canon")).alias("edited_fp"), F.sha2("edited_canon", 256).alias("edited_sha"),
     )
 
