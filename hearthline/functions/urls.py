@@ -16,6 +16,11 @@ NEGATIVE = (
 )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), the value computed once: large nested expressions would outgrow generated code."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def part(url: Column, n: int) -> Column:
     """1 scheme, 2 network location, 3 path, 4 query; empty if absent."""
     return F.regexp_extract(url, _PARTS, n)
@@ -37,11 +42,15 @@ def _is_tracking(key: Column) -> Column:
 def clean_url(url: Column) -> Column:
     """Without tracking parameters and fragment; escaped slashes undone."""
     u = F.replace(url, F.lit("\\/"), F.lit("/"))
-    kept = F.filter(query_pairs(part(u, 4)), lambda p: ~_is_tracking(p["k"]))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    scheme, host = part(u, 1), part(u, 2)
-    head = F.concat(F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""), F.when((host != "") | F.startswith(u, F.concat(scheme, F.lit("://"))), F.concat(F.lit("//"), host)).otherwise(""))
-    return F.concat(head, part(u, 3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    parts = F.struct(part(u, 1).alias("scheme"), part(u, 2).alias("host"), part(u, 3).alias("path"), part(u, 4).alias("query"))
+
+    def joined(p: Column) -> Column:
+        kept = F.filter(query_pairs(p["query"]), lambda q: ~_is_tracking(q["k"]))
+        query = F.array_join(F.transform(kept, lambda q: F.concat(q["k"], F.lit("="), q["v"])), "&")
+        head = F.concat(F.when(p["scheme"] != "", F.concat(F.lower(p["scheme"]), F.lit(":"))).otherwise(""), F.when(p["host"] != "", F.concat(F.lit("//"), p["host"])).otherwise(""))
+        return F.concat(head, p["path"], F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+    return F.when(url.isNotNull(), _let(parts, joined))
 
 
 def clean_if_tracked(url: Column) -> Column:
@@ -57,16 +66,20 @@ def origin(url: Column) -> Column:
 
 def absolute(base: Column, href: Column) -> Column:
     """href seen from base, for the forms that pages use: absolute, //host, /path, ?query, #fragment and relative paths."""
-    folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
-    rest = F.regexp_replace(href, r"^\./", "")
-    return (
-        F.when(href.isNull() | (href == ""), None)
-        .when(part(href, 1) != "", href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.lower(part(base, 1)), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin(base), href))
-        .when(href.rlike(r"^[?#]"), F.concat(origin(base), part(base, 3), F.when(F.startswith(href, F.lit("#")) & (part(base, 4) != ""), F.concat(F.lit("?"), part(base, 4))).otherwise(""), href))
-        .otherwise(F.concat(origin(base), F.when(folder == "", "/").otherwise(folder), rest))
-    )
+    parts = F.struct(F.lower(part(base, 1)).alias("scheme"), origin(base).alias("origin"), part(base, 3).alias("path"), part(base, 4).alias("query"), part(href, 1).alias("own"), href.alias("href"))
+
+    def seen(p: Column) -> Column:
+        folder = F.regexp_replace(p["path"], "[^/]*$", "")
+        query = F.when(F.startswith(p["href"], F.lit("#")) & (p["query"] != ""), F.concat(F.lit("?"), p["query"])).otherwise("")
+        return (
+            F.when(p["own"] != "", p["href"])
+            .when(F.startswith(p["href"], F.lit("//")), F.concat(p["scheme"], F.lit(":"), p["href"]))
+            .when(F.startswith(p["href"], F.lit("/")), F.concat(p["origin"], p["href"]))
+            .when(p["href"].rlike("^[?#]"), F.concat(p["origin"], p["path"], query, p["href"]))
+            .otherwise(F.concat(p["origin"], F.when(folder == "", "/").otherwise(folder), F.regexp_replace(p["href"], r"^\./", "")))
+        )
+
+    return F.when(href.isNotNull() & (href != ""), _let(parts, seen))
 
 
 def listing_id(url: Column, name: str = "finnkode", digits: int = 6) -> Column:
