@@ -135,6 +135,13 @@ def component_label(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(label, r"(?U)\s*[\-–—]+\s*\d+$", "")), F.lit(""))
 
 
+def _points(cleaned: Column) -> Column:
+    """What a reason is worth by itself, when it stands in for a trigger's own."""
+    low = texts.fold_case(cleaned)
+    has = lambda w: F.contains(low, F.lit(w))
+    return F.lit(1) + texts.has_any(low, IMPORTANT_REASONS).cast("int") * 2 + (has("fall") & has("sluk")).cast("int") * 2 + has("bom").cast("int") + has("mangler").cast("int")
+
+
 def prepare(segments: DataFrame) -> DataFrame:
     """segments with level, boundary flags, the number of the group each line belongs to, and per-line facts."""
     text = F.trim(F.coalesce("text", F.lit("")))
@@ -143,31 +150,31 @@ def prepare(segments: DataFrame) -> DataFrame:
     out = out.withColumn("boundary", (F.col("text") == "") | F.col("level").isNotNull() | summary | is_section_break(F.col("text")))
     w = Window.partitionBy("doc_id").orderBy("pos")
     out = out.withColumn("grp", F.sum(F.col("boundary").cast("int")).over(w))
-    facts = {"label": component_label(F.col("text")), "cleaned": clean_reason(F.col("text"))}
-    out = out.withColumns(facts)
+    low = texts.fold_case(F.col("text"))
+    facts = {
+        "label": component_label(F.col("text")), "cleaned": clean_reason(F.col("text")), "hit": texts.has_any(low, IMPORTANT_REASONS),
+        "soft": texts.has_any(low, COSMETIC) | texts.has_any(low, NEGATIVE), "aside": F.contains(low, F.lit(SUMMARY_WORD)) | F.startswith(low, F.lit("er det")),
+    }
+    out = out.withColumns(facts).withColumn("points", _points(F.col("cleaned")))
     return out.withColumns({"label_component": find_component(F.coalesce("label", F.lit(""))), "own_component": find_component(F.col("cleaned"))})
 
 
 def _earlier(lines: DataFrame) -> DataFrame:
     """lines with the lines before, nearest first, as structs; a boundary that isn't blank ends what a search may use."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-BACK_REASON, -1)
-    one = F.struct("text", "source", "boundary", "cleaned", "own_component", "label_component")
+    one = F.struct("text", "source", "boundary", "cleaned", "own_component", "label_component", "hit", "soft", "aside", "points")
     return lines.withColumn("before", F.reverse(F.collect_list(one).over(w)))
 
 
-def _fallback(before: Column, component: Column) -> Column:
+def _fallback(before: Column, component: Column, important: Column) -> Column:
     """(score, reason, source, original, match): the best of the lines before a trigger."""
     none = F.struct(F.lit(-1).alias("score"), F.lit("").alias("reason"), F.lit("").alias("source"), F.lit("").alias("original"), F.lit("").alias("match"), F.lit(False).alias("done"))
 
     def step(s: Column, p: Column) -> Column:
         stop = p["boundary"] & (p["text"] != "")
-        low, text = texts.fold_case(p["cleaned"]), texts.fold_case(p["text"])
-        usable = (p["text"] != "") & ~stop & ~F.contains(text, F.lit(SUMMARY_WORD)) & ~F.startswith(text, F.lit("er det")) & (p["cleaned"] != "") & is_relevant(p["text"], component)
+        usable = (p["text"] != "") & ~stop & ~p["aside"] & (p["cleaned"] != "") & (p["hit"] | (important & ~p["soft"]))
         same = F.coalesce(p["own_component"] == component, F.lit(False))
-        points = (
-            F.lit(1) + texts.has_any(low, IMPORTANT_REASONS).cast("int") * 2 + (F.contains(low, F.lit("fall")) & F.contains(low, F.lit("sluk"))).cast("int") * 2
-            + F.contains(low, F.lit("bom")).cast("int") + F.contains(low, F.lit("mangler")).cast("int") + F.when(same, 2).when(p["own_component"].isNotNull(), 1).otherwise(0)
-        )
+        points = p["points"] + F.when(same, 2).when(p["own_component"].isNotNull(), 1).otherwise(0)
         better = usable & ((points > s["score"]) | ((points == s["score"]) & (F.length(p["cleaned"]) > F.length(s["reason"]))))
         new = F.struct(points.alias("score"), p["cleaned"].alias("reason"), p["source"].alias("source"), p["text"].alias("original"), F.coalesce(p["own_component"], F.lit("")).alias("match"), (same & (points >= 5)).alias("done"))
         ended = F.struct(*(s[n].alias(n) for n in ("score", "reason", "source", "original", "match")), F.lit(True).alias("done"))
@@ -210,7 +217,8 @@ def candidates(segments: DataFrame) -> DataFrame:
     later = F.try_element_at(F.filter(F.transform("f", lambda x: x["label_component"]), lambda c: c.isNotNull()), F.lit(1))
     t = t.withColumn("component", F.coalesce("whole", "inline_label", later, near, "first_label", F.lit(UNKNOWN)))
     t = t.where(~texts.has_any(texts.fold_case(F.col("original")), DEFINITIONS)).withColumn("reason", clean_reason(F.col("original")))
-    t = t.withColumn("ok", (F.col("reason") != "") & is_relevant(F.col("original"), F.col("component"))).withColumn("fb", _fallback(F.col("before"), F.col("component")))
+    t = t.withColumn("ok", (F.col("reason") != "") & is_relevant(F.col("original"), F.col("component"))).withColumn("important", texts.has_any(texts.fold_case(F.col("component")), IMPORTANT_COMPONENTS))
+    t = t.withColumn("fb", _fallback(F.col("before"), F.col("component"), F.col("important")))
     t = t.where(F.col("ok") | (F.col("fb.score") >= 0))
     swap = ~F.col("ok") & (F.col("component") == UNKNOWN) & (F.col("fb.match") != "")
     plain = t.select("doc_id", F.col("pos").alias("at"), F.lit(0).cast("long").alias("sub"), "level", F.when(swap, F.col("fb.match")).otherwise(F.col("component")).alias("component"), F.when(F.col("ok"), F.col("reason")).otherwise(F.col("fb.reason")).alias("reason"), F.when(F.col("ok") | (F.col("fb.source") == ""), F.col("source")).otherwise(F.col("fb.source")).alias("source"))
