@@ -11,6 +11,11 @@ _EDGES = r" .,:;–—\-"
 _BULLET = r"^[\-*•⁃∙●]+\s*"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once: nested expressions that name it often would multiply."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
@@ -60,19 +65,22 @@ def sentences(text: Column) -> Column:
 
 
 def capital(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+    return let(text, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))
 
 
 def ellipsis(text: Column, most: int) -> Column:
-    cut = F.regexp_replace(F.substring(text, 1, most - 3), r"[,;:\- ]+$", "")
-    return F.when(F.length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
+    cut = lambda t: F.concat(F.regexp_replace(F.substring(t, 1, most - 3), r"[,;:\- ]+$", ""), F.lit("..."))
+    return let(text, lambda t: F.when(F.length(t) > most, cut(t)).otherwise(t))
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(text, F.lit(w))
-    return hit
+    def hit(t: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(t, F.lit(w))
+        return out
+
+    return let(text, hit)
 
 
 def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:

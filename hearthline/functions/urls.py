@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .texts import let
+
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 # Words that make a link likely or unlikely to be a sales prospectus, and the points they give.
 STRONG = ("salgsoppgave", "komplett salgsoppgave", "prospekt", "salgsprospekt", "salgspresentasjon", "for utskrift", "utskrift", "digitalformat", "last ned pdf", "se pdf")
@@ -16,11 +18,6 @@ NEGATIVE = (
 )
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), the value computed once: large nested expressions would outgrow generated code."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def part(url: Column, n: int) -> Column:
     """1 scheme, 2 network location, 3 path, 4 query; empty if absent."""
     return F.regexp_extract(url, _PARTS, n)
@@ -50,7 +47,7 @@ def clean_url(url: Column) -> Column:
         head = F.concat(F.when(p["scheme"] != "", F.concat(F.lower(p["scheme"]), F.lit(":"))).otherwise(""), F.when(p["host"] != "", F.concat(F.lit("//"), p["host"])).otherwise(""))
         return F.concat(head, p["path"], F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
-    return F.when(url.isNotNull(), _let(parts, joined))
+    return F.when(url.isNotNull(), let(parts, joined))
 
 
 def clean_if_tracked(url: Column) -> Column:
@@ -79,7 +76,7 @@ def absolute(base: Column, href: Column) -> Column:
             .otherwise(F.concat(p["origin"], F.when(folder == "", "/").otherwise(folder), F.regexp_replace(p["href"], r"^\./", "")))
         )
 
-    return F.when(href.isNotNull() & (href != ""), _let(parts, seen))
+    return F.when(href.isNotNull() & (href != ""), let(parts, seen))
 
 
 def listing_id(url: Column, name: str = "finnkode", digits: int = 6) -> Column:

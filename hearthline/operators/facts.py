@@ -79,7 +79,8 @@ def _first(pairs: Column, fits, value) -> Column:
 def rooms(pairs: Column, text: Column) -> Column:
     """Rooms by whole words of a label, all rooms before bedrooms; else a number after the word in the text."""
     number = lambda v: F.nullif(F.regexp_extract(v, r"(\d+)", 1), F.lit("")).cast("int")
-    found = [_first(pairs, lambda a, w=w: F.contains(_words(a["label"]), F.lit(f" {w} ")), number) for w in ("rom", "antall rom", "soverom", "antall soverom")]
+    named = lambda w: lambda a: F.contains(_words(a["label"]), F.lit(f" {w} "))
+    found = [_first(pairs, named(w), number) for w in ("rom", "antall rom", "soverom", "antall soverom")]
     return F.coalesce(*found, F.nullif(F.regexp_extract(text, r"(?iU)(?:soverom|rom)\D{0,10}(\d+)", 1), F.lit("")).cast("int"))
 
 
@@ -87,7 +88,8 @@ def area(pairs: Column, text: Column) -> Column:
     """Usable area before primary rooms before any area, from the labels; else from the text; else its first area."""
     kinds = (("bruksareal", "bra"), ("primærrom", "p-rom", "prom", "p rom"), ("boligareal", "areal"))
     read = lambda v: F.nullif(numbers.area(v), F.lit(0.0))
-    labelled = [_first(pairs, lambda a, w=w: F.contains(F.lower(F.trim(a["label"])), F.lit(w)), read) for words in kinds for w in words]
+    named = lambda w: lambda a: F.contains(F.lower(F.trim(a["label"])), F.lit(w))
+    labelled = [_first(pairs, named(w), read) for words in kinds for w in words]
     near = [numbers.decimal(F.nullif(F.regexp_extract(text, rf"(?iU){w}[^0-9]{{0,40}}(\d+(?:[.,]\d+)?)\s*(?:m²|m2|m\^2|kvm)", 1), F.lit("")), None) for words in kinds for w in words]
     return F.coalesce(*labelled, *near, numbers.area(text))
 

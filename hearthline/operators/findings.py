@@ -84,12 +84,15 @@ def is_section_break(text: Column) -> Column:
 
 def find_component(text: Column) -> Column:
     """The component whose word comes first in the text, or null."""
-    plain = F.lower(texts.strip_marks(F.lower(text)))
-    places = []
-    for order, (name, prefixes) in enumerate(COMPONENT_PREFIXES):
-        words = "|".join("tak(?![a-z0-9])" if p == "tak" else p for p in prefixes)
-        places.append(F.struct(F.regexp_instr(plain, F.lit(f"(?<![a-z0-9])(?:{words})")).alias("at"), F.lit(order).alias("order"), F.lit(name).alias("name")))
-    return F.array_min(F.filter(F.array(*places), lambda p: p["at"] > 0))["name"]
+
+    def first(plain: Column) -> Column:
+        places = []
+        for order, (name, prefixes) in enumerate(COMPONENT_PREFIXES):
+            words = "|".join("tak(?![a-z0-9])" if p == "tak" else p for p in prefixes)
+            places.append(F.struct(F.regexp_instr(plain, F.lit(f"(?<![a-z0-9])(?:{words})")).alias("at"), F.lit(order).alias("order"), F.lit(name).alias("name")))
+        return F.array_min(F.filter(F.array(*places), lambda p: p["at"] > 0))["name"]
+
+    return texts.let(F.lower(texts.strip_marks(F.lower(text))), first)
 
 
 def clean_reason(text: Column) -> Column:
@@ -98,11 +101,15 @@ def clean_reason(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?iU)^(?:Forhold som har fått|Bygningsdeler med)\s+[^:]{0,150}?Oppsummering\s*[:\-]*\s*", "")
     out = F.regexp_replace(out, r"(?iU)^Oppsummering(?: av)?\s+[^:]{0,120}?[:\-]\s*", "")
     out = texts.trim_edges(F.try_element_at(F.split(out, r"(?iU)\b(?:Tiltak|Konsekvens|Arsak|Anbefaling)\b"), F.lit(1)))
-    out = texts.trim_edges(F.coalesce(F.try_element_at(texts.sentences(out), F.lit(1)), out))
-    out = texts.ellipsis(F.when(out.rlike(r"^\p{L}"), texts.capital(out)).otherwise(out), MOST_REASON)
-    low = texts.fold_case(out)
-    bad = (out == "") | F.startswith(low, F.lit(SUMMARY_WORD)) | F.startswith(low, F.lit("type ")) | texts.has_any(low, SKIP_REASONS)
-    return F.when(bad | out.isNull(), "").when(F.endswith(out, F.lit(".")), out).otherwise(F.concat(out, F.lit(".")))
+    out = texts.let(out, lambda t: texts.trim_edges(F.coalesce(F.try_element_at(texts.sentences(t), F.lit(1)), t)))
+    out = texts.ellipsis(texts.let(out, lambda t: F.when(t.rlike(r"^\p{L}"), texts.capital(t)).otherwise(t)), MOST_REASON)
+
+    def told(t: Column) -> Column:
+        low = texts.fold_case(t)
+        bad = (t == "") | F.startswith(low, F.lit(SUMMARY_WORD)) | F.startswith(low, F.lit("type ")) | texts.has_any(low, SKIP_REASONS)
+        return F.when(bad | t.isNull(), "").when(F.endswith(t, F.lit(".")), t).otherwise(F.concat(t, F.lit(".")))
+
+    return texts.let(out, told)
 
 
 def is_relevant(original: Column, component: Column) -> Column:

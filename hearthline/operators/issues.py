@@ -35,7 +35,7 @@ def normalise(text: Column) -> Column:
     for pattern in (r"\btilstands?grad\s*\d\b[:\-–—\s]*", r"\bTG\s*[-/]*\s*(?:0|1|2|3|iu)\b[:\-–—\s]*", r"\bTG\s*(?:0|1|2|3)\b"):
         out = F.regexp_replace(out, f"(?iU){pattern}", "")
     out = texts.trim_edges(F.regexp_replace(out, r"(?U)\s{2,}", " "))
-    return F.when(F.startswith(out, F.lit("(")) & F.endswith(out, F.lit(")")), F.trim(F.regexp_replace(out, r"^\(|\)$", ""))).otherwise(out)
+    return texts.let(out, lambda t: F.when(F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")), F.trim(F.regexp_replace(t, r"^\(|\)$", ""))).otherwise(t))
 
 
 def _mentions(simple: Column, tokens: Column, terms: tuple[str, ...]) -> Column:
@@ -50,10 +50,13 @@ def _mentions(simple: Column, tokens: Column, terms: tuple[str, ...]) -> Column:
 
 def is_specific(text: Column, components: tuple[str, ...] = COMPONENT_TERMS, issues: tuple[str, ...] = ISSUE_TERMS) -> Column:
     """At least 8 characters, and an issue with either a component or 4 different words."""
-    simple = texts.simplify(text)
-    words = F.array_distinct(texts.tokens(simple))
-    wrong = _mentions(simple, words, issues)
-    return (F.length(simple) >= 8) & wrong & (_mentions(simple, words, components) | (F.size(words) >= 4))
+
+    def judged(p: Column) -> Column:
+        simple, words = p["simple"], p["words"]
+        return (F.length(simple) >= 8) & _mentions(simple, words, issues) & ((F.size(words) >= 4) | _mentions(simple, words, components))
+
+    pair = lambda s: F.struct(s.alias("simple"), F.array_distinct(texts.tokens(s)).alias("words"))
+    return texts.let(texts.let(texts.simplify(text), pair), judged)
 
 
 def blocks(lines: DataFrame) -> DataFrame:
@@ -98,19 +101,27 @@ def watch_outs(lines: DataFrame, exclude: DataFrame, limit: int = 12, **terms) -
 def shorten(text: Column, most_words: int = 24) -> Column:
     """"Component: reason." of an issue: its first sentence (two if under 12 words), at most so many words."""
     cut = r"(?s)^(.*?)[:–—\-](.*)$"
-    split = text.rlike(cut)
-    component = F.when(split, texts.trim_edges(F.regexp_extract(text, cut, 1))).otherwise("")
-    reason = texts.collapse(F.when(split, F.regexp_extract(text, cut, 2)).otherwise(text))
-    reason = F.when(reason == "", F.trim(text)).otherwise(reason)
-    parts = texts.sentences(reason)
-    one, two = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
-    short = F.size(F.split(one, " ")) < 12
-    reason = F.when(one.isNull(), reason).when(short & two.isNotNull(), F.concat(one, F.lit(", "), two)).otherwise(one)
-    words = F.filter(F.transform(F.split(reason, " "), lambda w: F.regexp_replace(w, r"^[.,;:–—\-]+|[.,;:–—\-]+$", "")), lambda w: w != "")
-    clean = F.array_join(F.slice(words, 1, most_words), " ")
-    both = F.when(component == "", clean).when(clean == "", texts.capital(component)).otherwise(F.concat(texts.capital(component), F.lit(": "), texts.capital(clean)))
-    whole = texts.capital(texts.trim_edges(both))
-    return F.when(whole == "", "").otherwise(F.concat(whole, F.lit(".")))
+    clean_word = lambda w: F.regexp_replace(w, r"^[.,;:–—\-]+|[.,;:–—\-]+$", "")
+
+    def halves(t: Column) -> Column:
+        split = t.rlike(cut)
+        reason = texts.collapse(F.when(split, F.regexp_extract(t, cut, 2)).otherwise(t))
+        return F.struct(F.when(split, texts.trim_edges(F.regexp_extract(t, cut, 1))).otherwise("").alias("component"), texts.let(reason, lambda r: F.when(r == "", F.trim(t)).otherwise(r)).alias("reason"))
+
+    def picked(reason: Column) -> Column:
+        def of(parts: Column) -> Column:
+            one, two = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
+            return F.when(one.isNull(), reason).when((F.size(F.split(one, " ")) < 12) & two.isNotNull(), F.concat(one, F.lit(", "), two)).otherwise(one)
+
+        words = F.filter(F.transform(F.split(texts.let(texts.sentences(reason), of), " "), clean_word), lambda w: w != "")
+        return F.array_join(F.slice(words, 1, most_words), " ")
+
+    def joined(p: Column) -> Column:
+        both = lambda c: F.when(p["component"] == "", c).when(c == "", texts.capital(p["component"])).otherwise(F.concat(texts.capital(p["component"]), F.lit(": "), texts.capital(c)))
+        whole = texts.capital(texts.trim_edges(texts.let(picked(p["reason"]), both)))
+        return texts.let(whole, lambda t: F.when(t == "", "").otherwise(F.concat(t, F.lit("."))))
+
+    return texts.let(texts.let(text, halves), joined)
 
 
 def question_subject(text: Column) -> Column:

@@ -114,14 +114,14 @@ def read_page(html: str | None) -> dict:
     return {"rows": rows, "blocks": [t for _, t in sorted(page.blocks)], "pairs": [{"label": k, "value": v, "pos": i} for i, (k, v) in enumerate(pairs.items())], "json": valid}
 
 
-@F.pandas_udf(SCHEMA)
-def _read_pages(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) for h in html], columns=["rows", "blocks", "pairs", "json"])
-
-
 def with_content(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with rows, blocks, pairs (label, value, pos; the first of each label) and json (valid embedded documents)."""
-    return pages.withColumn("_c", _read_pages(F.col(column))).select(*pages.columns, "_c.*")
+
+    @F.pandas_udf(SCHEMA)
+    def read(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_page(h) for h in html], columns=["rows", "blocks", "pairs", "json"])
+
+    return pages.withColumn("_c", read(F.col(column))).select(*pages.columns, "_c.*")
 
 
 def segments(pages: DataFrame, key: str, source: str) -> DataFrame:
