@@ -39,6 +39,21 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name, underscored until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns can't meet them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

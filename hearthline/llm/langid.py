@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks
+from .common import as_bytes, chunks, free_names
 
 BUCKETS = 1 << 16
 #: The first and last code point of scripts' main blocks.
@@ -222,5 +222,6 @@ def identify(docs: DataFrame, held_out: int = 2, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those that are `und` or whose main language covers under `least` of their letters."""
     predict = predictor(fit(docs), with_spans=False)
-    judged = docs.withColumn("_lang", predict(F.col("text").cast("string")))
-    return judged.where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    (name,) = free_names(docs, "_lang")
+    judged = docs.withColumn(name, predict(F.col("text").cast("string")))
+    return judged.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

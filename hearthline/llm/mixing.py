@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, word_count
+from .common import free_names, materialize, text_or_empty, word_count
 
 CHUNK_ROWS = 1000
 FAN_IN = 64
@@ -121,8 +121,10 @@ def plan_copies(docs: DataFrame, *, source: str = "source", weights: tuple[float
 
 def mix(docs: DataFrame, *, source: str = "source", **options) -> DataFrame:
     """The mixed rows: each row of docs as many times as its unit has copies, with the columns of docs."""
-    plan = plan_copies(docs, source=source, **options).where("_copies > 0").select("_id", "_source", "_hash", "_copies")
-    text = text_or_empty(docs)
-    keyed = docs.withColumn("_h", F.xxhash64(text))
-    same: Column = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_hash"))
-    return keyed.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = dict(zip(("_id", "_source", "_hash", "_copies"), free_names(docs, "_id", "_source", "_hash", "_copies"), strict=True))
+    id_, from_, hash_, copies = (F.col(n) for n in names.values())
+    plan = plan_copies(docs, source=source, **options).where("_copies > 0").select(*(F.col(c).alias(n) for c, n in names.items()))
+    h, copy = free_names(docs, "_h", "_copy")
+    keyed = docs.withColumn(h, F.xxhash64(text_or_empty(docs)))
+    same: Column = F.col("doc_id").eqNullSafe(id_) & F.col(source).eqNullSafe(from_) & (F.col(h) == hash_)
+    return keyed.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

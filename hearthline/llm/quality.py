@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, text_or_empty
+from .common import as_bytes, materialize, text_or_empty, whole_row
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
 SAMPLE_ROWS = 20_000
@@ -125,7 +125,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in TAKEN))
     good = _evidence(fit_classifier(docs, labels))
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    scored = docs.withColumns({"_host": key(host), "_path": key(path)}).withColumn("doc_score", good(text_or_empty(docs)))
+    scored = docs.select(whole_row(docs).alias("_row"), key(host).alias("_host"), key(path).alias("_path"), good(text_or_empty(docs)).alias("doc_score"))
 
     paths = materialize(scored.groupBy("_host", "_path").agg(F.sum("doc_score").alias("_s"), F.count("*").alias("_n")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("_s").alias("_hs"), F.sum("_n").alias("_hn"))
@@ -141,7 +141,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     out = out.withColumn("host_posterior", (F.col("_hs") - own + host_k * mean) / (F.col("_hn") - 1 + host_k))
     out = out.withColumn("path_posterior", (F.col("_s") - own + path_k * F.col("host_posterior")) / (F.col("_n") - 1 + path_k))
     out = out.withColumn("quality_score", 1 / (1 + F.exp(-(_odds(own) + _odds(F.col("path_posterior")) - _odds(mean)))))
-    return out.withColumn("keep", F.col("quality_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns), *TAKEN)
+    return out.withColumn("keep", F.col("quality_score") >= threshold).select("_row.*", *TAKEN)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 #: numpy's hypergeometric generator takes populations below this.
 _NUMPY_MOST = 10**9
 
@@ -78,13 +80,13 @@ def shard_rows(df: DataFrame, shards: int = 16, seed: int = 20_240_101, block_ro
 
     block_rows bounds the rows that one task permutes; more rows make more partitions, not larger ones.
     """
-    df = df.drop("shard", "slot", "_p", "_a", "_b", "_c", "_cuts", "_rank", "_before", "_n")
+    df = df.drop("shard", "slot")
     content = [F.col(f"`{c}`") if not k.startswith("map") else F.to_json(F.col(f"`{c}`")) for c, k in df.dtypes]
     key = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *content)
     total = df.count()
     parts = max(64, math.ceil(total / block_rows))
     blocks = max(4, math.ceil(total / shards / block_rows))
-    rows = df.withColumns({"_p": F.pmod(key(0), F.lit(parts)), "_a": key(1), "_b": key(2), "_c": F.pmod(key(3), F.lit(blocks))})
+    rows = df.select(whole_row(df).alias("_row"), F.pmod(key(0), F.lit(parts)).alias("_p"), key(1).alias("_a"), key(2).alias("_b"), F.pmod(key(3), F.lit(blocks)).alias("_c"))
 
     counts = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one number a partition
     held = sorted(counts)
@@ -98,4 +100,4 @@ def shard_rows(df: DataFrame, shards: int = 16, seed: int = 20_240_101, block_ro
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     at = F.row_number().over(Window.partitionBy("shard", "_c").orderBy("_b", "_a")).cast("long") - 1
     placed = sent.withColumn("_rank", at).join(before, ["shard", "_c"]).withColumn("slot", F.col("_before") + F.col("_rank"))
-    return placed.select(*(F.col(f"`{c}`") for c in df.columns), "shard", "slot")
+    return placed.select("_row.*", "shard", "slot")

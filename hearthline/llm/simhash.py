@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, text_or_empty
+from .common import as_bytes, free_names, materialize, text_or_empty
 from .components import connected_components
 
 #: Lists up to this length are paired; longer ones are linked through stars, exactly.
@@ -114,11 +114,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the one of smallest doc_id (null last), then text hash; repeated rows once."""
     rows = components(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    keep = rows.groupBy("root").agg(first.alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    h, id_, th = free_names(docs, "_h", "_id", "_th")
+    keep = rows.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.th").alias(th))
     keep = materialize(keep, "kept")
     text = text_or_empty(docs)
-    keyed = docs.withColumn("_h", F.xxhash64(text))
-    out = keyed.join(keep, (keyed["_h"] == keep["_th"]) & keyed["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
+    keyed = docs.withColumn(h, F.xxhash64(text))
+    out = keyed.join(keep, (keyed[h] == keep[th]) & keyed["doc_id"].cast("long").eqNullSafe(keep[id_]), "left_semi")
     if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_h"])
-    return out.drop("_h")
+        out = out.dropDuplicates(["doc_id", h])
+    return out.drop(h)

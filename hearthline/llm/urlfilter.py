@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: Rules lie in every Python worker; longer lists must be split by the caller.
 MOST_RULES = 100_000
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -130,5 +132,6 @@ def judge_urls(pages: DataFrame, column: str = "url", rules: tuple[Rule, ...] =
             out.append((host, path, best and best.name, (best or other).verdict if best or other else default, len(ids)))
         return pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_candidates"])
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "n_candidates", "_j")]
-    return pages.select(*kept, judged(F.col(column)).alias("_j")).select(*kept, "_j.*")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "n_candidates")]
+    (name,) = free_names(pages, "_judged")
+    return pages.select(*kept, judged(F.col(column)).alias(name)).select(*kept, f"{name}.*")
