@@ -4,10 +4,11 @@ Every document of a source has the same expected number of copies, target over
 source size. Its fractional part is rounded by the pivotal method: two
 fractional documents exchange probability mass, in words, so that their joint
 expected words stay and each keeps its expectation, until one is integral. A
-chunk of about a thousand documents leaves at most one fractional document;
-these residuals meet in a reduction tree of fan-in 64, and the last one of a
-source is rounded at random. So a source's words miss its target by less than
-one document.
+chunk of about a thousand documents leaves at most one fractional document and
+its few smallest ones, which are held back. These residuals meet in a
+reduction tree of fan-in 64. At its root each document, the largest first, is
+paired with all smaller ones together, so a source's words miss its target by
+one small document, or by less than the one document that outweighs all others.
 
 Defined results: null text has size 0; null is a source of its own, the last;
 rows alike in id, source and text are one unit and get the same number of
@@ -28,6 +29,8 @@ from .common import free_names, materialize, text_or_empty, word_count
 
 CHUNK_ROWS = 1000
 FAN_IN = 64
+#: Smallest documents of a group that wait for the root.
+HELD = 15
 _KEY = ["_id", "_source", "_hash", "_size"]
 
 
@@ -69,6 +72,27 @@ def pivot(mass: np.ndarray, prob: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(out)
 
 
+def settle(mass: np.ndarray, prob: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Round prob, given by falling mass, whole: each entry is paired with all after it, which gain or lose in proportion; the last is drawn."""
+    p, draws = prob.astype(float), rng.random(len(prob))
+    for i in np.flatnonzero((p > 0) & (p < 1)):
+        if not 0 < p[i] < 1:
+            continue
+        pool, own = slice(i + 1, None), mass[i]
+        room, held = ((1 - p[pool]) * mass[pool]).sum(), (p[pool] * mass[pool]).sum()
+        gain, loss = min((1 - p[i]) * own, held), min(p[i] * own, room)
+        if gain > 0 and loss > 0:
+            if draws[i] * (gain + loss) < loss:
+                p[i], p[pool] = p[i] + gain / own, p[pool] * (1 - gain / held)
+            else:
+                p[i], p[pool] = p[i] - loss / own, p[pool] + (1 - p[pool]) * (loss / room)
+            p[p < 1e-9] = 0.0
+            p[p > 1 - 1e-9] = 1.0
+        if 0 < p[i] < 1:  # the others can't outweigh it
+            p[i] = float(rng.random() < p[i])
+    return p
+
+
 def _units(docs: DataFrame, source: str) -> DataFrame:
     text = text_or_empty(docs)
     return docs.select(F.col("doc_id").alias("_id"), F.col(source).alias("_source"), F.xxhash64(text).alias("_hash"), word_count(text).alias("_size"))
@@ -79,7 +103,15 @@ def _rounded(df: DataFrame, seed: int, level: int) -> DataFrame:
         # Falling mass: what stays fractional in the end tends to be small.
         pdf = pdf.sort_values(["_mass", "_order", "_hash"], ascending=[False, True, True], kind="stable")
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
-        return pdf.assign(_p=pivot(pdf["_mass"].to_numpy(), pdf["_p"].to_numpy(), rng))
+        mass, p = pdf["_mass"].to_numpy(), pdf["_p"].to_numpy()
+        if pdf["_groups"].iloc[0] == 1:
+            return pdf.assign(_p=settle(mass, p, rng))
+        open_ = np.flatnonzero((p > 0) & (p < 1) & (mass > 0))
+        now = np.ones(len(p), bool)
+        now[open_[max(1, len(open_) - HELD) :]] = False
+        p = p.copy()
+        p[now] = pivot(mass[now], p[now], rng)
+        return pdf.assign(_p=p)
 
     return df.groupBy("_rank", "_group").applyInPandas(one, df.schema)
 
@@ -104,19 +136,26 @@ def plan_copies(docs: DataFrame, *, source: str = "source", weights: tuple[float
     whole = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(F.floor(rate)).cast("long")
     work = units.join(config, F.col("_source").eqNullSafe(F.col("_name"))).select(
         *_KEY, "_rows", "_source_size", "_target", "_rank", whole.alias("_whole"), order.alias("_order"),
-        F.pmod(order, F.col("_chunks")).alias("_chunk"), F.pmod(order, F.col("_chunks")).alias("_group"),
+        F.pmod(order, F.col("_chunks")).alias("_chunk"), F.pmod(order, F.col("_chunks")).alias("_group"), F.col("_chunks").alias("_groups"),
         (F.col("_size") * F.col("_rows")).alias("_mass"), F.greatest(rate - whole, F.lit(0.0)).alias("_p"),
     )
     work = materialize(_rounded(work, seed, 0), "mix-chunks")
-    rest = work.where("_p > 0 and _p < 1").select("_rank", "_group", "_chunk", "_order", "_hash", "_mass", "_p")
-    level, widest = 0, max([1, *(int(r["_chunks"]) for r in table)])
+    open_ = "_p > 0 and _p < 1"
+    rest = work.where(open_).select("_rank", "_group", "_groups", "_chunk", "_order", "_id", "_hash", "_mass", "_p")
+    level, widest, settled = 0, max([1, *(int(r["_chunks"]) for r in table)]), None
     while widest > 1:
         level, widest = level + 1, -(-widest // FAN_IN)
-        rest = materialize(_rounded(rest.withColumn("_group", F.floor(F.col("_group") / FAN_IN)), seed, level), "mix-rest")
-    last = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "_rank"), F.lit(1 << 30)) / float(1 << 30)
-    rest = rest.select("_rank", "_chunk", F.when((F.col("_p") > 0) & (F.col("_p") < 1), (last < F.col("_p")).cast("double")).otherwise(F.col("_p")).alias("_final"))
-    extra = F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.col("_final")).otherwise(F.col("_p"))
-    return work.join(rest, ["_rank", "_chunk"], "left").select(*_KEY, "_rows", "_source_size", "_target", (F.col("_whole") + extra.cast("long")).alias("_copies"))
+        up = rest.withColumns({"_group": F.floor(F.col("_group") / FAN_IN), "_groups": F.ceil(F.col("_groups") / FAN_IN)})
+        done = materialize(_rounded(up, seed, level), "mix-rest")
+        rest, done = done.where(open_), done.where(f"not ({open_})")
+        settled = settled.unionByName(done) if settled is not None else done
+    extra = F.col("_p")
+    if settled is not None:
+        late = settled.select(*(F.col(c).alias(f"{c}_late") for c in ("_rank", "_chunk", "_order", "_hash", "_id", "_p")))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_late")) for c in ("_rank", "_chunk", "_order", "_hash", "_id")]
+        work = work.join(late, same, "left")
+        extra = F.coalesce("_p_late", "_p")
+    return work.select(*_KEY, "_rows", "_source_size", "_target", (F.col("_whole") + extra.cast("long")).alias("_copies"))
 
 
 def mix(docs: DataFrame, *, source: str = "source", **options) -> DataFrame:
