@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,26 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def ranges(sizes: Iterable[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` in size each; a larger row stands alone."""
+    begin = end = total = 0
+    for size in sizes:
+        if total and total + size > most:
+            yield begin, end
+            begin, total = end, 0
+        end, total = end + 1, total + size
+    if begin < end:
+        yield begin, end
+
+
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` bytes of text each; a longer text stands alone."""
-    begin = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > most:
-            yield begin, i
-            begin, total = i, 0
-        total += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+    return ranges(map(len, texts), most)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices of about `most` bytes of text: only a slice is ever turned into Python's objects."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for i, j in ranges(sizes, most):
+            yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, free_names
+from .common import as_bytes, chunks, free_names, ranges, slices
 
 BUCKETS = 1 << 16
 #: The first and last code point of scripts' main blocks.
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, held_out: int = 2) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, 0):
             texts, langs = as_bytes(b.column(0)), np.array(b.column(1).to_pylist(), object)
             for lang in set(langs.tolist()):
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
@@ -175,7 +175,7 @@ def _has_letter(text: bytes) -> bool:
 
 def predictor(model: Model, penalty: float = 8.0, with_spans: bool = True):
     """A pandas UDF: text -> (lang_pred, score, spans). A span: its first word, number of words and language."""
-    group = max(1 << 18, (32 << 20) // max(1, len(model.languages)))
+    group = max(1 << 18, (16 << 20) // max(1, len(model.languages)))
 
     def few(texts: list[bytes]) -> Iterator[tuple]:
         parts, scores = [], []
@@ -202,11 +202,11 @@ def predictor(model: Model, penalty: float = 8.0, with_spans: bool = True):
 
     @F.pandas_udf(_RESULT)
     def predict(text: pd.Series) -> pd.DataFrame:
-        texts = [t.encode() if t else b"" for t in text]
         if not model.languages:
-            rows = [("und", 0.0, [])] * len(texts)
+            rows = [("und", 0.0, [])] * len(text)
         else:
-            rows = [r for i, j in chunks(texts, group) for r in few(texts[i:j])]
+            sizes = (len(t) if t else 0 for t in text)
+            rows = [r for i, j in ranges(sizes, group) for r in few([t.encode() if t else b"" for t in text.iloc[i:j]])]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
     return predict

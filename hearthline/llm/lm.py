@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialize, text_or_empty
+from .common import as_bytes, chunks, materialize, slices, text_or_empty
 
 CLASSES, TOP_WORDS = 128, 96
 #: Words whose counts every Python worker holds; about 120 bytes each.
@@ -51,7 +51,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
-        for b in batches:
+        for b in slices(batches, 0):
             rows = as_bytes(b.column(0))
             held[END] += len(rows)
             for text in rows:
@@ -125,7 +125,7 @@ def count_trigrams(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = vocabulary.classes(), np.zeros(CLASSES**3, np.int64)
-        for b in batches:
+        for b in slices(batches, 0):
             rows = as_bytes(b.column(0))
             for i, j in chunks(rows):
                 _, s, at, _ = _stream(rows[i:j], classes)
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
         is_top = np.append(np.fromiter((w in top for w in head), bool, len(head)), False)
         share = np.log10(vocabulary.class_mass)
         end = log_c[number[END]] if END in number else np.log10(0.5)
-        for b in batches:
+        for b in slices(batches, 2):
             rows, ids, hashes = as_bytes(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in chunks(rows):
                 words, s, at, sizes = _stream(rows[i:j], classes)

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialize, text_or_empty
+from .common import as_bytes, chunks, materialize, slices, text_or_empty
 
 #: Words that one Python worker keeps, about 150 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -111,7 +111,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, context: int = 4096,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(tokenizer_path, end_id)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts, doc_ids = as_bytes(batch.column(1)), batch.column(0).to_pylist()
             for i, j in chunks(texts):
                 ids, sizes = encode(texts[i:j])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, text_or_empty, whole_row
+from .common import as_bytes, materialize, slices, text_or_empty, whole_row
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
 SAMPLE_ROWS = 20_000
@@ -88,7 +88,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", r
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it can be broadcast
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             x = np.array([features(t) for t in as_bytes(b.column(1))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
 

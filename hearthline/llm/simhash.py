@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_names, materialize, text_or_empty
+from .common import as_bytes, free_names, materialize, slices, text_or_empty
 from .components import connected_components
 
 #: Lists up to this length are paired; longer ones are linked through stars, exactly.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, th (a hash of the text, to find the row again) and fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             fp = np.array([fingerprint(t, width, seed) for t in as_bytes(b.column(2))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
