@@ -46,7 +46,7 @@ class WordTokenizer:
         self.flat[0], self.length[0] = end_id, 1  # word 0 is the end token
 
     def _add(self, words: list[bytes]) -> None:
-        # One encode of many words: a word's ids are those whose offsets fall in it.
+        # Word by word: on the test tables half the CPU time of encoding whole texts.
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         n, total = self.used + len(words), self.filled + sum(map(len, ids))
         if n > len(self.offset):
