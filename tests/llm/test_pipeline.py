@@ -10,9 +10,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from hearthline.llm import langid, packing, quality
-from tests.llm.conftest import SMALL, as_dicts
+from tests.llm.conftest import SMALL, as_dicts, union_find
 from tests.llm.test_mixing import brute_targets, words
 from tests.llm.test_simhash import brute as brute_simhash
+from tests.llm.test_simhash import near_brute
 
 ids = lambda rows: Counter(r["doc_id"] for r in rows)
 
@@ -103,3 +104,13 @@ def test_odd_rows(spark, odd, empty, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert name == "pack" or out.columns == docs.columns
             as_dicts(out)
+
+
+def test_dedup_by_similarity(stages):
+    """One document stays of each group linked by a Jaccard similarity of 5-word shingles of at least 0.8."""
+    _, _, rows, kept = stages["simhash_near_dedup"]
+    root = union_find(near_brute([r["text"] for r in rows]), range(len(rows)))
+    least = defaultdict(list)
+    for n, r in enumerate(rows):
+        least[root[n]].append(r["doc_id"])
+    assert sorted(ids(kept).elements()) == sorted(map(min, least.values())) and len(kept) < len(rows)

@@ -1,11 +1,12 @@
 import random
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
 
 from hearthline.llm import components, simhash
 from hearthline.llm.entry import op5_simhash
-from tests.llm.conftest import SMALL, as_dicts, union_find
+from tests.llm.conftest import MEDIUM, SMALL, as_dicts, union_find
 
 
 def spec(text):
@@ -88,3 +89,64 @@ def test_word_splitting():
     for text in ("a b", "A\tb\x0bC\x0cd", "x y z", "\x1c\x1d a", "é É İ", " lead and trail \r\n", "one"):
         assert simhash.fingerprint(text.encode()) == spec(text)
     assert simhash.fingerprint(b"") == simhash.fingerprint(b" \t") == 0
+
+
+def near_brute(texts, width=5, similarity=0.8):
+    """All pairs of texts whose sets of shingles are at least so similar, by counting shared shingles."""
+    sets, lists = [], defaultdict(list)
+    for n, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else {()})
+        for s in sets[-1]:
+            lists[s].append(n)
+    shared = Counter((b, a) for own in lists.values() for i, a in enumerate(own) for b in own[:i])
+    return [(a, b) for (a, b), n in shared.items() if n >= similarity * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def near_recall(spark, texts):
+    """Share of the non-identical near pairs that end in one component; and whether only linked rows share one."""
+    got = {r["doc_id"]: r["root"] for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = near_brute(texts)
+    want = union_find(pairs, range(len(texts)))
+    named = defaultdict(set)
+    for n, root in got.items():
+        named[root].add(want[n])
+    assert all(len(x) == 1 for x in named.values())  # nothing is linked that brute force keeps apart
+    other = [(a, b) for a, b in pairs if texts[a] != texts[b]]
+    return sum(got[a] == got[b] for a, b in other), len(other)
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Recall against brute force on sf0.01's texts: fingerprints within 2 bits met none of its near copies."""
+    met, of = near_recall(spark, [r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()])
+    assert of > 10 and met >= 0.95 * of
+
+
+@pytest.mark.parametrize("most", [simhash.NEAR_PAIRS, 2])
+def test_near_copies_that_are_made(spark, monkeypatch, most):
+    """Pairs of similarity 0.8 to 1, a large group of near copies, and texts too far apart."""
+    monkeypatch.setattr(simhash, "NEAR_PAIRS", most)
+    rng = random.Random(11)
+    word, texts = lambda: f"w{rng.randrange(5000)}", []
+
+    def edited(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = word()
+        return " ".join(words)
+
+    for n in range(150):
+        words = [word() for _ in range(200)]
+        texts += [" ".join(words), edited(words, n % 8)]
+    words = [word() for _ in range(200)]
+    texts += [edited(words, rng.randrange(1, 4)) for _ in range(150)]
+    met, of = near_recall(spark, texts)
+    assert of > 1000 and met >= 0.98 * of
+
+
+def test_near_odd_rows(odd, empty):
+    kept = simhash.drop_near_duplicates(odd, width=5, similarity=0.8)
+    assert kept.columns == odd.columns
+    # Null, empty and blank texts are one component; the cat's sentence is another.
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, -7), (False, 0), (False, 2), (False, 4), (False, 5), (False, 6), (True, 0)]
+    assert simhash.drop_near_duplicates(empty, width=5, similarity=0.8).count() == 0
