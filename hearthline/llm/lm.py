@@ -1,38 +1,53 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Words fall into classes: each of the most frequent words is one, the others
-are classed by their last byte. The model gives the probability of a class
-after the two classes before, from a log-bilinear network over class vectors,
-and a word's share of its class by counts: P(w | h) = P(class | h) *
-(c + 0.5) / sum over the class (with 0.5 for all unseen words of a class).
-
-The corpus is counted whole: words by a shuffled aggregation, class trigrams
-by per-task sums that can't exceed CLASSES ** 3 cells. The network learns from
-these trigram counts on the driver in numpy, by noise-contrastive estimation
-against the class unigrams; it is then normalised over all CLASSES ** 2
-contexts by batched matrix products, so each token's log probability is one
-look-up. Counts of words beyond the most frequent reach their documents by a
-join on the word, which the hot words never enter.
+The number of classes grows with the corpus, as the root of its word types:
+three quarters are the most frequent words, one each, the others share the rest
+of the words by a hash. As context a word is the sum of its class's vector and
+of one that a second hash picks, so that words of one class still differ. The
+model gives the probability of a class after the two words before, and a word's
+share of its class by counts: P(w | h) = P(class | h) * (c + 0.5) / sum over
+the class (with 0.5 for all unseen words of a class).
+
+The corpus is counted whole by a shuffled aggregation, and written once as a
+stream of word codes. The network learns from every token of it in EPOCHS
+passes: each task takes minibatch steps of noise-contrastive estimation through
+all of its part, against the class unigrams, and a pass ends with the tasks'
+parameters averaged by their tokens in a shuffled sum; the driver holds one set
+of parameters. Scores are normalised in the tasks, by batched matrix products
+over the distinct contexts. Counts of words beyond the most frequent reach
+their documents by a join on the word, which the hot words never enter.
 
 Defined results: null text is empty and scores its end token; a null doc_id
 counts as the empty string when folds are dealt; repeated rows are scored
-alike; without training rows base and score are 0 for every text; an empty
-table gives an empty result.
+alike; without training rows base is 0 for every text; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, materialize, slices, text_or_empty
 
-CLASSES, TOP_WORDS = 128, 96
+#: Classes of a small corpus; a larger one has the root of its number of word types.
+LEAST_CLASSES = 128
+#: Passes over all training tokens.
+EPOCHS = 1
+#: Tokens of a minibatch; contexts normalised at once.
+BATCH, CONTEXTS = 4096, 256
+#: Text in one stream of codes.
+STREAM_BYTES = 512 << 10
+#: Word codes that a task keeps at hand.
+HOLD_CODES = 200_000
 #: Words whose counts every Python worker holds; about 120 bytes each.
 HEAD_WORDS = 120_000
 #: Distinct words a counting task holds before it passes them on.
@@ -79,126 +94,210 @@ class Vocabulary:
             kept, least = kept + row["n"], row["e"]
         head = counts.where(edge >= least).collect() if least is not None else []  # at most HEAD_WORDS rows
         self.head = {bytes(r["word"]): r["c"] for r in sorted(head, key=lambda r: (-r["c"], bytes(r["word"])))}
-        top = [w for w in self.head if w != END][: TOP_WORDS - 1]
+        self.size = max(LEAST_CLASSES, math.isqrt(self.types))
+        top = [w for w in self.head if w != END][: self.size * 3 // 4 - 1]
         self.top = {w: i for i, w in enumerate([END, *top])}
-        by_last = {int(r["b"], 16): (r["n"], r["m"]) for r in counts.where(F.length("word") > 0).groupBy(F.hex(F.expr("substring(word, -1, 1)")).alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("m")).collect()}  # at most 256 rows
-        mass = {b: m + 0.5 * n for b, (n, m) in by_last.items()}
-        for w in top:
-            mass[w[-1]] -= self.head[w] + 0.5
-        frequent = sorted(mass, key=lambda b: (-mass[b], b))[: CLASSES - TOP_WORDS - 1]
-        self.last = np.full(256, CLASSES - 1, np.int64)
-        for i, b in enumerate(frequent):
-            self.last[b] = TOP_WORDS + i
-        self.class_mass = np.full(CLASSES, 0.5)
-        for b, m in mass.items():
-            self.class_mass[self.last[b]] += m
-        self.class_mass[:TOP_WORDS] = 1.0
-
-    def classes(self) -> dict[bytes, int]:
-        """Class of any word; words outside the head are classed as they are met."""
-        last = self.last.tolist()
-
-        class Classes(dict):
+        self.shared = self.size - len(self.top)  # classes of the other words
+        held = counts.groupBy((F.crc32("word") % self.shared).cast("int").alias("h")).agg(F.count("*").alias("n"), F.sum("c").alias("m")).collect()  # one row a class
+        self.class_mass = np.full(self.size, 0.5)
+        for r in held:
+            self.class_mass[len(self.top) + r["h"]] += r["m"] + 0.5 * r["n"]
+        for w in self.top:
+            if w in self.head:
+                self.class_mass[len(self.top) + zlib.crc32(w) % self.shared] -= self.head[w] + 0.5
+        self.unigram = self.class_mass.copy()
+        self.unigram[: len(self.top)] = [self.head.get(w, 0) + 0.5 for w in self.top]
+        self.class_mass[: len(self.top)] = 1.0
+
+    def codes(self) -> dict[bytes, int]:
+        """Code of any word: its class, times size, plus its second hash."""
+        size, top, shared, first = self.size, self.top, self.shared, len(self.top)
+
+        class Codes(dict):
             def __missing__(self, word: bytes) -> int:
-                return last[word[-1]]
+                crc = zlib.crc32(word)
+                code = top.get(word, first + crc % shared) * size + crc // shared % size
+                if len(self) >= HOLD_CODES:
+                    self.clear()
+                self[word] = code
+                return code
 
-        return Classes({w: self.top.get(w, last[w[-1]] if w else 0) for w in self.head} | self.top)
+        return Codes()
 
 
-def _stream(texts: list[bytes], classes: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All words; the class stream (two ends, the words, an end, for each text); where its tokens are; tokens of each text."""
+def _stream(texts: list[bytes], codes: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All words; the stream of codes (two ends, the words, an end, for each text); where its tokens are; tokens of each text."""
     split = [t.lower().split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     words = [w for own in split for w in own]
-    stream = np.zeros(len(words) + 3 * len(texts), np.int64)
+    stream = np.full(len(words) + 3 * len(texts), codes[END], np.int64)
     token = np.ones(len(stream), bool)
     begin = np.cumsum(sizes + 3) - (sizes + 3)
     token[begin] = token[begin + 1] = False
     word_at = token.copy()
     word_at[begin + sizes + 2] = False
-    stream[word_at] = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
+    stream[word_at] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     return words, stream, np.flatnonzero(token), sizes + 1
 
 
-def count_trigrams(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of class trigrams: at most CLASSES ** 3 rows whatever the corpus."""
+def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """All texts as streams of codes of bounded length: two -1 before each text, an end after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, total = vocabulary.classes(), np.zeros(CLASSES**3, np.int64)
+        codes = vocabulary.codes()
         for b in slices(batches, 0):
             rows = as_bytes(b.column(0))
-            for i, j in chunks(rows):
-                _, s, at, _ = _stream(rows[i:j], classes)
-                code = (s[at - 2] * CLASSES + s[at - 1]) * CLASSES + s[at]
-                found, n = np.unique(code, return_counts=True)
-                total[found] += n
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 100_000):
-            own = found[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["code", "n"])
+            for i, j in chunks(rows, STREAM_BYTES):
+                _, s, at, _ = _stream(rows[i:j], codes)
+                out = np.full(len(s), -1, np.int32)
+                out[at] = s[at]
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["stream"])
+
+    return texts.mapInArrow(run, "stream binary")
 
-    got = texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = got["code"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(code)
-    return code[order], n[order]
+
+def _sum_rows(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of `at`, and for each the sum of its rows of x."""
+    own, place = np.unique(at, return_inverse=True)
+    width = x[0].size
+    cells = (place[:, None] * width + np.arange(width)).ravel()
+    return own, np.bincount(cells, x.ravel(), len(own) * width).astype(np.float32).reshape(len(own), *x.shape[1:])
 
 
 class LogBilinear:
-    """score(w | u, v) = (R[u] A + R[v] B) . Q[w] + b[w]"""
+    """score(w | u, v) = (r(u) A + r(v) B) . Q[w] + b[w], r(u) = R[class of u] + S[second hash of u]"""
 
-    def __init__(self, size: int = CLASSES, width: int = 32, seed: int = 3):
+    def __init__(self, size: int = LEAST_CLASSES, width: int = 32, seed: int = 3):
         self.rng = np.random.default_rng(seed)
-        normal = lambda *shape: self.rng.normal(0, 0.1, shape)
+        normal = lambda *shape: self.rng.normal(0, 0.1, shape).astype(np.float32)
+        eye = np.eye(width, dtype=np.float32)
         self.size = size
-        self.p = {"R": normal(size, width), "A": np.eye(width) * 0.5 + normal(width, width) * 0.1, "B": np.eye(width) + normal(width, width) * 0.1, "Q": normal(size, width), "b": np.zeros(size)}
+        self.p = {"R": normal(size, width), "S": np.zeros((size, width), np.float32), "A": eye * 0.5 + normal(width, width) * 0.1, "B": eye + normal(width, width) * 0.1, "Q": normal(size, width), "b": np.zeros(size, np.float32)}
+        self.squares = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
+        self.seen = 0
+
+    def noise_from(self, unigram: np.ndarray) -> None:
+        share = unigram / unigram.sum()
+        self.log_noise, self.draw = np.log(share).astype(np.float32), np.cumsum(share)
 
-    def train(self, code: np.ndarray, n: np.ndarray, steps: int = 1500, batch: int = 1024, noise: int = 16, rate: float = 0.02) -> None:
-        """Noise-contrastive estimation with Adam; samples are drawn by the trigrams' counts, noise by class unigrams."""
-        if not len(code):
-            return
-        c, rng, p = self.size, self.rng, self.p
+    def _move(self, name: str, at, grad: np.ndarray, rate: float) -> None:
+        squares = self.squares[name][at] + grad * grad
+        self.squares[name][at] = squares
+        self.p[name][at] -= np.float32(rate) * grad / np.sqrt(squares)
+
+    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: int = 64, rate: float = 0.05) -> None:
+        """One minibatch, by noise-contrastive estimation with noise that the batch shares; u, v are codes, w classes."""
+        p, c = self.p, self.size
+        fake = np.minimum(np.searchsorted(self.draw, self.rng.random(noise)), c - 1)
+        shift, n = np.log(np.float32(noise)) + self.log_noise, np.float32(1 / len(w))
+        ru, rv = (p["R"][x // c] + p["S"][x % c] for x in (u, v))
+        q = p["Q"][w]
+        context = ru @ p["A"] + rv @ p["B"]
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        real = (sigmoid((context * q).sum(axis=1) + p["b"][w] - shift[w]) - 1) * n
+        false = sigmoid(context @ p["Q"][fake].T + p["b"][fake] - shift[fake]) * n
+        back = real[:, None] * q + false @ p["Q"][fake]
+        left, right = back @ p["A"].T, back @ p["B"].T
+        both, rows = np.concatenate([u, v]), np.concatenate([left, right])
+        ends = np.concatenate([w, fake])
+        moves = [("R", *_sum_rows(both // c, rows)), ("S", *_sum_rows(both % c, rows)), ("Q", *_sum_rows(ends, np.concatenate([real[:, None] * context, false.T @ context])))]
+        moves += [("b", *_sum_rows(ends, np.concatenate([real, false.sum(axis=0)]))), ("A", slice(None), ru.T @ back), ("B", slice(None), rv.T @ back)]
+        for name, at, grad in moves:
+            self._move(name, at, grad, rate)
+        self.seen += len(w)
+
+    def train(self, code: np.ndarray, n: np.ndarray, steps: int, batch: int = 1024, noise: int = 64, rate: float = 0.05) -> None:
+        """Steps on trigrams of classes, u * size ** 2 + v * size + w, drawn by their counts."""
+        c = self.size
         unigram = np.bincount(code % c, n, minlength=c) + 1.0
-        unigram /= unigram.sum()
-        p["b"][:] = np.log(unigram)
-        shift = np.log(noise * unigram)
-        pick, draw = np.cumsum(n / n.sum()), np.cumsum(unigram)
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-        rows = np.arange(batch)
-        for step in range(1, steps + 1):
-            at = np.minimum(np.searchsorted(pick, rng.random(batch)), len(code) - 1)
-            u, v, w = code[at] // (c * c), code[at] // c % c, code[at] % c
-            fake = np.minimum(np.searchsorted(draw, rng.random((batch, noise))), c - 1)
-            weight = np.bincount((rows[:, None] * c + fake).ravel(), minlength=batch * c).reshape(batch, c).astype(float)
-            ru, rv = p["R"][u], p["R"][v]
-            context = ru @ p["A"] + rv @ p["B"]
-            real = 1 / (1 + np.exp(-np.clip(context @ p["Q"].T + p["b"] - shift, -30, 30)))
-            slope = weight * real
-            slope[rows, w] -= 1 - real[rows, w]
-            slope /= batch
-            back = slope @ p["Q"]
-            one = np.zeros((batch, c))
-            one[rows, u] = 1
-            grad = {"Q": slope.T @ context, "b": slope.sum(axis=0), "A": ru.T @ back, "B": rv.T @ back, "R": one.T @ (back @ p["A"].T)}
-            one[rows, u] = 0
-            one[rows, v] = 1
-            grad["R"] += one.T @ (back @ p["B"].T)
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grad.items():
-                m, s = moments[k]
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                p[k] -= now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        self.noise_from(unigram)
+        self.p["b"][:] = self.log_noise
+        pick = np.cumsum(n / n.sum())
+        for _ in range(steps):
+            at = np.minimum(np.searchsorted(pick, self.rng.random(batch)), len(code) - 1)
+            self.step(code[at] // (c * c) * c, code[at] // c % c * c, code[at] % c, noise, rate)
+
+    def log_totals(self, context: np.ndarray) -> np.ndarray:
+        """The logarithm of each context's sum over all classes."""
+        z = context @ self.p["Q"].T + self.p["b"]
+        top = z.max(axis=1)
+        z -= top[:, None]
+        return top + np.log(np.exp(z, out=z).sum(axis=1))
 
     def table(self) -> np.ndarray:
-        """log10 P(class | context) of every context: batched matrix products, each row normalised."""
+        """log10 P(class | context) of every context of two classes, second hash 0."""
+        p, c = self.p, self.size
+        r = p["R"] + p["S"][0]
+        context = ((r @ p["A"])[:, None] + (r @ p["B"])[None]).reshape(c * c, -1)
+        return (context @ p["Q"].T + p["b"] - self.log_totals(context)[:, None]) / np.log(10)
+
+    def scorer(self):
+        """log10 P(class of w | u, v) of codes."""
         p, c = self.p, self.size
-        left, right = p["R"] @ p["A"], p["R"] @ p["B"]
-        out = np.empty((c, c, c), np.float32)
-        for u in range(c):
-            z = (left[u] + right) @ p["Q"].T + p["b"]
-            z -= z.max(axis=1, keepdims=True)
-            out[u] = (z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / np.log(10)
-        return out.reshape(c * c, c)
+        r = {k: (p["R"] @ p[k], p["S"] @ p[k]) for k in "AB"}
+
+        def score(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+            pair, at = np.unique(u * (c * c) + v, return_inverse=True)
+            order, out = np.argsort(at, kind="stable"), np.empty(len(w))
+            cut = np.searchsorted(at[order], np.arange(0, len(pair) + CONTEXTS, CONTEXTS))
+            for n, i in enumerate(range(0, len(pair), CONTEXTS)):
+                x, y = np.divmod(pair[i : i + CONTEXTS], c * c)
+                context = r["A"][0][x // c] + r["A"][1][x % c] + r["B"][0][y // c] + r["B"][1][y % c]
+                own = order[cut[n] : cut[n + 1]]
+                target, place = w[own] // c, at[own] - i
+                out[own] = (context[place] * p["Q"][target]).sum(axis=1) + p["b"][target] - self.log_totals(context)[place]
+            return out / np.log(10)
+
+        return score
+
+
+def train_model(texts: DataFrame, vocabulary: Vocabulary, epochs: int = EPOCHS) -> LogBilinear:
+    """Passes over every token of the texts; the tasks' parameters are averaged, weighted by tokens, after each."""
+    model = LogBilinear(vocabulary.size)
+    model.noise_from(vocabulary.unigram)
+    model.p["b"][:] = model.log_noise
+    if not vocabulary.tokens:
+        return model
+    streams, block, c = materialize(encode(texts, vocabulary), "lm-streams"), 1 << 14, vocabulary.size
+    names, vocabulary_end = list(model.p), vocabulary.codes()[END]
+    flat = lambda m: np.concatenate([x[k].ravel() for x in (m.p, m.squares) for k in names])
+    total = 0
+    for epoch in range(epochs):
+
+        def run(batches: Iterator[pa.RecordBatch], model=model, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            model.rng, model.seen, end = np.random.default_rng([epoch, TaskContext.get().partitionId()]), 0, vocabulary_end
+            for b in slices(batches, 0):
+                for raw in b.column(0):
+                    s = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
+                    at = model.rng.permutation(np.flatnonzero(s >= 0))
+                    s[s < 0] = end
+                    for i in range(0, len(at), BATCH):
+                        own = at[i : i + BATCH]
+                        model.step(s[own - 2], s[own - 1], s[own] // c, rate=0.05 / (1 + epoch))
+            if model.seen:
+                x = flat(model)
+                for n, i in enumerate(range(0, len(x), block)):
+                    part = (x[i : i + block].astype(float) * model.seen).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([model.seen], pa.int64()), pa.array([part], pa.binary())], ["block", "n", "x"])
+
+        def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            n, x = rows["n"].sum(), 0.0
+            for raw in rows["x"]:
+                x = x + np.frombuffer(raw)
+            return pd.DataFrame({"block": [key[0]], "n": [n], "x": [x.tobytes()]})
+
+        parts = sorted(streams.mapInArrow(run, "block int, n bigint, x binary").groupBy("block").applyInPandas(add, "block int, n bigint, x binary").collect())  # one set of parameters
+        x = np.concatenate([np.frombuffer(r["x"]) / r["n"] for r in parts]).astype(np.float32)
+        for held in (model.p, model.squares):
+            for k in names:
+                held[k], x = x[: held[k].size].reshape(held[k].shape), x[held[k].size :]
+        for k in names:
+            model.p[k], model.squares[k] = model.p[k].copy(), model.squares[k].copy()
+        total += parts[0]["n"]
+    model.seen = total
+    return model
 
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
@@ -211,14 +310,10 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     train = docs.where(~held_out(fold)).select(text.alias("text"))
     counts = materialize(count_words(train), "word-counts")
     vocabulary = Vocabulary(counts)
-    model = LogBilinear()
-    model.train(*count_trigrams(train, vocabulary))
-    params = model.p
+    model = train_model(train, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogBilinear()
-        own.p = params
-        table, classes, top, head = own.table(), vocabulary.classes(), vocabulary.top, vocabulary.head
+        score, codes, top, head = model.scorer(), vocabulary.codes(), vocabulary.top, vocabulary.head
         number = {w: i for i, w in enumerate(head)}
         log_c = np.append(np.log10(np.fromiter(head.values(), float, len(head)) + 0.5), 0.0)
         is_top = np.append(np.fromiter((w in top for w in head), bool, len(head)), False)
@@ -227,9 +322,9 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
         for b in slices(batches, 2):
             rows, ids, hashes = as_bytes(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in chunks(rows):
-                words, s, at, sizes = _stream(rows[i:j], classes)
+                words, s, at, sizes = _stream(rows[i:j], codes)
                 stop = np.cumsum(sizes)
-                logp = table[s[at - 2] * CLASSES + s[at - 1], s[at]].astype(float) - share[s[at]]
+                logp = score(s[at - 2], s[at - 1], s[at]) - share[s[at] // vocabulary.size]
                 lm = np.add.reduceat(logp, stop - sizes)
                 which = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
                 doc = np.repeat(np.arange(j - i), sizes - 1)

@@ -79,3 +79,24 @@ def test_no_training_row(spark):
     fold = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     (row,) = as_dicts(lm.score_documents(spark.createDataFrame([(fold, "a b")], "doc_id long, text string")))
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("rows", [40, 160])
+def test_every_token_is_learnt_from(spark, small, small_rows, rows):
+    """Each pass sees every training token, however many there are."""
+    texts = spark.createDataFrame([(r["text"],) for r in small_rows[:rows]], "text string")
+    model = lm.train_model(texts, lm.Vocabulary(lm.count_words(texts)), epochs=2)
+    assert model.seen == 2 * sum(len(tokens(r["text"])) for r in small_rows[:rows])
+
+
+def test_classes_grow_and_words_of_a_class_differ(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_CLASSES", 8)
+    sizes = []
+    for n in (400, 6400):
+        texts = spark.createDataFrame([(f"w{i}x and w{i}x but",) for i in range(n)], "text string")
+        sizes.append(lm.Vocabulary(lm.count_words(texts)).size)
+    assert sizes == [20, 80]
+    # Equally frequent words of one last byte, the first followed by "red", the other by "blue".
+    rows = [(n, f"{a} {b} {a} {b}") for n, (a, b) in enumerate([("oneq", "red"), ("twoq", "blue")] * 400)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame([*rows, (10_001, "oneq red"), (10_002, "twoq red")], "doc_id long, text string")).collect()}
+    assert got[10_001] > got[10_002] + 0.1
