@@ -63,9 +63,13 @@ LIST = (
 #: Paths and hosts that hold no prose, each with its literal tokens.
 PATTERNS = (
     pattern_rule("block", r"/wp-(?:admin|login)\b", ("wp",)),
-    pattern_rule("block", r"/(?:cart|checkout)(?:/|$)", ()),
+    pattern_rule("block", r"/cart(?:/|$)", ("cart",)),
+    pattern_rule("block", r"/checkout(?:/|$)", ("checkout",)),
     pattern_rule("block", r"/calendar/\d{4}/\d{1,2}\b", ("calendar",)),
-    pattern_rule("block", r"^(?:ads?|adserver|doubleclick)\.", ()),
+    pattern_rule("block", r"^ad\.", ("ad",)),
+    pattern_rule("block", r"^ads\.", ("ads",)),
+    pattern_rule("block", r"^adserver\.", ("adserver",)),
+    pattern_rule("block", r"^doubleclick\.", ("doubleclick",)),
     pattern_rule("block", r"\bcasino\b", ("casino",)),
     pattern_rule("block", r"\bporn\b", ("porn",)),
 )

@@ -61,3 +61,10 @@ def test_rule_goes_under_its_rarest_token():
     rules = (urlfilter.list_rule("block", "common.rare", "/"), urlfilter.pattern_rule("block", "x", ()))
     index, loose = urlfilter.build_index(rules, {"common": 9, "rare": 1})
     assert index == {"rare": [0]} and loose == [1]
+
+
+def test_every_rule_is_fetched_by_a_token(spark):
+    assert urlfilter.build_index((*urlfilter.LIST, *urlfilter.PATTERNS), {})[1] == []
+    urls = ["http://a.org/cart", "http://a.org/x/checkout/", "http://ad.a.org/", "http://ADS.a.org/", "http://adserver.a.org/", "http://doubleclick.a.org/x"]
+    rows = as_dicts(urlfilter.judge_urls(spark.createDataFrame([(u,) for u in [*urls, "http://plain.org/x"]], "url string")))
+    assert {r["url"]: (r["verdict"], r["n_candidates"]) for r in rows} == {u: ("block", 1) for u in urls} | {"http://plain.org/x": ("allow", 0)}
