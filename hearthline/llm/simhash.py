@@ -1,19 +1,22 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint has eight positional bytes. Fingerprints within d = 2 bits share
-at least 6 of them: the count that a pair must reach. Posting lists of single
-bytes hold N/256 fingerprints each and their tallies grow with the square of
-N, so a list is kept here for each four positional bytes out of two of the
-four byte pairs (six lists a fingerprint): 6 shared bytes always contain such
-a quad, and a list holds N/2^32. Pairs that meet in a list get their shared
-positional bytes tallied, those with fewer than 6 go, the rest are verified by
-Hamming distance. Equal fingerprints are one entry.
-
-In a list of more than LIST_PAIRS fingerprints pairs would grow with its
-square. There, each fingerprint is entered under itself and its 32 one-bit
-neighbours outside the quad; fingerprints within 2 bits share such an entry,
-and those that share one are within 2 bits, so a star over each entry links
-exactly what the pairs would.
+A fingerprint has eight positional bytes; fingerprints within 2 bits share at
+least 6 of them, the count that a pair must reach. The index has a posting list
+for each (position, byte). Each fingerprint orders its eight lists from rare to
+common: a pair that shares 6 of 8 shares at least 4 of its 6 rarest, so the two
+commonest are never read, and the lists are read as intersections of four
+(15 a fingerprint, N/2^32 entries each where bytes are even; a single list
+holds N/256 and its pairs grow with the square of N). The positions in which a
+pair meets are tallied over all intersections, completed by the positions of
+the common lists, and pairs below 6 go; the rest are verified by Hamming
+distance. Equal fingerprints are one entry.
+
+In an intersection of more than LIST_PAIRS fingerprints pairs would grow with
+its square. There, each fingerprint is entered under itself and its 32 one-bit
+neighbours outside the four bytes; fingerprints within 2 bits share such an
+entry, and those that share one are within 2 bits, so a star over each entry
+links exactly what the pairs would. This holds for 2 bits only, so links()
+takes no other distance.
 
 Defined results: null text is empty; no word gives fingerprint zero, linked
 like any other; repeated rows share a component; a null doc_id is no
@@ -43,6 +46,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, free_names, materialize, slices, text_or_empty
 from .components import connected_components
 
+#: Rarest of the eight lists that a fingerprint is looked up in, and how many of them are intersected: 6 of 8 leave 4 of any 6.
+KEPT, LISTS = 6, 4
+#: For each mask of positions, the bits of their bytes, as a signed long.
+_COVER = [int.from_bytes(bytes(255 * (m >> i & 1) for i in range(8)), "little", signed=True) for m in range(256)]
 #: Lists up to this length are paired; longer ones are linked through stars, exactly.
 LIST_PAIRS = 64
 _SLICE = 1 << 18
@@ -88,30 +95,59 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
-    """The tally: how many of the eight positional bytes are equal."""
+    """How many of the eight positional bytes are equal."""
+    return F.bit_count(_equal_positions(a, b))
+
+
+def _equal_positions(a: Column, b: Column) -> Column:
     differ = a.bitwiseXOR(b)
-    return sum((F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
+    return sum(F.when(F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0, 1 << i).otherwise(0) for i in range(8))
+
+
+def _byte(i: int) -> Column:
+    return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)).cast("int")
+
+
+def postings(distinct: DataFrame) -> DataFrame:
+    """fp under each intersection (list) of four of its six rarest (position, byte) lists.
+
+    list holds the four positions, as a mask, above the four bytes, each in its own position.
+    """
+    flat = distinct.select(F.explode(F.array(*(F.lit(256 * i) + _byte(i) for i in range(8)))).alias("token"))
+    sizes = [0] * 2048
+    for r in flat.groupBy("token").count().collect():  # eight positions of 256 bytes
+        sizes[r["token"]] = r["count"]
+    size_of = F.lit(sizes)
+    ranked = F.array_sort(F.array(*(F.struct(F.element_at(size_of, F.lit(256 * i + 1) + _byte(i)).alias("n"), F.lit(i).alias("i"), F.lit(1 << i).alias("bit")) for i in range(8))))
+    rare = distinct.select("fp", F.transform(F.slice(ranked, 1, KEPT), lambda t: t["bit"]).alias("rare"))
+    masks = F.array(*(sum(F.get("rare", F.lit(i)) for i in four) for four in combinations(range(KEPT), LISTS)))
+    return rare.select("fp", F.explode(masks).alias("mask")).select("fp", "mask", F.get(F.lit(_COVER), F.col("mask")).bitwiseAND(F.col("fp")).alias("bytes"))
+
+
+def candidate_pairs(lists: DataFrame) -> DataFrame:
+    """u < v that meet in these lists, with the tally of their equal positions."""
+    one = lists.select("mask", "bytes", F.col("fp").alias("u"))
+    met = one.join(lists.select("mask", "bytes", F.col("fp").alias("v")), ["mask", "bytes"]).where("u < v")
+    met = met.groupBy("u", "v").agg(F.bit_or("mask").alias("met"))
+    return met.select("u", "v", F.bit_count(F.col("met").bitwiseOR(_equal_positions(F.col("u"), F.col("v")))).alias("tally"))
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges (u, v) that connect exactly the fingerprints within `distance` (2) bits."""
-    field = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    quads = list(combinations(range(4), 2))
-    lists = F.explode(F.array(*(F.struct(F.lit(n).alias("quad"), (F.shiftleft(field(i), 16) + field(j)).alias("bytes")) for n, (i, j) in enumerate(quads))))
-    postings = distinct.select("fp", lists.alias("k")).select("k.quad", "k.bytes", "fp")
-    long_ = postings.groupBy("quad", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    postings = materialize(postings.join(long_, ["quad", "bytes"]), "postings")
-
-    short = postings.where(F.col("n") <= LIST_PAIRS)
-    pairs = short.select("quad", "bytes", F.col("fp").alias("u")).join(short.select("quad", "bytes", F.col("fp").alias("v")), ["quad", "bytes"]).where("u < v")
-    pairs = pairs.where(shared_bytes(F.col("u"), F.col("v")) >= 8 - distance).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).select("u", "v")
+    """Edges (u, v) that connect exactly the fingerprints within 2 bits."""
+    if distance != 2:
+        raise ValueError("the index is complete and its stars exact for a distance of 2 only")
+    lists = postings(distinct)
+    long_ = lists.groupBy("mask", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    lists = materialize(lists.join(long_, ["mask", "bytes"]), "postings")
+
+    pairs = candidate_pairs(lists.where(F.col("n") <= LIST_PAIRS)).where(F.col("tally") >= 8 - distance)
+    pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).select("u", "v")
 
     bit = lambda b: 1 << b if b < 63 else -(1 << 63)
-    free = [[16 * f + b for f in range(4) if f not in quad for b in range(16)] for quad in quads]
-    flips = F.element_at(F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(bit(b)).cast("long") for b in bits)) for bits in free)), F.col("quad") + 1)
-    entries = postings.where(F.col("n") > LIST_PAIRS).select("quad", "fp", F.explode(flips).alias("flip")).select("quad", F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"), "fp")
-    least = entries.groupBy("quad", "entry").agg(F.min("fp").alias("v"))
-    stars = entries.join(least, ["quad", "entry"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
+    flips = F.filter(F.lit([0, *map(bit, range(64))]), lambda x: x.bitwiseAND(F.get(F.lit(_COVER), F.col("mask"))) == 0)
+    entries = lists.where(F.col("n") > LIST_PAIRS).select("mask", "fp", F.explode(flips).alias("flip")).select("mask", F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"), "fp")
+    least = entries.groupBy("mask", "entry").agg(F.min("fp").alias("v"))
+    stars = entries.join(least, ["mask", "entry"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.unionByName(stars.distinct())
 
 

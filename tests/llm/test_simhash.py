@@ -150,3 +150,34 @@ def test_near_odd_rows(odd, empty):
     # Null, empty and blank texts are one component; the cat's sentence is another.
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, -7), (False, 0), (False, 2), (False, 4), (False, 5), (False, 6), (True, 0)]
     assert simhash.drop_near_duplicates(empty, width=5, similarity=0.8).count() == 0
+
+
+def test_other_distances_raise(spark):
+    for distance in (0, 1, 3, 4, 9):
+        with pytest.raises(ValueError):
+            simhash.links(spark.createDataFrame([(1,), (8,)], "fp long"), distance)
+
+
+def test_postings_and_tallies(spark):
+    """Each fingerprint lies in 15 intersections of its rarest lists; tallies count equal positional bytes; no pair of 6 is lost."""
+    rng = random.Random(5)
+    # Four hot bytes, so that order by rarity matters.
+    fps = sorted({int.from_bytes(bytes(rng.choice([7, rng.randrange(256)]) if i < 4 else rng.randrange(3) for i in range(8)), "little") for _ in range(300)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    byte = lambda x, i: x >> 8 * i & 255
+    size = Counter((i, byte(x, i)) for x in fps for i in range(8))
+    lists = simhash.postings(spark.createDataFrame([(signed(x),) for x in fps], "fp long"))
+    own = defaultdict(set)
+    for r in lists.collect():
+        own[r["fp"] % (1 << 64)].add((r["mask"], r["bytes"] % (1 << 64)))
+    for x in fps:
+        rare = sorted(range(8), key=lambda i: (size[i, byte(x, i)], i))[:6]
+        assert len(own[x]) == 15
+        for mask, bytes_ in own[x]:
+            at = [i for i in range(8) if mask >> i & 1]
+            assert len(at) == 4 and set(at) <= set(rare) and bytes_ == sum(byte(x, i) << 8 * i for i in at)
+    tally = {(r["u"] % (1 << 64), r["v"] % (1 << 64)): r["tally"] for r in simhash.candidate_pairs(lists).collect()}
+    tally = {tuple(sorted(p)): n for p, n in tally.items()}
+    equal = {(a, b): sum(byte(a, i) == byte(b, i) for i in range(8)) for n, b in enumerate(fps) for a in fps[:n]}
+    assert all(equal[p] == n for p, n in tally.items())
+    assert all(p in tally for p, n in equal.items() if n >= 6) and any(n >= 6 for n in equal.values())
