@@ -89,11 +89,87 @@ def test_settle_is_close_and_keeps_expectation():
     assert mixing.settle(np.array([50.0]), np.array([0.5]), rng)[0] in (0, 1)
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 1.5, 2) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets([], [], 1.5, 2) == [] and mixing.targets([0, 0], [3, 1], 1.5, 2) == [0, 0]
+def made_targets(spark, sizes, share=1.5, most=2):
+    rows = spark.createDataFrame([(f"s{i:06d}", s) for i, s in enumerate(sizes)], "_source string, _source_size long").repartition(7)
+    out = sorted(mixing.with_targets(rows, (3, 1, 2), share, most).collect(), key=lambda r: r["_source"])
+    assert [r["_rank"] for r in out] == list(range(len(sizes)))
+    return [r["_target"] for r in out]
+
+
+def test_targets(spark):
+    assert made_targets(spark, [100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
+    assert made_targets(spark, []) == [] and made_targets(spark, [0, 0]) == [0, 0]
+    assert made_targets(spark, [10, 20], share=5) == [20, 40]
     sizes = [5, 1000, 0, 70, 2, 900, 1]
-    assert mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(7)], 1.5, 2) == pytest.approx(brute_targets(sizes), abs=1e-6)
+    assert made_targets(spark, sizes) == pytest.approx(brute_targets(sizes), abs=1e-6)
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for x in 10 ** rng.uniform(0, 6, 3000)]  # as many as hosts, say
+    assert made_targets(spark, sizes) == pytest.approx(brute_targets(sizes), rel=1e-9, abs=1e-6)
+
+
+def test_sources_are_ranked_by_code_point_with_null_last(spark):
+    names = ["b", None, "", "a", "\U0001f600", "\uffee", "Z", "\u00e9", "a\x00", "\ud7ff"]
+    got = mixing.ranked(spark.createDataFrame([(n,) for n in names], "_source string").repartition(4)).collect()
+    assert [r["_source"] for r in sorted(got, key=lambda r: r["_rank"])] == [*sorted((n for n in names if n is not None)), None]
+
+
+def reachable(mass, aim, most=2):
+    """How near whole copies can come to the target, by trying all."""
+    sums = {0}
+    for m in mass:
+        sums = {s + k * m for s in sums for k in range(most + 1)}
+    return min(abs(s - aim) for s in sums)
+
+
+def small_source(seed):
+    """A handful of documents, one of which may hold half the words."""
+    rng = np.random.default_rng(seed)
+    mass = np.sort(rng.lognormal(5, 1, rng.integers(8, 13)).astype(int) + 1)[::-1].copy()
+    if seed % 2:
+        mass[0] = mass[1:].sum()
+    return mass
+
+
+def test_small_sources_against_all_choices():
+    """A source of some ten documents ends within its smallest document, or 1 %, of the best that any choice of copies reaches; by far most do."""
+    near = []
+    for seed in range(60):
+        mass, rate = small_source(seed), np.random.default_rng(seed).uniform(0.3, 1.7)
+        aim = rate * mass.sum()
+        took = mixing.settle(mass, np.full(len(mass), rate), np.random.default_rng(seed + 1000), 2, near=True) @ mass
+        assert abs(took - aim) <= np.median(mass) + reachable(mass, aim)
+        near.append(abs(took - aim) <= max(mass[-1], 0.01 * aim) + reachable(mass, aim))
+    assert np.mean(near) >= 0.8
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_keep_their_expectation_over_seeds(near):
+    """A document of half the words: copies keep their expectation over 0 to 2, but for the small bias of `near` at the end."""
+    mass, total = np.array([2770, 700, 500, 400, 300, 250, 200, 90, 50, 15]), np.zeros(10)
+    for seed in range(6000):
+        out = mixing.settle(mass, np.full(10, 1.2924), np.random.default_rng(seed), 2, near)
+        assert set(out) <= {0.0, 1.0, 2.0} and abs(out @ mass - 1.2924 * mass.sum()) <= (90 if near else 200)
+        total += out
+    assert total[:7] / 6000 == pytest.approx(np.full(7, 1.2924), abs=0.05 if near else 0.03)
+    assert total / 6000 == pytest.approx(np.full(10, 1.2924), abs=0.3 if near else 0.03)
+
+
+def test_every_source_is_pivoted(spark):
+    """Pairs are exchanged in a source of any size, not only in large ones."""
+    rows = [(i, " ".join(["w"] * (5 + i)), "few" if i < 6 else "many") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    work = mixing._units(df, "source").selectExpr("*", "if(_source = 'few', 0L, 1L) _rank", "0L _group", "1L _groups", "xxhash64(_id) _order", "_size _mass", "1.3D _x", "true _up")
+    out = mixing._rounded(work, 1, 0, 2).collect()
+    for name, n in (("few", 6), ("many", 194)):
+        own = [r for r in out if r["_source"] == name]
+        assert len(own) == n and any(r["_x"] in (1.0, 2.0) for r in own)
+        assert sum(r["_x"] * r["_mass"] for r in own) == pytest.approx(1.3 * sum(r["_mass"] for r in own))
+
+
+def test_long_ids_and_nulls_stay_exact(spark):
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big + i, "a b c", "s") for i in range(20)] + [(None, "d e", "s")], "doc_id long, text string, source string")
+    assert {r["_id"] for r in mixing.plan_copies(df).collect()} == {None, *(big + i for i in range(20))}
 
 
 def test_odd_rows(odd, empty):
