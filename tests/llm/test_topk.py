@@ -27,7 +27,7 @@ def test_whole_table(spark):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    table = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (100, [-1.0]), (7, []), (8, [3.0, 0.0]), (8, [3.0, 0.0])]
+    table = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (100, [-1.0]), (7, []), (8, [3.0, 0.0])]
     df = spark.createDataFrame([(*r, 1, 1) for r in table], "vec_id long, embedding array<double>, score int, rank int")
     padded = {0: [1, 2], 1: [1, 2], 2: [1, 2], 100: [-1, 0], 7: [0, 0], 8: [3, 0]}
     assert rows(topk.exact_topk(df)) == brute(padded)
@@ -54,3 +54,33 @@ def test_pruning_skips_blocks_and_stays_exact(clustered):
         assert names[r].tolist() == order and scores[r].tolist() == full[order].tolist()
     if clustered:
         assert scored < len(own) * len(blocks) / 2
+
+
+def test_repeated_ids_stay_apart(spark):
+    """Each row is a candidate of all rows but itself; rows of a query's id are queries each, and find one another."""
+    table = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 2.0]), (5, [4.0, 1.0]), (5, [4.0, 1.0]), (5, [1.0, 1.0]), (7, [0.5, 0.5])]
+    q = [(i, [int(1024 * x) for x in v]) for i, v in table]
+    want = []
+    for a, (i, x) in enumerate(q):
+        if i % 100 == 0:
+            score = sorted((-sum(s * t for s, t in zip(x, y)), j) for b, (j, y) in enumerate(q) if b != a)
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(score[:4])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    assert rows(topk.exact_topk(df, k=4)) == sorted(want)
+
+
+def test_pairs_are_pruned_before_blocks_are_copied(spark, monkeypatch):
+    """Many groups and batches: whole pairs drop out by their maxima, the result stays that of brute force."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 40)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "BATCH_QUERIES", 4)
+    monkeypatch.setattr(topk, "BOUND_GROUPS", 3)
+    seen, keep = {}, topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df, name, *by: seen.setdefault(name, keep(df, name, *by)))
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 4, (12, 6))
+    table = {i: (centres[i % 12] + rng.normal(0, 0.1, 6)).tolist() for i in range(600)}
+    df = spark.createDataFrame(list(table.items()), "vec_id long, embedding array<double>")
+    assert rows(topk.exact_topk(df, query_every=10)) == brute(table, every=10)
+    parts, batches = seen["blocks"].select("part").distinct().count(), seen["queries"].count()
+    assert parts >= 10 and batches >= 10 and seen["pairs"].count() < parts * batches / 2
