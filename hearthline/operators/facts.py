@@ -96,7 +96,7 @@ def area(pairs: Column, text: Column) -> Column:
 
 def showings(text: Column) -> Column:
     """The showings of a text, each once; those that say there are none go."""
-    parts = F.transform(F.split(text, r"[\n,]+"), F.trim)
+    parts = F.transform(F.split(text, r"[\n,]+"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda p: (p != "") & ~F.contains(_words(p), F.lit("ingen"))))
 
 

@@ -365,7 +365,8 @@ def details(found: DataFrame) -> DataFrame:
     return out.withColumn("_n", rank).where("_n = 1").select("doc_id", "at", "label", "short", "hover", F.col("level").alias("tg"))
 
 
-def missing_components(found: DataFrame, key: str = "doc_id", component: str = "component", components: tuple = STANDARD_COMPONENTS) -> DataFrame:
-    """key, component of each standard component that none of the key's findings has."""
-    every = found.select(key).distinct().withColumn(component, F.explode(F.array(*map(F.lit, components))))
+def missing_components(found: DataFrame, key: str = "doc_id", component: str = "component", components: tuple = STANDARD_COMPONENTS, documents: DataFrame | None = None) -> DataFrame:
+    """key, component of each standard component that none of the key's findings has; documents: all keys, those without findings too."""
+    keys = (found if documents is None else documents).select(key).distinct()
+    every = keys.withColumn(component, F.explode(F.array(*map(F.lit, components))))
     return every.join(found.select(key, component), [key, component], "left_anti")

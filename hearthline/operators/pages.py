@@ -48,7 +48,7 @@ def with_flags(pages: DataFrame) -> DataFrame:
     """pages with cue, follow_cue, soft_end, strong_end, extra_stop, attachments, template, contents, strict_title, title and score."""
     text = F.coalesce("text", F.lit(""))
     low = F.lower(text)
-    lines = F.filter(F.transform(F.slice(F.split(low, r"\R"), 1, 10), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(F.split(low, r"\R"), 1, 10), lambda x: F.trim(x)), lambda x: x != "")
     strict = F.exists(lines, lambda x: ~_has(x, "innhold", "informasjon", "fakta", "vedlegg") & (F.startswith(x, F.lit(TITLES[0])) | F.startswith(x, F.lit(TITLES[1]))))
     head_lines = F.slice(F.split(low, r"\R"), 1, 20)
     flags = {
@@ -117,6 +117,18 @@ def sliding_best(pages: DataFrame, widths: tuple[int, ...] = (20, 30, 40)) -> Da
     return best.select("doc_id", "width", (-F.col("b.at")).alias("start"), F.col("b.total").alias("total"))
 
 
+def stop_pages(pages: DataFrame, start: str, least: int = 6, ahead: int = 3) -> DataFrame:
+    """pages (doc_id, page_no, score and the flags) with `stop`: whether a report that begins at page `start` ends before this page.
+
+    It does at a strong or extra end without a cue, once `least` pages are read, unless most of the next pages look like the report.
+    """
+    after = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(1, ahead)
+    like = F.count_if(F.col("cue") | (F.col("score") >= 2) | F.col("iverdi_tpl")).over(after)
+    seen = F.count("*").over(after)
+    ends = (F.col("strong_term") | F.col("extra_stop")) & ~F.col("cue") & (F.col("page_no") > F.col(start)) & (F.col("page_no") - F.col(start) + 1 >= least)
+    return pages.withColumn("stop", ends & ~((seen > 0) & (like >= F.floor(seen / 2) + 1)))
+
+
 def look_ahead(pages: DataFrame, flag: Column, ahead: int = AHEAD) -> DataFrame:
     """pages with `cues_ahead`, on how many of this and the next pages the flag is set."""
     w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(0, ahead)

@@ -19,16 +19,21 @@ def percentages(text: Column) -> Column:
     return F.filter(F.transform(F.concat(decimals, wholes), number), lambda x: x.between(LEAST, MOST))
 
 
+def _two_digits(x: Column) -> Column:
+    """Two decimals of the binary number, ties to even: 4.225 is a little less, so 4.22."""
+    return F.bround(x * 100, 0) / 100
+
+
 def median_percentage(values: Column) -> Column:
     """The median of an array, two decimals; null if empty."""
     v, n = F.array_sort(values), F.size(values)
     at = lambda i: F.try_element_at(v, i.cast("int"))
     middle = F.when(n % 2 == 1, at(F.floor(n / 2) + 1)).otherwise((at(F.floor(n / 2)) + at(F.floor(n / 2) + 1)) / 2)
-    return F.when(n > 0, F.round(middle, 2))
+    return F.when(n > 0, _two_digits(middle))
 
 
 def first_percentage(values: Column) -> Column:
-    return F.round(F.try_element_at(values, F.lit(1)), 2)
+    return _two_digits(F.try_element_at(values, F.lit(1)))
 
 
 def latest(cache: DataFrame, asof: Column) -> DataFrame:

@@ -65,7 +65,7 @@ def page(df: DataFrame, order: list[Column], index: int, size: int = 8) -> DataF
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """table with changes merged in: the newest version of each key; of equal ones the change."""
+    """table with changes merged in: a change replaces its key's row, whatever their versions; of several changes the newest."""
     both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     return latest_per_key(both, keys, F.col("_new").desc(), F.col(version).desc()).drop("_new")
 
@@ -121,10 +121,78 @@ def valid_tokens(tokens: DataFrame, raw: str, now: Column) -> DataFrame:
     return tokens.where((F.col("token_hash") == F.sha2(F.lit(raw), 256)) & F.col("used_at").isNull() & (F.col("expires_at") >= now))
 
 
-def job_states(events: DataFrame, job: str, ts: str, *ties: str) -> DataFrame:
-    """Latest status of each job, highest progress, first and last time, from its event log."""
+def job_parts(events: DataFrame, job: str, ts: str, *ties: str) -> DataFrame:
+    """What a set of events says of each job: its last status and progress, each with its place in the order, first and last time, count.
+
+    A failure leaves the progress as it was, a finished job has 100.
+    """
     order = F.struct(ts, *ties)
-    return events.groupBy(job).agg(F.max_by("status", order).alias("status"), F.max("progress").alias("progress"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"), F.count("*").alias("n_events"))
+    progress = F.when(F.col("status") == "done", 100).when(F.col("status") != "failed", F.col("progress")).cast("long")
+    said = F.when(progress.isNotNull(), order)
+    return events.groupBy(job).agg(
+        F.max_by("status", order).alias("status"), F.max(order).alias("status_at"), F.max_by(progress, said).alias("progress"), F.max(said).alias("progress_at"),
+        F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"), F.count("*").alias("n_events"),
+    )
+
+
+def merge_parts(*parts: DataFrame, job: str) -> DataFrame:
+    """The same of all their events together, in whatever order the parts come."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(job).agg(
+        F.max_by("status", "status_at").alias("status"), F.max("status_at").alias("status_at"), F.max_by("progress", "progress_at").alias("progress"), F.max("progress_at").alias("progress_at"),
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.sum("n_events").alias("n_events"),
+    )
+
+
+def job_states(events: DataFrame, job: str, ts: str, *ties: str) -> DataFrame:
+    """Latest status and progress of each job, first and last time, from its event log."""
+    return job_parts(events, job, ts, *ties).drop("status_at", "progress_at")
+
+
+def newest_first(df: DataFrame, ts: str, *ties: str) -> DataFrame:
+    """By time, the newest first; rows without a time last."""
+    return df.orderBy(F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(0))).desc(), *ties)
+
+
+def rows_of(df: DataFrame, user: str, value, key: str | None = None, wanted=None) -> DataFrame:
+    """A user's rows, or those of one key."""
+    own = df.where(F.col(user) == value)
+    return own if wanted is None else own.where(F.col(key) == wanted)
+
+
+def row_of(df: DataFrame, user: str, value, key: str, wanted) -> DataFrame:
+    """The user's row with this id: none or one."""
+    return rows_of(df, user, value, key, wanted).limit(1)
+
+
+def limited(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0) -> DataFrame:
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def running_totals(events: DataFrame, key: str, increment: str) -> DataFrame:
+    """Each key's total; an increment counts as 1 at least."""
+    return events.groupBy(key).agg(F.sum(F.greatest(F.coalesce(F.col(increment), F.lit(1)), F.lit(1))).cast("long").alias("total"))
+
+
+def queued_jobs(queue: DataFrame, jobs: DataFrame, job: str) -> DataFrame:
+    """The queue's entries with their payload; those without one go."""
+    return queue.join(jobs.where("payload is not null"), job)
+
+
+def apply_updates(table: DataFrame, events: DataFrame, key: str, columns: list[str], *order: str) -> DataFrame:
+    """table with each column's last written value; a null in an event writes nothing."""
+    at = F.struct(*order)
+    last = events.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_{c}") for c in columns))
+    out = table.join(last, key, "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
+def subscription_states(events: DataFrame, user: str, event: str, ts: str) -> DataFrame:
+    """Each user's last status, every event counted once however often it came."""
+    once = events.groupBy(event).agg(F.min(F.struct(ts, user, "status")).alias("e")).select(event, "e.*")
+    return once.groupBy(user).agg(F.max_by("status", F.struct(ts, event)).alias("status"), F.max(ts).alias("since"))
 
 
 def queue_depth(states: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_even
 
 # Names, ranges and prices that results depend on.
+OPEN_ZONES = ("Hele landet", "Store tettsteder", "Mellomstore tettsteder", "Små tettsteder/spredt")
 SEGMENTS = ("hybel", "liten", "standard", "stor")
 SEGMENT_FACTOR = {"hybel": 1.10, "liten": 1.05, "standard": 1.00, "stor": 0.92}
 BASELINE = {
@@ -122,6 +123,18 @@ def canonical_city(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.trim(plain)), F.trim(name))
 
 
+def zone_city(name: Column) -> Column:
+    """The statistics bureau's spelling: the table's cities, and the zones that aren't cities."""
+    plain = F.lower(F.trim(name))
+    known = F.create_map(*(F.lit(x) for pair in {**dict(CITY_NEEDLES), **{z.lower(): z for z in OPEN_ZONES}}.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, plain), F.trim(name))
+
+
+def labelled_city(zones: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
+    """zones with city, by a table of labels; zones whose label it lacks go."""
+    return zones.join(labels.select(label, "city"), label)
+
+
 def _first_range(value: Column, ranges: tuple[tuple[int, int, str], ...]) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for low, high, name in ranges:

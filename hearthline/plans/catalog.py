@@ -193,10 +193,11 @@ def city_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS component FROM lineitem)
-  SELECT o.l_orderkey, c.component FROM (SELECT DISTINCT l_orderkey FROM lineitem) o CROSS JOIN (SELECT unnest(range(1, 8)) AS component) c ANTI JOIN k ON k.l_orderkey = o.l_orderkey AND k.component = c.component""")
+  SELECT o.l_orderkey, c.component FROM (SELECT o_orderkey AS l_orderkey FROM orders) o CROSS JOIN (SELECT unnest(range(1, 8)) AS component) c ANTI JOIN k ON k.l_orderkey = o.l_orderkey AND k.component = c.component""")
 def missing_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("component"))
-    found = findings.missing_components(li, "l_orderkey", "component", tuple(range(1, 8)))
+    every = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    found = findings.missing_components(li, "l_orderkey", "component", tuple(range(1, 8)), every)
     return found.select("l_orderkey", F.col("component").cast("long").alias("component"))
 
 
@@ -221,8 +222,8 @@ def finding_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
 
 
 @query()
@@ -237,7 +238,7 @@ def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ("the", "und", "que", "de")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, lower(line) AS s FROM l)
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), s AS (SELECT doc_id, lower(line) AS s FROM l)
   SELECT doc_id, count(*) FILTER (contains(s, 'the') OR contains(s, 'und') OR contains(s, 'que') OR contains(s, 'de')) AS n_hits, count(*) AS n_lines FROM s GROUP BY doc_id""")
 def issue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = texts.has_any(F.lower("line"), _TERMS)
@@ -303,7 +304,7 @@ _STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running
 
 
 @query(f"""WITH j AS (SELECT user_id, {_STATUS} AS status, event_id % 101 AS progress, ts, event_id FROM events)
-  SELECT user_id, arg_max(status, (ts, event_id)) AS status, max(progress) AS progress, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS n_events FROM j GROUP BY user_id""")
+  SELECT user_id, arg_max(status, (ts, event_id)) AS status, arg_max(CASE WHEN status = 'done' THEN 100 ELSE progress END, (ts, event_id)) FILTER (status <> 'failed') AS progress, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS n_events FROM j GROUP BY user_id""")
 def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.job_states(job_events(read(spark, sf_dir, "events")), "user_id", "ts", "event_id")
 
@@ -373,13 +374,13 @@ def driver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- pages of documents -------------------------------------------------------------------------------------------
 
-_CHUNKS = "c AS (SELECT doc_id, i AS page_no, substr(text, i * 200 + 1, 200) AS t FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 200.0) AS BIGINT))) AS i FROM documents WHERE text IS NOT NULL))"
+_CHUNKS = "c AS (SELECT doc_id, i AS page_no, substr(text, i * 200 + 1, 200) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(coalesce(text, '')) / 200.0) AS BIGINT)))) AS i FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))"
 _CHUNK_SCORE = "s AS (SELECT doc_id, page_no, CAST(CASE WHEN contains(lower(t), 'the') THEN 3 ELSE 0 END + CASE WHEN contains(lower(t), 'die') THEN 2 ELSE 0 END - CASE WHEN contains(lower(t), 'que') THEN 2 ELSE 0 END AS INTEGER) AS score FROM c)"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("text is not null and length(text) > 0")
-    each = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 200.0).cast("int") - 1)).alias("page_no"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # no text: one empty page
+    each = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / 200.0).cast("int")) - 1)).alias("page_no"))
     t = F.lower(F.substring("text", F.col("page_no") * 200 + 1, F.lit(200)))
     has = lambda w, n: F.when(F.contains(t, F.lit(w)), n).otherwise(0)
     return each.select("doc_id", F.col("page_no").cast("long").alias("page_no"), (has("the", 3) + has("die", 2) - has("que", 2)).alias("score"))
@@ -409,15 +410,12 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT o_orderkey, concat('nominell ', replace(CAST(2 + o_orderkey % 8 AS VARCHAR), '.', ','), ',', CAST(10 + o_orderkey % 90 AS VARCHAR), ' % og ', CAST(o_orderkey % 15 AS VARCHAR), ' %') AS s FROM orders),
   v AS (SELECT o_orderkey, list_sort(list_filter(list_transform(list_concat(regexp_extract_all(s, '(\\d{1,2}[.,]\\d{1,2})\\s*%', 1), regexp_extract_all(s, '\\b(\\d{1,2})\\s*%', 1)), lambda x: CAST(replace(x, ',', '.') AS DOUBLE)), lambda x: x BETWEEN 2.0 AND 10.0)) AS v FROM t)
-  SELECT o_orderkey, len(v) AS n, round(CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1] ELSE (v[len(v) // 2] + v[len(v) // 2 + 1]) / 2 END, 4) AS median FROM v""")
+  SELECT o_orderkey, len(v) AS n, round_even(100 * CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1] ELSE (v[len(v) // 2] + v[len(v) // 2 + 1]) / 2 END, 0) / 100 AS median FROM v""")
 def percent_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     s = F.concat(F.lit("nominell "), (k % 8 + 2).cast("string"), F.lit(","), (k % 90 + 10).cast("string"), F.lit(" % og "), (k % 15).cast("string"), F.lit(" %"))
-    v = read(spark, sf_dir, "orders").select("o_orderkey", F.array_sort(rates.percentages(s)).alias("v"))
-    n = F.size("v")
-    at = lambda i: F.try_element_at("v", i.cast("int"))
-    median = F.when(n % 2 == 1, at(F.floor(n / 2) + 1)).otherwise((at(F.floor(n / 2)) + at(F.floor(n / 2) + 1)) / 2)
-    return v.select("o_orderkey", n.cast("long").alias("n"), F.round(median, 4).alias("median"))
+    v = read(spark, sf_dir, "orders").select("o_orderkey", rates.percentages(s).alias("v"))
+    return v.select("o_orderkey", F.size("v").cast("long").alias("n"), rates.median_percentage(F.col("v")).alias("median"))
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ø', 'o'), 'å', 'a'), 'æ', 'ae'), 'é', 'e'), 'ü', 'u'), 'ö', 'o') AS simple FROM documents""")

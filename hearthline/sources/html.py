@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,34 +132,67 @@ def segments(pages: DataFrame, key: str, source: str) -> DataFrame:
     return first.select(key, "f.pos", "f.text", F.lit(source).alias("source"))
 
 
-def _scalar(value):
-    if isinstance(value, (str, int, float)):
-        return value
-    items = [value[k] for k in VALUE_KEYS if k in value] if isinstance(value, dict) else value if isinstance(value, list) else []
-    return next((s for s in map(_scalar, items) if s is not None), None)
-
-
-def _find(node, wanted: tuple[str, ...]):
-    """Depth first: the first scalar under a key that holds one of the wanted names (letters and digits only)."""
-    if isinstance(node, dict):
-        for key, value in node.items():
-            plain = re.sub(r"[^a-z0-9]", "", key.lower())
-            if any(w in plain for w in wanted) and (s := _scalar(value)) is not None:
-                return s
-            if (s := _find(value, wanted)) is not None:
-                return s
-    elif isinstance(node, list):
-        return next((s for s in (_find(x, wanted) for x in node) if s is not None), None)
+ENTRIES = "array<struct<obj:int,key:string,value:string>>"
+
+
+def plain_key(text: str) -> str:
+    """Lower-case words of a-z and 0-9, marks dropped."""
+    base = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return re.sub(r"[^a-z0-9]+", " ", base.lower()).strip()
+
+
+def _first_scalar(node):
+    """The node itself, or what stands for it: an object's first VALUE_KEYS, a list's first items."""
+    waiting = [node]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, (str, int, float)):
+            return x
+        inner = [x[k] for k in VALUE_KEYS if k in x] if isinstance(x, dict) else x if isinstance(x, list) else []
+        waiting += reversed(inner)
     return None
 
 
-def json_value(documents: Column, *names: str) -> Column:
-    """The first scalar, as text, under one of the names anywhere in an array of JSON documents."""
-    wanted = tuple(re.sub(r"[^a-z0-9]", "", n.lower()) for n in names)
+def json_entries(documents: list[str] | None) -> list[dict]:
+    """Every entry of every object, in reading order, with the object's number and the entry's scalar (null if it has none)."""
+    out, objects = [], 0
+    waiting = [(None, None, json.loads(d)) for d in reversed(list(documents) if documents is not None else [])]
+    while waiting:
+        obj, key, node = waiting.pop()
+        if key is not None:
+            value = _first_scalar(node)
+            out.append({"obj": obj, "key": plain_key(key), "value": None if value is None else str(value)})
+        if isinstance(node, dict):
+            objects += 1
+            waiting += [(objects, k, v) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            waiting += [(None, None, v) for v in reversed(node)]
+    return out
+
+
+def entries(documents: Column) -> Column:
+    """ENTRIES of an array of JSON documents, each parsed once for all fields that are looked up."""
 
-    @F.pandas_udf("string")
-    def look(docs: pd.Series) -> pd.Series:
-        found = [next((s for s in (_find(json.loads(d), wanted) for d in (own if own is not None else [])) if s is not None), None) for own in docs]
-        return pd.Series([None if s is None else str(s) for s in found], dtype=object)
+    @F.pandas_udf(ENTRIES)
+    def read(docs: pd.Series) -> pd.Series:
+        return pd.Series([json_entries(d) for d in docs], dtype=object)
 
-    return look(documents)
+    return read(documents)
+
+
+def names_match(key: Column, *names: str) -> Column:
+    """Whether a plain key holds one of the names, written together, or all of its words."""
+    hit, together, words = F.lit(False), F.replace(key, F.lit(" "), F.lit("")), F.split(key, " ")
+    for name in map(plain_key, names):
+        hit = hit | F.contains(together, F.lit(name.replace(" ", ""))) | (F.size(F.array_except(F.lit(name.split()), words)) == 0)
+    return hit
+
+
+def first_named(found: Column, *names: str) -> Column:
+    """The value of the first of the entries (key, value) under one of the names that has one."""
+    return F.try_element_at(F.filter(found, lambda e: e["value"].isNotNull() & names_match(e["key"], *names)), F.lit(1))["value"]
+
+
+def json_value(documents: Column, *names: str) -> Column:
+    """The first scalar, as text, under one of the names anywhere in an array of JSON documents."""
+    return first_named(entries(documents), *names)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.records import job_states, upsert
+from ..operators.records import job_parts, merge_parts
 
 
 def event_stream(spark: SparkSession, path: str, like: DataFrame, glob: str = "*.parquet") -> DataFrame:
@@ -15,35 +19,61 @@ def event_stream(spark: SparkSession, path: str, like: DataFrame, glob: str = "*
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def failed_attempts(events: DataFrame, key: str, limit: int = 5, window: str = "15 minutes", slide: str = "5 minutes", late: str = "15 minutes") -> DataFrame:
-    """Windows in which a key reached the limit. State older than the watermark goes."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", window, slide), key).agg(F.count("*").alias("failures"))
-    return counted.where(F.col("failures") >= limit).select(F.col("window.start").alias("window_start"), key, "failures")
+def failed_attempts(events: DataFrame, key: str, limit: int = 5, seconds: int = 900, late: str = "15 minutes") -> DataFrame:
+    """(key, ts, since) of each failure that is the limit-th within the trailing window; since: the first of these.
+
+    The state of a key is its last limit - 1 failures, dropped once the watermark has passed the window. Failures of one
+    micro-batch count in the order of their times; one that comes in a later batch than a younger one counts from there on.
+    """
+
+    def judge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get[0]) if state.exists else []
+        new = sorted(int(t.value // 1000) for b in batches for t in b["ts"])
+        out = []
+        for t in new:
+            held = sorted([*held, t])[-limit:]
+            if len(held) == limit and held[-1] - held[0] <= seconds * 1_000_000:
+                out.append((k[0], pd.Timestamp(t, unit="us"), pd.Timestamp(held[0], unit="us")))
+        state.update((held[-(limit - 1) :] if limit > 1 else [],))
+        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "ts", "since"])
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark("ts", late).select(key, "ts")
+    return rows.groupBy(key).applyInPandasWithState(judge, f"{key} {kind}, ts timestamp, since timestamp", "held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_states(events: DataFrame, job: str = "user_id") -> DataFrame:
     """Each job's latest status by event time, an aggregation whose state is one row a job."""
-    return events.groupBy(job).agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("progress").alias("progress"), F.max("ts").alias("updated_at"))
+    return job_parts(events, job, "ts", "event_id").select(job, "status", "progress", "updated_at")
 
 
 def merge_states(events: DataFrame, table: str, checkpoint: str, job: str = "user_id") -> StreamingQuery:
-    """Merge each micro-batch's states into a Parquet table by job: a batch that is replayed changes nothing."""
+    """Merge each micro-batch's events into a table of job states: version v=n holds all batches up to n.
+
+    States combine by event time, not by batch: a late batch never sets a job back. A batch that is replayed starts again
+    from the version before it and writes the same rows.
+    """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = job_states(batch, job, "ts", "event_id")
-        at = f"{table}/v={batch_id}"
-        try:
-            old = spark.read.parquet(f"{table}/v={batch_id - 1}") if batch_id else None
-        except Exception as missing:  # no earlier version
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = None
-        (upsert(old, new, [job], "updated_at") if old is not None else new).write.mode("overwrite").parquet(at)
+        parts = job_parts(batch, job, "ts", "event_id")
+        if batch_id:
+            before = spark.read.schema(parts.schema).parquet(f"{table}/v={batch_id - 1}")
+            parts = merge_parts(before, parts, job=job)
+        parts.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def states_at(spark: SparkSession, table: str, version: int) -> DataFrame:
+    """The merged states after a batch."""
+    return spark.read.parquet(f"{table}/v={version}").drop("status_at", "progress_at")
+
+
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Events once each, repeats within the watermark dropped."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
