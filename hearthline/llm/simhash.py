@@ -23,13 +23,18 @@ like any other; repeated rows share a component; a null doc_id is no
 component's name unless a component has no other; an empty table gives an
 empty result.
 
-Near copies by similarity (near_components) lie much further apart: at a
-Jaccard similarity of 0.8 about 15 % of the bits differ. There a text's set of
-shingles gets WIDE bits, and an inverted index holds it under KEYS triples of
-positional bytes; pairs that meet in a list are tallied, and each candidate
-is linked only if the exact Jaccard similarity of its sets of shingles reaches
-the limit. A pair of similarity 0.8 shares a triple with probability 0.92 or
-so, one of 0.85 with 0.99. Texts without a word are one set.
+Near copies by similarity (near_components): at a Jaccard similarity of 0.8 some
+15 % of a SimHash's bits differ, so two texts share a positional byte with
+probability 0.27 and three of them, the least that keeps lists short, with
+0.02: the index would miss them, or drown in long lists as the corpus grows.
+There the fingerprint's POSITIONS bytes are min-wise (each is the low byte of
+the least of the shingles' hashes under one of as many mixers), so that a byte
+is shared with the probability of the similarity itself. Index, tally and
+verification stay: lists are intersections of BAND positional bytes, pairs that
+meet are tallied over all positions, those below LEAST go, and the others are
+linked only if the exact Jaccard similarity of their sets of shingles reaches
+the limit. A pair of similarity 0.8 meets with probability 0.9998 and passes
+the tally with 0.9998. Texts without a word are one set.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, free_names, materialize, slices, text_or_empty
@@ -53,14 +58,14 @@ _COVER = [int.from_bytes(bytes(255 * (m >> i & 1) for i in range(8)), "little",
 #: Lists up to this length are paired; longer ones are linked through stars, exactly.
 LIST_PAIRS = 64
 _SLICE = 1 << 18
-#: The wide fingerprint's bits, and its triples of positional bytes: three rounds that each deal all bytes into disjoint triples.
-WIDE = 1024
-TRIPLES = np.concatenate([np.random.default_rng(r).permutation(WIDE // 8)[: WIDE // 24 * 3].reshape(-1, 3) for r in range(3)])
-KEYS = len(TRIPLES)
-#: Of a list up to this length all pairs are candidates, of a longer one those with its least and greatest entry.
-NEAR_PAIRS = 16
-#: A candidate's first 64 bits may differ in so many: 9.7 (sd 2.9) do at a similarity of 0.8, 32 (sd 4) do by chance.
-NEAR_BITS = 24
+#: Positional bytes of a min-wise fingerprint, and how many of them make a list: each byte lies in one of 16 bands.
+POSITIONS, BAND = 64, 4
+#: Equal positions of 64 that a pair needs: 51 (sd 3.2) are equal at a similarity of 0.8.
+LEAST = 40
+#: Of a list up to this length all pairs are candidates; of a longer one those with its least and greatest entry, and the same in its parts by two bytes of the bands so many steps on.
+NEAR_PAIRS, STEPS = 16, (5, 8, 11)
+_SIG = [f"s{i}" for i in range(POSITIONS // 8)]
+_MIX = np.random.default_rng(8).integers(0, 1 << 63, (2, POSITIONS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -168,57 +173,61 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def wide_fingerprint(own: np.ndarray) -> np.ndarray:
-    """WIDE bits as bytes: each set if it is set in over half the shingles' hashes, which a mixer stretches to that length."""
-    total, salt = np.zeros(WIDE, np.int64), np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i in range(0, len(own), 255):
-        z = own[i : i + 255, None] + salt
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        total += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(own))
+def positional_bytes(own: np.ndarray) -> np.ndarray:
+    """POSITIONS bytes: of each mixed order of the shingles' hashes, the low byte of the least one."""
+    least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 4096):
+        z = (own[i : i + 4096, None] ^ _MIX[0]) * _MIX[1]
+        z ^= z >> np.uint64(29)
+        least = np.minimum(least, (z * _MIX[0]).min(axis=0))
+    return ((least ^ (least >> np.uint64(32))) * _MIX[1] >> np.uint64(56)).astype(np.uint8)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th, node (a digest of the set of shingles) and wide (its fingerprint; null for the empty set)."""
+    """doc_id, th, node (a digest of the set of shingles) and s0 to s7, its positional bytes (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            node, wide = [], []
-            for t in as_bytes(b.column(2)):
-                own = shingles(t, width)
-                node.append(xxhash.xxh64_intdigest(own.tobytes()))
-                wide.append(wide_fingerprint(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "th", "node", "wide"])
+            sets = [shingles(t, width) for t in as_bytes(b.column(2))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            sig = np.array([positional_bytes(x) for x in sets], np.uint8).reshape(len(sets), POSITIONS).view("<i8")
+            empty = np.array([not len(x) for x in sets], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), *(pa.array(sig[:, i], mask=empty) for i in range(len(_SIG)))], ["doc_id", "th", "node", *_SIG])
 
     text = text_or_empty(docs)
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, node bigint, wide binary")
+    schema = "doc_id bigint, th bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _SIG)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, schema)
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """u < v and how many lists they were paired in, of node and wide."""
+def near_tally(a: str, b: str) -> Column:
+    """Equal positions of two entries."""
+    return sum(shared_bytes(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in _SIG)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
-                t = x[:, TRIPLES].astype(np.int64)
-                key = (np.arange(KEYS) << 24) | (t[:, :, 0] << 16) | (t[:, :, 1] << 8) | t[:, :, 2]
-                first = np.ascontiguousarray(x[:, :8]).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), KEYS)), pa.array(np.repeat(first, KEYS))], ["key", "node", "first"])
-
-    postings = distinct.where("wide is not null").select("node", "wide").mapInArrow(run, "key bigint, node bigint, first bigint")
-    of_list, entry = Window.partitionBy("key"), F.struct("node", "first")
-    shared = postings.select("key", "node", "first", F.count("*").over(of_list).alias("n"), F.min(entry).over(of_list).alias("low"), F.max(entry).over(of_list).alias("high")).where("n > 1")
-    shared = materialize(shared, "near-postings")
-    short = shared.where(F.col("n") <= NEAR_PAIRS).select("key", entry.alias("a"))
-    pairs = short.join(short.select("key", F.col("a").alias("b")), "key").where("a.node < b.node").select("a", "b")
-    stars = shared.where(F.col("n") > NEAR_PAIRS).select(F.explode(F.array(F.struct(F.col("low").alias("a"), entry.alias("b")), F.struct(entry.alias("a"), F.col("high").alias("b")))).alias("p"))
-    met = pairs.unionByName(stars.select("p.a", "p.b")).where("a.node < b.node")
-    near = F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= NEAR_BITS
-    return met.where(near).groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("tally"))
+
+def _met(lists: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of entries that meet: all of a short list; of a long one each with the least and the greatest. And the long lists."""
+    sizes = lists.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("n > 1")
+    shared = materialize(lists.join(sizes, by), "near-postings")
+    short, long_ = shared.where(F.col("n") <= NEAR_PAIRS), shared.where(F.col("n") > NEAR_PAIRS)
+    pairs = short.select(*by, F.col("x").alias("a")).join(short.select(*by, F.col("x").alias("b")), by).select("a", "b")
+    ends = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("x").alias("b")), F.struct(F.col("x").alias("a"), F.col("high").alias("b"))))
+    return pairs.unionByName(long_.select(ends.alias("p")).select("p.a", "p.b")).where("a.node < b.node"), long_
+
+
+def near_candidates(distinct: DataFrame) -> DataFrame:
+    """u < v and tally of pairs that meet in a list of BAND positional bytes and share LEAST positions."""
+    half = lambda i: F.shiftrightunsigned(_SIG[i // 2], 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    bands = POSITIONS // BAND
+    # A list's number and bytes in one long.
+    keys = F.explode(F.array(*(F.lit(i << 32).bitwiseOR(half(i)) for i in range(bands))))
+    met, long_ = _met(distinct.where("s0 is not null").select(F.struct("node", *_SIG).alias("x"), keys.alias("key")), ["key"])
+    # Entries of a long list that agree in two bytes of another band, too, are likelier alike.
+    two = lambda i: F.shiftrightunsigned(F.col(f"x.{_SIG[i // 2]}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFF))
+    at = lambda step: F.pmod(F.shiftrightunsigned("key", 32) + step, F.lit(bands)).cast("int")
+    others = F.array(*(F.lit(step << 16).bitwiseOR(F.get(F.array(*map(two, range(bands))), at(step))) for step in STEPS))
+    nearer, _ = _met(long_.select("x", "key", F.explode(others).alias("part")), ["key", "part"])
+    met = met.unionByName(nearer).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), near_tally("a", "b").alias("tally"))
+    return met.where(F.col("tally") >= LEAST).groupBy("u", "v").agg(F.max("tally").alias("tally"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -233,31 +242,38 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
     """doc_id, th, root and component_id: rows are linked if their sets of shingles have at least this Jaccard similarity.
 
-    First each node's likeliest candidates are checked, then all candidates that still lie in different components.
+    In each of some rounds a node's likeliest partner outside its component is checked, then all candidates that still lie in
+    different components. So copies of one text, however many, are checked against few others.
     """
     rows = materialize(sketches(docs, width), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    distinct = rows.groupBy("node").agg(F.min("wide").alias("wide"), first.alias("k"))
-    pairs = materialize(candidates(distinct), "candidates")
-    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other"))))
-    needed = pairs.select(ends.alias("e")).select("e.node").distinct()
+    distinct = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in _SIG), first.alias("k"))
+    pairs = materialize(near_candidates(distinct), "candidates")
+    ends = F.explode(F.array(F.col("u"), F.col("v")))
+    needed = pairs.select(ends.alias("node")).distinct()
     wanted = distinct.join(needed, "node", "left_semi").select("node", F.col("k.doc_id").alias("id"), F.col("k.th").alias("th"))
     text = text_or_empty(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     texts = own.join(wanted, (own["th"] == wanted["th"]) & own["doc_id"].eqNullSafe(wanted["id"])).groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts, "near-texts")
 
-    both = pairs.select(ends.alias("e"), "u", "v", "tally")
-    best = both.groupBy("e.node").agg(F.max(F.struct("tally", "u", "v")).alias("most"), F.min("e.other").alias("least"))
-    likely = best.select(F.explode(F.array(F.struct("most.u", "most.v"), F.struct(F.least("node", "least").alias("u"), F.greatest("node", "least").alias("v")))).alias("p")).select("p.u", "p.v").distinct()
-    edges = materialize(verified(likely, texts, width, similarity), "near-edges")
-    roots = materialize(connected_components(edges), "near-roots")
-    at = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-    apart = pairs.join(likely, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    edges = edges.unionByName(materialize(verified(apart, texts, width, similarity), "near-edges"))
+    edges, open_ = None, pairs
+    for r in range(rounds + 1):
+        if r < rounds:
+            best = open_.select(ends.alias("node"), "u", "v", "tally").groupBy("node").agg(F.max(F.struct("tally", "u", "v")).alias("most"))
+            checked = materialize(best.select("most.u", "most.v").distinct(), "near-checked")
+        else:
+            checked = open_
+        found = materialize(verified(checked, texts, width, similarity), "near-edges")
+        edges = found if edges is None else edges.unionByName(found)
+        if r < rounds:
+            roots = materialize(connected_components(edges), "near-roots")
+            at = lambda n, roots=roots: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+            left = open_.join(checked, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
+            open_ = materialize(left.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "tally"), "near-open")
     return _named(rows.select("doc_id", "th", "node"), edges, "node").select("doc_id", "th", "root", "component_id")
 
 

@@ -12,7 +12,6 @@ import corpus_pipeline
 from hearthline.llm import langid, packing, quality
 from tests.llm.conftest import SMALL, as_dicts, union_find
 from tests.llm.test_mixing import brute_targets, words
-from tests.llm.test_simhash import brute as brute_simhash
 from tests.llm.test_simhash import near_brute
 
 ids = lambda rows: Counter(r["doc_id"] for r in rows)
@@ -59,12 +58,6 @@ def test_language(stages):
     assert ids(kept) == Counter(r["doc_id"] for r in rows if r["doc_id"] in keep)
 
 
-def test_dedup(stages):
-    _, _, rows, kept = stages["simhash_near_dedup"]
-    named, _ = brute_simhash([(r["doc_id"], r["text"]) for r in rows])
-    assert sorted(ids(kept).elements()) == sorted({c for _, _, c in named}) and len(kept) < len(rows)
-
-
 def test_mix(stages):
     _, _, rows, mixed = stages["mix_sources"]
     size, took, longest = defaultdict(int), defaultdict(int), 0

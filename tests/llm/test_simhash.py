@@ -1,8 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hearthline.llm import components, simhash
 from hearthline.llm.entry import op5_simhash
@@ -181,3 +183,19 @@ def test_postings_and_tallies(spark):
     equal = {(a, b): sum(byte(a, i) == byte(b, i) for i in range(8)) for n, b in enumerate(fps) for a in fps[:n]}
     assert all(equal[p] == n for p, n in tally.items())
     assert all(p in tally for p, n in equal.items() if n >= 6) and any(n >= 6 for n in equal.values())
+
+
+def test_positional_bytes_agree_as_often_as_sets(spark):
+    """The share of equal min-wise bytes is the similarity; near_tally counts them."""
+    rng = random.Random(9)
+    for share in (0.0, 0.5, 0.8, 0.95):
+        a = {rng.getrandbits(64) for _ in range(400)}
+        both = int(2 * 400 * share / (1 + share))
+        b = set(rng.sample(sorted(a), both)) | {rng.getrandbits(64) for _ in range(400 - both)}
+        x, y = (simhash.positional_bytes(np.array(sorted(s), np.uint64)) for s in (a, b))
+        real = len(a & b) / len(a | b)
+        assert abs((x == y).mean() - real) < 0.2
+        row = [tuple(int(v) for v in z.view("<i8")) for z in (x, y)]
+        df = spark.createDataFrame(row, ", ".join(f"{c} long" for c in simhash._SIG)).withColumn("node", F.monotonically_increasing_id())
+        pair = df.agg(F.array_sort(F.collect_list(F.struct("node", *simhash._SIG))).alias("p")).select(F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b"))
+        assert pair.select(simhash.near_tally("a", "b")).first()[0] == (x == y).sum()
