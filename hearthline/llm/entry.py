@@ -18,43 +18,52 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document. Null text is empty, null source or lang a group of its own; a score at the threshold is kept; repeated rows are judged one by one; other columns are dropped."""
     judged = quality.classify(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "source", "lang", "doc_score", "host_posterior", "path_posterior", F.col("quality_score").alias("score"), "keep")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every query row. Vectors that are null or hold null or non-finite components take no part; repeated ids stay apart; ties go to the smaller id; an empty table gives no row."""
     return topk.exact_topk(_read(spark, sf_dir, "embeddings"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document. Null text scores its end token; repeated rows score alike; without training rows base is 0; an empty table gives no row."""
     return lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of every document. Null or empty text is one piece; repeated rows are packed one by one; long texts are cut whole; an empty table gives no row."""
     import public_tokenizers
 
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null text is empty, no word gives zero; repeated rows share a component; a null doc_id names none unless there is no other; an empty table gives no row."""
     rows = simhash.components(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, score and labelled spans of every document. Null text or none with a letter is `und`; repeated rows are predicted alike; equal masses go to the first language by name; an empty table gives no row."""
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page. A null URL, or one without ://, has empty host and path; of equally long rules the first counts; repeated rows are judged alike; an empty table gives no row."""
     judged = urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document and of its edited text. Null text is empty; a null doc_id is the smallest; rows that share a doc_id share the next document; an empty table gives no row."""
     return fingerprint.fingerprint_documents(_read(spark, sf_dir, "documents")).drop("edited")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. Null text has size 1; rows equal in all columns are dealt like any others; ties are ordered by seeded hashes; an empty table gives no row."""
     docs = _read(spark, sf_dir, "documents")
     text = text_or_empty(docs)
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
@@ -62,6 +71,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document. Null text has size 0; null is the last source; rows alike in id, source and text get the same copies; an empty table gives no row."""
     plan = mixing.plan_copies(_read(spark, sf_dir, "documents"))
     row = F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))
     return plan.withColumn("_row", row).select(

@@ -11,7 +11,9 @@ is extended by the SHA-256 of the canonical bytes.
 Defined results: null text is empty; a null doc_id is the smallest, and a
 doc_id of -2^63 counts as null; rows that
 share a doc_id have the same next document, the next larger doc_id's, and of
-several rows there the smallest; an empty table gives an empty result.
+several rows there the smallest; texts of any length are digested whole; columns
+other than doc_id and text are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

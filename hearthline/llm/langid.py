@@ -13,8 +13,10 @@ the number of languages.
 
 Defined results: null text, or text without a letter, is `und` with score 0; a
 null doc_id counts as the empty string when folds are dealt; with no training
-row every text is `und`; repeated rows are predicted alike; an empty table
-gives an empty result.
+row every text is `und`; repeated rows are predicted alike; of equal masses the
+first language by name counts; texts of any length are labelled whole; columns
+other than doc_id, text and lang are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,8 +19,10 @@ their documents by a join on the word, which the hot words never enter.
 
 Defined results: null text is empty and scores its end token; a null doc_id
 counts as the empty string when folds are dealt; repeated rows are scored
-alike; without training rows base is 0 for every text; an empty table gives an
-empty result.
+alike; ties in counts are ordered by the word; texts of any length are scored
+whole; columns other than doc_id and text are ignored, whatever their names;
+without training rows base is 0 for every text; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ document's log odds to those by which its path differs from the global share.
 Here a document's host is its source and its path is host and language.
 
 Defined results: null text is empty; a null host or path is a group of its
-own; with labels of one class only, or none, every document gets their share
+own; a score at the threshold is kept; texts of any length are read whole;
+columns of the names it adds are replaced, others kept; with labels of one class only, or none, every document gets their share
 (none: 1); repeated rows count as evidence once each; an empty table gives an
 empty result.
 """

@@ -20,8 +20,9 @@ takes no other distance.
 
 Defined results: null text is empty; no word gives fingerprint zero, linked
 like any other; repeated rows share a component; a null doc_id is no
-component's name unless a component has no other; an empty table gives an
-empty result.
+component's name unless a component has no other; texts of any length are read
+whole; columns other than doc_id and text are ignored or kept as they are,
+whatever their names; an empty table gives an empty result.
 
 Near copies by similarity (near_components): at a Jaccard similarity of 0.8 some
 15 % of a SimHash's bits differ, so two texts share a positional byte with
@@ -242,7 +243,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """doc_id, th, root and component_id: rows are linked if their sets of shingles have at least this Jaccard similarity.
 
     In each of some rounds a node's likeliest partner outside its component is checked, then all candidates that still lie in

@@ -8,12 +8,14 @@ without a literal token are tried on every URL.
 
 Defined results: a null URL, or one without "://", has empty host and path,
 fits no list rule and is judged by the patterns alone; repeated rows are judged
-alike; an empty table gives an empty result; columns named like the outputs are
-replaced.
+alike; of list rules that fit equally long the first counts; URLs of any length
+are judged whole; an empty table gives an empty result; columns named like the
+outputs are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -75,6 +77,10 @@ PATTERNS = (
 )
 
 
+#: A worker compiles a rule when a URL first fetches it, once.
+_compiled = functools.cache(re.compile)
+
+
 def _split(url: str | None) -> tuple[str, str]:
     scheme, mark, rest = (url or "").partition("://")
     if not mark:
@@ -120,7 +126,6 @@ def judge_urls(pages: DataFrame, column: str = "url", rules: tuple[Rule, ...] =
 
     @F.pandas_udf(_KINDS)
     def judged(urls: pd.Series) -> pd.DataFrame:
-        compiled = [re.compile(r.regex) for r in every]
         out = []
         for url in urls:
             host, path = _split(url)
@@ -129,9 +134,9 @@ def judge_urls(pages: DataFrame, column: str = "url", rules: tuple[Rule, ...] =
             for i in sorted(ids):
                 rule = every[i]
                 if rule.listed:
-                    if (best is None or len(rule.name) > len(best.name)) and compiled[i].match(f"{host}\n{path}"):
+                    if (best is None or len(rule.name) > len(best.name)) and _compiled(rule.regex).match(f"{host}\n{path}"):
                         best = rule
-                elif other is None and compiled[i].search(host + path):
+                elif other is None and _compiled(rule.regex).search(host + path):
                     other = rule
             out.append((host, path, best and best.name, (best or other).verdict if best or other else default, len(ids)))
         return pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_candidates"])

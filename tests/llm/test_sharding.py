@@ -70,3 +70,14 @@ def test_odd_rows(odd, empty):
 def test_small_blocks(spark):
     table = spark.createDataFrame([(None if i % 3 else i, {"a": i}) for i in range(500)], "k long, m map<string,long>")
     check_shards(as_dicts(sharding.shard_rows(table, 3, block_rows=20)), 500, 3)
+
+
+def test_repeated_rows_are_spread(spark):
+    """A row that is most of the table reaches all shards, each evenly, and is permuted by more than one task's worth of keys."""
+    table = spark.range(900).selectExpr("if(id < 600, -1L, id) as k")
+    rows = as_dicts(sharding.shard_rows(table, 4))
+    check_shards(rows, 900, 4)
+    hot = Counter(r["shard"] for r in rows if r["k"] == -1)
+    assert sum(hot.values()) == 600 and min(hot.values()) > 110  # 150 expected, sd 7
+    slots = sorted(r["slot"] for r in rows if r["k"] == -1 and r["shard"] == 0)
+    assert np.diff(slots).max() < 20
