@@ -63,8 +63,8 @@ _SLICE = 1 << 18
 POSITIONS, BAND = 64, 4
 #: Equal positions of 64 that a pair needs: 51 (sd 3.2) are equal at a similarity of 0.8.
 LEAST = 40
-#: Of a list up to this length all pairs are candidates; of a longer one those with its least and greatest entry, and the same in its parts by two bytes of the bands so many steps on.
-NEAR_PAIRS, STEPS = 16, (5, 8, 11)
+#: Of a list up to this length all pairs are candidates; of a longer one each entry's with one that the list draws, and the same in its parts by two bytes of the bands so many steps on.
+NEAR_PAIRS, STEPS = 16, (2, 3, 5, 8, 11, 13)
 _SIG = [f"s{i}" for i in range(POSITIONS // 8)]
 _MIX = np.random.default_rng(8).integers(0, 1 << 63, (2, POSITIONS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -206,13 +206,13 @@ def near_tally(a: str, b: str) -> Column:
 
 
 def _met(lists: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b of entries that meet: all of a short list; of a long one each with the least and the greatest. And the long lists."""
-    sizes = lists.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("n > 1")
+    """Pairs a, b of entries that meet: all of a short list; of a long one each with an entry that the list itself draws. And the long lists."""
+    drawn = F.min_by("x", F.xxhash64("x.node", *by))
+    sizes = lists.groupBy(*by).agg(F.count("*").alias("n"), drawn.alias("centre")).where("n > 1")
     shared = materialize(lists.join(sizes, by), "near-postings")
     short, long_ = shared.where(F.col("n") <= NEAR_PAIRS), shared.where(F.col("n") > NEAR_PAIRS)
-    pairs = short.select(*by, F.col("x").alias("a")).join(short.select(*by, F.col("x").alias("b")), by).select("a", "b")
-    ends = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("x").alias("b")), F.struct(F.col("x").alias("a"), F.col("high").alias("b"))))
-    return pairs.unionByName(long_.select(ends.alias("p")).select("p.a", "p.b")).where("a.node < b.node"), long_
+    pairs = short.select(*by, F.col("x").alias("a")).join(short.select(*by, F.col("x").alias("b")), by).select("a", "b").where("a.node < b.node")
+    return pairs.unionByName(long_.where("x.node <> centre.node").select(F.col("x").alias("a"), F.col("centre").alias("b"))), long_
 
 
 def near_candidates(distinct: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def near_candidates(distinct: DataFrame) -> DataFrame:
     at = lambda step: F.pmod(F.shiftrightunsigned("key", 32) + step, F.lit(bands)).cast("int")
     others = F.array(*(F.lit(step << 16).bitwiseOR(F.get(F.array(*map(two, range(bands))), at(step))) for step in STEPS))
     nearer, _ = _met(long_.select("x", "key", F.explode(others).alias("part")), ["key", "part"])
-    met = met.unionByName(nearer).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), near_tally("a", "b").alias("tally"))
+    met = met.unionByName(nearer).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), near_tally("a", "b").alias("tally"))
     return met.where(F.col("tally") >= LEAST).groupBy("u", "v").agg(F.max("tally").alias("tally"))
 
 
