@@ -77,8 +77,10 @@ PATTERNS = (
 )
 
 
-#: A worker compiles a rule when a URL first fetches it, once.
-_compiled = functools.cache(re.compile)
+@functools.cache
+def _compiled(regex: str) -> re.Pattern:
+    """A worker compiles a rule when a URL first fetches it, once."""
+    return re.compile(regex)
 
 
 def _split(url: str | None) -> tuple[str, str]:
