@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies one operator, with production parameters, to its whole table."""
+"""The queries op1 to op13: each applies one operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
+from . import alignment, fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
 from .common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +80,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and their corpus counts of every document. Null or empty text, and text that a tokenizer's bytes don't give back, has zeros and an empty digest; repeated rows count each; long texts are aligned whole; columns of other names are ignored; an empty table gives no row."""
+    import public_tokenizers
+
+    return alignment.align_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_classifier, op2_exact_topk, op3_lm_scoring, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing)}
+    every = (
+        op1_quality_classifier, op2_exact_topk, op3_lm_scoring, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing,
+        op11_tokenizer_alignment,
+    )
+    return {q.__name__: q for q in every}
 
 
 #: Rules as the contract lists them: (verdict, host, path).
