@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
+from . import alignment, extraction, fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
 from .common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,10 +87,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null html, or a page without text, gives an empty text; repeated rows are extracted one by one; long pages are read whole; columns of other names are ignored; an empty table gives no row."""
+    return extraction.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_quality_classifier, op2_exact_topk, op3_lm_scoring, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing,
-        op11_tokenizer_alignment,
+        op11_tokenizer_alignment, op12_html_extraction,
     )
     return {q.__name__: q for q in every}
 
