@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, extraction, fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
+from . import alignment, dialogue, extraction, fingerprint, langid, lm, mixing, packing, quality, sharding, simhash, topk, urlfilter
 from .common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,10 +92,15 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every conversation. Null role and text are one space, a null turn comes first, a null conversation is one of its own; turns of one number go by role initial and digest; equal rows are repeats; long texts and conversations are repaired whole; columns of other names are ignored; an empty table gives no row."""
+    return dialogue.audit(dialogue.damage(_read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_quality_classifier, op2_exact_topk, op3_lm_scoring, op4_packing, op5_simhash, op6_language_id, op7_url_filter, op8_fingerprint, op9_sharding, op10_mixing,
-        op11_tokenizer_alignment, op12_html_extraction,
+        op11_tokenizer_alignment, op12_html_extraction, op13_conversation_repair,
     )
     return {q.__name__: q for q in every}
 
