@@ -1,4 +1,9 @@
-"""Listings from what their pages say: declared fields, addresses, showings, and what fills what is missing."""
+"""Listings from what their pages say: declared fields, addresses, showings, and what fills what is missing.
+
+Fields are looked up by an inverted index of names: a page's JSON entries and labels are rows, each distinct name is
+compared with the declared names once, and rows meet the fields that want them in an equi-join on the name. Of each
+page and field the row of the best source, and there the first, counts.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, urls
-from ..sources import html
+from ..sources import html, staging
+from . import facts
 
 # Field, names of its JSON keys, labels on the page, and how its value is read.
 FIELDS = (
@@ -37,51 +43,78 @@ START, END = "from|start|fra", "to|end|til|slutt"
 _ISO = r"\d{4}-\d{2}-\d{2}"
 
 
-def clean(value: Column, kind: str) -> Column:
-    """A field's text as text: trimmed, or the digits of an amount, the first whole number, an area as a number."""
-    text = F.trim(value)
+#: Sources of a field, best first, and the distance between them in the order of candidates.
+JSON_OBJECT, JSON_KEY, LABEL, URL = range(4)
+_RANK = 1 << 40
+
+
+def clean(value: Column, kind: str, number: Column | None = None) -> Column:
+    """A field's text as text: trimmed, or the digits of an amount, the first whole number, an area as a number. number: whether JSON has it as a number."""
+    text, number = F.trim(value), F.lit(False) if number is None else number
     plain = F.regexp_replace(F.regexp_replace(text, "[\\u00a0 ]", ""), "(?i)kr", "")
     if kind == "money":
-        return F.nullif(F.regexp_replace(F.regexp_replace(plain, r"^(-?\d+)\.\d*$", "$1"), "[^0-9]", ""), F.lit(""))
+        return F.when(number, F.bround(text.try_cast("double")).cast("long").cast("string")).otherwise(F.nullif(F.regexp_replace(plain, "[^0-9]", ""), F.lit("")))
     if kind == "whole":
         return F.nullif(F.regexp_extract(text, r"(-?\d+)", 1), F.lit(""))
     if kind == "area":
         bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "m²|m2|kvm|kvadratmeter", ""), ",", "."), "[^0-9.]", "")
-        number = F.regexp_replace(bare, r"\.(?=.*\.)", "").try_cast("double")
-        return F.when(F.abs(number - F.round(number)) < 1e-6, F.round(number).cast("long").cast("string")).otherwise(number.cast("string"))
+        whole = F.when(number, text.try_cast("double")).otherwise(F.regexp_replace(bare, r"\.(?=.*\.)", "").try_cast("double"))
+        return F.when(F.abs(whole - F.round(whole)) < 1e-6, F.round(whole).cast("long").cast("string")).otherwise(whole.cast("string"))
+    if kind == "showings":
+        return F.when(F.contains(value, F.lit("|")), value).otherwise(F.nullif(F.array_join(showing_times(value), "|"), F.lit("")))
     return F.nullif(text, F.lit(""))
 
 
-def _group(found: Column, obj: Column) -> Column:
-    return F.filter(found, lambda e: e["obj"] == obj)
+def _rows(pages: DataFrame, key: str, found: str, pairs: str) -> DataFrame:
+    """One row per JSON entry and per label of each page: source, place, name (and the name without spaces), value."""
+    named = [F.col("e.key").alias("name"), F.replace("e.key", F.lit(" "), F.lit("")).alias("together"), F.col("e.value").alias("value")]
+    in_json = pages.select(key, F.posexplode(found).alias("pos", "e")).select(key, F.lit(JSON_KEY).alias("source"), F.col("pos").cast("long"), *named, "e.obj", "e.up", "e.depth", "e.linked", "e.number")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("obj", "int"), ("up", "string"), ("depth", "int"))]
+    labels = pages.select(key, F.posexplode(pairs).alias("pos", "e")).select(key, F.lit(LABEL).alias("source"), F.col("pos").cast("long"), *named, *none, F.lit(False).alias("linked"), F.lit(False).alias("number"))
+    return in_json.unionByName(labels)
+
+
+def _candidates(rows: DataFrame, key: str, field: str | Column, rank: int | Column, value: Column, number: Column | None = None, place: Column | None = None) -> DataFrame:
+    field, rank = F.lit(field) if isinstance(field, str) else field, F.lit(rank) if isinstance(rank, int) else rank
+    order = rank.cast("long") * _RANK + (F.col("pos") if place is None else place)
+    return rows.select(key, field.alias("field"), order.alias("order"), value.alias("value"), (F.lit(False) if number is None else number).alias("number"))
 
 
-def _together(key: Column) -> Column:
-    return F.replace(key, F.lit(" "), F.lit(""))
+def _best(candidates: DataFrame, key: str) -> DataFrame:
+    """key, field, value, number of the first candidate of each."""
+    best = candidates.groupBy(key, "field").agg(F.min_by(F.struct("value", "number"), "order").alias("b"))
+    return best.select(key, "field", "b.value", "b.number")
 
 
-def json_address(found: Column) -> Column:
-    """Street, postcode and town of the first object that names a street; of repeated keys the last counts."""
-    objects = F.array_distinct(F.transform(F.filter(found, lambda e: _together(e["key"]).isin(*STREET) & (F.trim(e["value"]) != "")), lambda e: e["obj"]))
-    last = lambda own, keys: F.try_element_at(F.transform(F.filter(own, lambda e: _together(e["key"]).isin(*keys)), lambda e: F.nullif(F.trim(e["value"]), F.lit(""))), F.lit(-1))
-    own = _group(found, F.get(objects, F.lit(0)))
-    tail = F.nullif(F.concat_ws(" ", last(own, POSTCODE), last(own, TOWN)), F.lit(""))
-    return F.when(F.size(objects) > 0, F.concat_ws(", ", last(own, STREET), tail))
+def _name_index(rows: DataFrame) -> DataFrame:
+    """source, name, field: which fields want a name. A page's names are few and shared, so this is small beside its rows."""
+    wanted = []
+    for field_name, keys, labels, _ in FIELDS:
+        for source, names in ((JSON_KEY, keys), (LABEL, labels)):
+            if names:
+                wanted.append(F.when((F.col("source") == source) & html.names_match(F.col("name"), *names), F.lit(field_name)))
+    return rows.select("source", "name").distinct().select("source", "name", F.explode(F.array_compact(F.array(*wanted))).alias("field"))
 
 
-def json_showings(found: Column) -> Column:
-    """start/end of every object with a key of viewings or showings, from its keys that hold a date."""
-    objects = F.array_distinct(F.transform(F.filter(found, lambda e: _together(e["key"]).rlike("viewing|showing")), lambda e: e["obj"]))
+def json_addresses(rows: DataFrame, key: str) -> DataFrame:
+    """Candidates of "adresse": street, postcode and town of each object that names a street; of repeated keys the last counts."""
+    own = rows.where((F.col("source") == JSON_KEY) & F.col("together").isin(*STREET, *POSTCODE, *TOWN))
+    last = lambda names: F.max_by(F.coalesce(F.trim("value"), F.lit("")), F.when(F.col("together").isin(*names), F.col("pos")))
+    objects = own.groupBy(key, "obj").agg(last(STREET).alias("street"), F.nullif(last(POSTCODE), F.lit("")).alias("code"), F.nullif(last(TOWN), F.lit("")).alias("town")).where("street <> ''")
+    value = F.concat_ws(", ", "street", F.nullif(F.concat_ws(" ", "code", "town"), F.lit("")))
+    return _candidates(objects, key, "adresse", JSON_OBJECT, value, place=F.col("obj"))
 
-    def one(obj: Column) -> Column:
-        dated = F.filter(_group(found, obj), lambda e: e["value"].rlike(_ISO))
-        begin = F.filter(dated, lambda e: _together(e["key"]).rlike(START) | ~_together(e["key"]).rlike(END))
-        named = F.filter(begin, lambda e: _together(e["key"]).rlike(START))
-        end = F.filter(dated, lambda e: ~_together(e["key"]).rlike(START) & _together(e["key"]).rlike(END))
-        start = F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(begin, F.lit(1)))["value"]
-        return F.nullif(F.concat_ws("/", start, F.try_element_at(end, F.lit(-1))["value"]), F.lit(""))
 
-    return F.filter(F.transform(objects, one), lambda x: x.isNotNull())
+def json_showings(rows: DataFrame, key: str) -> DataFrame:
+    """Candidates of "visningstidspunkter": start/end of every object with a key of viewings or showings, from its keys that hold a date, each once."""
+    at, dated = F.col("together"), F.col("value").rlike(_ISO) | F.col("number")
+    own = rows.where((F.col("source") == JSON_KEY) & (at.rlike("viewing|showing") | (dated & F.col("value").isNotNull())))
+    when = lambda x: F.when(dated & x, F.col("pos"))
+    start = F.coalesce(F.max_by("value", when(at.rlike(START))), F.min_by("value", when(~at.rlike(f"{START}|{END}"))))
+    objects = own.groupBy(key, "obj").agg(F.bool_or(at.rlike("viewing|showing")).alias("shown"), start.alias("start"), F.max_by("value", when(~at.rlike(START) & at.rlike(END))).alias("end"))
+    told = objects.where("shown").select(key, "obj", F.concat_ws("/", "start", "end").alias("told")).where("told <> ''")
+    every = told.groupBy(key).agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("obj", "told"))), lambda x: x["told"])), "|").alias("value"))
+    return _candidates(every, key, "visningstidspunkter", JSON_OBJECT, F.col("value"), place=F.lit(0))
 
 
 def showing_times(text: Column) -> Column:
@@ -89,28 +122,87 @@ def showing_times(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, r"[\n,]+"), lambda x: F.trim(x)), lambda t: (t != "") & ~F.contains(F.lower(t), F.lit("ingen"))))
 
 
-def field(name: str, found: Column, pairs: Column, url: Column) -> Column:
-    """A declared field: from its JSON, else the JSON keys, else the labels, else (the listing's number) the URL; then cleaned."""
-    _, keys, labels, kind = next(f for f in FIELDS if f[0] == name)
-    choices = []
-    if name == "adresse":
-        choices.append(json_address(found))
-    if name == "visningstidspunkter":
-        choices.append(F.nullif(F.array_join(F.array_distinct(json_showings(found)), "|"), F.lit("")))
-    if keys:
-        choices.append(html.first_named(found, *keys))
-    if labels:
-        choices.append(html.first_named(pairs, *labels))
-    if name == "finn-kode":
-        choices.append(F.coalesce(urls.listing_id(url), F.nullif(F.regexp_extract(url, r"(\d{6,})", 1), F.lit(""))))
-    value = F.coalesce(*choices)
-    return F.when(F.contains(value, F.lit("|")), value).otherwise(F.nullif(F.array_join(showing_times(value), "|"), F.lit(""))) if kind == "showings" else clean(value, kind)
-
-
-def key_numbers(pages: DataFrame, found: str = "entries", pairs: str = "pairs", url: str = "url") -> DataFrame:
-    """pages (entries, pairs of plain key and value) with key_numbers, a map of field to text, null where nothing is said."""
-    items = [x for name, *_ in FIELDS for x in (F.lit(name), field(name, F.col(found), F.col(pairs), F.col(url)))]
-    return pages.withColumn("key_numbers", F.create_map(*items))
+def key_numbers(pages: DataFrame, key: str, found: str = "entries", pairs: str = "pairs", url: str = "url") -> DataFrame:
+    """key, key_numbers (a map of field to text, null where nothing is said) of pages (entries, pairs of plain key and value, url).
+
+    A field comes from its JSON object, else the JSON keys, else the labels, else (the listing's number) the URL; then it
+    is cleaned. Rows of one key are one page; a page that says nothing has a map of nulls.
+    """
+    rows = staging.staged(_rows(pages, key, found, pairs), "listing-rows")
+    named = rows.where("value IS NOT NULL").join(_name_index(rows), ["source", "name"])
+    code = F.coalesce(urls.listing_id(F.col(url)), F.nullif(F.regexp_extract(F.col(url), r"(\d{6,})", 1), F.lit("")))
+    every = (
+        _candidates(named, key, F.col("field"), F.col("source"), F.col("value"), F.col("number"))
+        .unionByName(json_addresses(rows, key)).unionByName(json_showings(rows, key))
+        .unionByName(_candidates(pages, key, "finn-kode", URL, code, place=F.lit(0)))
+    )
+    kinds = {}
+    for name, _, _, kind in FIELDS:
+        kinds.setdefault(kind, []).append(name)
+    text = clean(F.col("value"), "text")
+    for kind, names in kinds.items():
+        text = F.when(F.col("field").isin(*names), clean(F.col("value"), kind, F.col("number"))).otherwise(text) if kind != "text" else text
+    told = _best(every, key).select(key, F.struct("field", text.alias("value")).alias("e")).groupBy(key).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    return told.select(key, F.create_map(*(x for name, *_ in FIELDS for x in (F.lit(name), F.try_element_at("m", F.lit(name))))).alias("key_numbers"))
+
+
+def _amount(text: Column) -> Column:
+    """Digits before a decimal comma, rounded; points only part thousands."""
+    return F.bround(F.replace(F.replace(F.regexp_replace(text, "[^0-9,.]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")).cast("long")
+
+
+#: What a page's text calls a price and the shared costs.
+TEXT_PRICES, TEXT_COSTS = ("Totalpris", "Prisantydning"), r"Felleskostnader|Felleskost/mnd\.?|Fellesutgifter"
+MOST_ADDRESS = 80
+
+
+def _in_text(names: str) -> Column:
+    return _amount(F.nullif(F.regexp_extract("text", rf"(?iU)(?:{names})\s*[:\s]\s*([0-9\s.\u00a0]+)kr?", 1), F.lit(""))).cast("string")
+
+
+def project(pages: DataFrame, key: str = "page_id", column: str = "html", url: str = "url") -> DataFrame:
+    """A listing per page: key, source_url, image, address, total_price, hoa_month, lat, lon, area_m2, rooms.
+
+    image: what the head names, else the first of the linked data, else the gallery's; address: the page's own, else that of
+    the linked data, with a digit and of at most 80 characters; price: the first offer of the linked data that isn't zero, else
+    the text's; a position needs both numbers; area and rooms: labels before text. Nothing found is null; rows of one key are one page.
+    """
+    read = staging.staged(html.with_listing(pages.select(key, F.col(url).alias("source_url"), F.col(column).alias("html"))), "listing-pages")
+    marked = lambda name: F.col("marks")[name]
+    held = lambda address: F.when(address.rlike(r"\d") & (F.length(address) <= MOST_ADDRESS), address)
+    own = [("source_url", 0, F.col("source_url")), ("image", 0, marked("og:image")), ("image", 1, marked("twitter:image")), ("image", 3, marked("gallery")), ("address", 0, held(clean_address(marked("address"))))]
+    own += [("total_price", 1 + i, _in_text(name)) for i, name in enumerate(TEXT_PRICES)] + [("hoa_month", 0, _in_text(TEXT_COSTS))]
+    own += [("area_m2", 0, facts.area(F.col("labels"), F.col("text")).cast("string")), ("rooms", 0, facts.rooms(F.col("labels"), F.col("text")).cast("string"))]
+    told = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(rank).alias("rank"), v.alias("value")) for f, rank, v in own))
+    plain = read.select(key, F.explode(told).alias("c")).select(key, "c.*")
+    every = _candidates(plain.where("value IS NOT NULL OR field = 'source_url'"), key, F.col("field"), F.col("rank"), F.col("value"), place=F.lit(0))
+
+    rows = _rows(read, key, "entries", "pairs").where("linked AND value IS NOT NULL")
+    at = lambda depth, up, *names: (F.col("depth") == depth) & (F.col("up") == up if up else F.lit(True)) & F.col("together").isin(*names)
+    rows = rows.where(at(1, "", "image") | at(2, "address", "streetaddress", "postalcode", "addresslocality") | at(2, "offers", "price") | at(3, "pricespecification", "price") | at(2, "geo", "latitude", "longitude"))
+    pick = lambda up, name: F.max(F.when(at(2, up, name), F.trim("value")))
+    objects = rows.where("depth = 2 AND up <> 'offers'").groupBy(key, "obj").agg(*(pick(u, n).alias(n) for u, n in (("address", "streetaddress"), ("address", "postalcode"), ("address", "addresslocality"), ("geo", "latitude"), ("geo", "longitude"))))
+    street, code, town = (F.nullif(F.col(c), F.lit("")) for c in ("streetaddress", "postalcode", "addresslocality"))
+    address = held(clean_address(F.coalesce(F.concat(street, F.lit(", "), code, F.lit(" "), town), street, town)))
+    degrees = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double").cast("string")
+    lat, lon = degrees(F.col("latitude")), degrees(F.col("longitude"))
+    price = _amount(F.col("value"))
+    for found in (
+        _candidates(rows.where(at(1, "", "image") & ~F.col("number")), key, "image", 2, F.col("value")),
+        _candidates(objects.where(address.isNotNull()), key, "address", 1, address, place=F.col("obj")),
+        _candidates(rows.where(F.col("up").isin("offers", "pricespecification") & (price != 0)), key, "total_price", 0, price.cast("string")),
+        _candidates(objects.where(lat.isNotNull() & lon.isNotNull()), key, "position", 0, F.concat_ws(" ", lat, lon), place=F.col("obj")),
+    ):
+        every = every.unionByName(found)
+    best = _best(every, key)
+    of = lambda name: F.max(F.when(F.col("field") == name, F.col("value")))
+    names = ("source_url", "image", "address", "total_price", "hoa_month", "position", "area_m2", "rooms")
+    wide = best.groupBy(key).agg(*(of(n).alias(n) for n in names))
+    part = lambda i: F.split("position", " ")[i].cast("double")
+    return wide.select(
+        key, "source_url", "image", "address", F.col("total_price").cast("long").alias("total_price"), F.col("hoa_month").cast("long").alias("hoa_month"), part(0).alias("lat"), part(1).alias("lon"),
+        F.col("area_m2").cast("double").alias("area_m2"), F.col("rooms").cast("int").alias("rooms"),
+    )
 
 
 def has_any_number(values: Column) -> Column:

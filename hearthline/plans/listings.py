@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..operators import brokers, listing, rent
+from ..sources import html, staging
 from .catalog import query, read
 
 
@@ -147,7 +148,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's key as a listing: some fields in its JSON, some only as labels, some nowhere."""
     k = F.col(_K)
     money = F.concat((k % 9 + 1).cast("string"), F.lit(" "), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" 000 kr"))
-    entry = lambda obj, key, value: F.struct(F.lit(obj).alias("obj"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+    entry = lambda obj, key, value: F.struct(F.lit(obj).alias("obj"), F.lit("").alias("up"), F.lit(1).alias("depth"), F.lit(False).alias("linked"), F.lit(key).alias("key"), value.cast("string").alias("value"), F.lit(False).alias("number"))
     pair = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
     found = F.array(
         entry(1, "object type", F.when(k % 3 == 0, F.lit(" Leilighet "))), entry(2, "street address", F.when(k % 4 != 0, F.concat(F.lit("Gate "), (k % 50).cast("string")))),
@@ -157,7 +158,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(pair("adresse", F.lit(" Veien 1 ")), pair("pris", money), pair("felleskost mnd", F.when(k % 7 != 0, F.concat((k % 9000).cast("string"), F.lit(" kr")))), pair("bruksareal", F.concat((k % 200).cast("string"), F.lit(",50 m²"))),
                     pair("byggear", F.concat(F.lit("ca. "), (k % 100 + 1900).cast("string"))), pair("energi merking", F.when(k % 2 == 1, F.lit("C - gul"))))
     o = read(spark, sf_dir, "orders").select(_K, F.concat(F.lit("https://x.no/ad/"), (k + 1_000_000).cast("string")).alias("url"), found.alias("entries"), pairs.alias("pairs"))
-    return listing.key_numbers(o)
+    return listing.key_numbers(o, _K)
 
 
 _FIELDS = f"""f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN concat('Gate ', o_orderkey % 50, ', ', lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0'), CASE WHEN o_orderkey % 5 <> 0 THEN ' Bergen' ELSE '' END) ELSE 'Veien 1' END AS adresse,
@@ -181,6 +182,50 @@ def key_numbers_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.enriched(d).select(_K, "total_price", "hoa_month", "used_price", "used_hoa", listing.has_any_number(F.col("key_numbers")).alias("has_any"))
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's own HTML with a listing put into its head and article: images, linked data, page state, labels and prices, each missing on some pages."""
+    k, host = F.col("page_id"), F.regexp_extract("url", "://([^/?#]+)", 1)
+    head = F.concat(
+        F.lit("<head>"), F.when(k % 2 == 0, F.format_string('<meta property="og:image" content="https://images.finncdn.no/dynamic/1600w/%d.jpg">', k)).otherwise(""),
+        F.when(k % 3 == 0, F.format_string('<meta name="twitter:image" content="https://t.no/%d.png">', k)).otherwise(""),
+        F.when(k % 7 != 0, F.format_string(
+            '<script type="application/ld+json">{"@type": "Residence", "image": ["https://ld.no/%d.jpg", "x"], "address": {"streetAddress": "%s %d", "postalCode": "%04d", "addressLocality": "Bergen"}, '
+            '"offers": [{"price": %d}], "geo": {"latitude": "60,%d", "longitude": 5.5}}</script>', k, host, k % 50, k % 10000, k % 9 * 100_000, k % 1000)).otherwise('<script type="application/ld+json">{"cut off": </script>'),
+        F.when(k % 5 != 0, F.format_string(
+            '<script id="__NEXT_DATA__" type="application/json">{"props": {"ad": {"objectType": {"value": " Leilighet "}, "askingPrice": {"amount": "%d 000 000 kr"}, '
+            '"viewings": [{"viewingFrom": "2024-05-0%dT12:00", "viewingTo": "2024-05-09T13:00"}], "deep": [[{"energyLabel": "B"}]]}}}</script>', k % 9 + 1, k % 9 + 1)).otherwise(""),
+    )
+    body = F.concat(
+        F.lit("<article>"), F.when(k % 4 == 1, F.format_string('<h2 data-testid="object-address">Kart <span>Storgata %d</span> Totalpris</h2>', k)).otherwise(""),
+        F.format_string("<dl><dt>Soverom</dt><dd>%d</dd><dt>Bruksareal</dt><dd>%d,5 m²</dd><dt>Eieform</dt><dd>Selveier</dd></dl><p>Totalpris: %d 500 000 kr</p>", k % 6, k % 200 + 20, k % 9 + 1),
+        F.when(k % 5 != 0, F.format_string("<p>Felleskostnader %d 250 kr</p>", k % 9 + 1)).otherwise(""),
+    )
+    whole = F.replace(F.replace("html", F.lit("<head>"), head), F.lit("<article>"), body)
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://x.no/ad?finnkode="), (k + 1_000_000).cast("string")).alias("url"), whole.alias("html"))
+
+
+_HOST = "regexp_extract(url, '://([^/?#]+)', 1) || ' ' || (page_id % 50) || ', ' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || ' Bergen'"
+
+
+@query(f"""SELECT page_id, 'https://x.no/ad?finnkode=' || (page_id + 1000000) AS source_url,
+  CASE WHEN page_id % 2 = 0 THEN 'https://images.finncdn.no/dynamic/1600w/' || page_id || '.jpg' WHEN page_id % 3 = 0 THEN 'https://t.no/' || page_id || '.png' WHEN page_id % 7 <> 0 THEN 'https://ld.no/' || page_id || '.jpg' END AS image,
+  CASE WHEN page_id % 4 = 1 THEN 'Storgata ' || page_id WHEN page_id % 7 <> 0 AND length({_HOST}) <= 80 THEN {_HOST} END AS address,
+  CASE WHEN page_id % 7 <> 0 AND page_id % 9 <> 0 THEN page_id % 9 * 100000 ELSE (page_id % 9 + 1) * 1000000 + 500000 END AS total_price, CASE WHEN page_id % 5 <> 0 THEN (page_id % 9 + 1) * 1000 + 250 END AS hoa_month,
+  CASE WHEN page_id % 7 <> 0 THEN CAST('60.' || (page_id % 1000) AS DOUBLE) END AS lat, CASE WHEN page_id % 7 <> 0 THEN 5.5::DOUBLE END AS lon, page_id % 200 + 20.5::DOUBLE AS area_m2, CAST(page_id % 6 AS INTEGER) AS rooms FROM pages""")
+def listing_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.project(_listed(spark, sf_dir))
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN {_HOST} END AS adresse, CASE WHEN page_id % 5 <> 0 THEN 'Leilighet' END AS boligtype, 'Selveier' AS eieform, CASE WHEN page_id % 5 <> 0 THEN CAST((page_id % 9 + 1) * 1000000 AS VARCHAR) END AS prisantydning,
+  CAST(page_id % 6 AS VARCHAR) AS soverom, CASE WHEN page_id % 5 <> 0 THEN 'B' END AS energimerke, concat(page_id % 200 + 20, '.5') AS bra, CAST(page_id + 1000000 AS VARCHAR) AS code,
+  CASE WHEN page_id % 5 <> 0 THEN concat('2024-05-0', page_id % 9 + 1, 'T12:00/2024-05-09T13:00') END AS visning, CAST(NULL AS VARCHAR) AS totalpris FROM pages""")
+def page_key_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared fields from the pages' HTML: parsed once, staged, then looked up by name."""
+    names = {"adresse": "adresse", "boligtype": "boligtype", "eieform": "eieform", "prisantydning": "prisantydning", "soverom": "soverom", "energimerke": "energimerke", "BRA (m²)": "bra", "finn-kode": "code", "visningstidspunkter": "visning", "totalpris": "totalpris"}
+    content = staging.staged(html.with_listing(_listed(spark, sf_dir)), "listing-pages")
+    return listing.key_numbers(content, "page_id").select("page_id", *(F.col("key_numbers")[n].alias(a) for n, a in names.items()))
+
+
 ADDRESSES = ("Kart Storgata 1 Prisantydning", "  Kart  Veien 2  totalpris ", "Kartveien 3", "Gate 4", " Prisantydning")
 
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 _BLOCKS = {"p", "li", "dd", "dt", "div", "span"}
 _CELLS = {"td", "th"}
+_TOLD = _BLOCKS | _CELLS
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _FACTS = re.compile(r"fact|key|info", re.IGNORECASE)
 #: Keys of an object whose value stands for it.
-VALUE_KEYS = ("value", "amount", "text", "name", "label", "displayValue")
+VALUE_KEYS = ("value", "amount", "amountvalue", "amount_value", "raw", "rawvalue", "raw_value", "number", "price", "pricevalue", "price_value", "formatted", "formattedvalue")
 SCHEMA = "rows array<string>, blocks array<string>, pairs array<struct<label:string,value:string,pos:int>>, json array<string>"
 
 
@@ -25,7 +26,7 @@ def _tidy(parts: list[str]) -> str:
 
 
 class _Page(HTMLParser):
-    """Open elements with the text within each; what closes is filed by its kind."""
+    """Open elements, each with the place where its text begins; what closes is filed by its kind."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -35,21 +36,32 @@ class _Page(HTMLParser):
         self.lists: list[tuple[list[str], list[str]]] = []
         self.facts: list[str] = []
         self.json: list[str] = []
+        self.state: list[str] = []
+        self.marks: dict[str, str] = {}
+        self.parts: list[str] = []
         self.count = 0
 
     def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
         if tag in _VOID:
+            self._mark(tag, a)
             return
-        a = dict(attrs)
         self.count += 1
-        is_json = tag == "script" and (a.get("type") == "application/ld+json" or a.get("id") == "__NEXT_DATA__")
+        is_json = None if tag != "script" else self.json if a.get("type") == "application/ld+json" else self.state if a.get("id") == "__NEXT_DATA__" else None
         fact = bool(_FACTS.search(a.get("class") or "") or "facts" in (a.get("data-testid") or ""))
-        self.open.append({"tag": tag, "n": self.count, "text": [], "cells": [], "dt": [], "dd": [], "json": is_json, "fact": fact})
+        self.open.append({"tag": tag, "n": self.count, "at": len(self.parts), "text": [], "cells": [], "dt": [], "dd": [], "json": is_json, "fact": fact, "address": a.get("data-testid") == "object-address"})
+
+    def _mark(self, tag: str, a: dict[str, str]) -> None:
+        """Images that the head or a gallery names, the first of each kind."""
+        name = a.get("property") or a.get("name") or ""
+        if tag == "meta" and name in ("og:image", "twitter:image") and a.get("content"):
+            self.marks.setdefault(name, a["content"])
+        if tag == "img" and a.get("src") and (a.get("data-testid") == "gallery-image" or "images" in a["src"]):
+            self.marks.setdefault("gallery", a["src"])
 
     def handle_data(self, data):
         hidden = next((e for e in reversed(self.open) if e["tag"] in ("script", "style")), None)
-        for e in [hidden] if hidden else self.open:
-            e["text"].append(data)
+        (hidden["text"] if hidden else self.parts).append(data)
 
     def handle_endtag(self, tag):
         if not any(e["tag"] == tag for e in self.open):
@@ -61,10 +73,13 @@ class _Page(HTMLParser):
                 return
 
     def _file(self, e: dict) -> None:
-        tag, text = e["tag"], _tidy(e["text"])
+        tag = e["tag"]
+        text = _tidy(self.parts[e["at"] :]) if tag in _TOLD or e["address"] else ""
         inside = {x["tag"] for x in self.open}
-        if e["json"]:
-            self.json.append("".join(e["text"]))
+        if e["json"] is not None:
+            e["json"].append("".join(e["text"]))
+        if e["address"]:
+            self.marks.setdefault("address", text)
         if tag in _CELLS:
             for x in reversed(self.open):
                 if x["tag"] == "tr":
@@ -95,7 +110,18 @@ def _key_value(text: str) -> tuple[str, str] | None:
     return (m.group(1).strip(), m.group(2).strip()) if m else None
 
 
-def read_page(html: str | None) -> dict:
+def _valid(documents: list[str]) -> list[str]:
+    out = []
+    for raw in documents:
+        try:
+            out.append(json.dumps(json.loads(raw), ensure_ascii=False))
+        except ValueError:
+            continue
+    return out
+
+
+def _parsed(html: str | None) -> tuple[_Page, dict[str, str]]:
+    """The page, and its label-value pairs: of lists, table rows and facts, the first of each label."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -105,14 +131,24 @@ def read_page(html: str | None) -> dict:
     for label, value in found:
         if label and value:
             pairs.setdefault(label, value)
+    return page, pairs
+
+
+def read_page(html: str | None) -> dict:
+    page, pairs = _parsed(html)
     rows = [t for r in page.rows if (t := _tidy(r))]
-    valid = []
-    for raw in page.json:
-        try:
-            valid.append(json.dumps(json.loads(raw), ensure_ascii=False))
-        except ValueError:
-            continue
-    return {"rows": rows, "blocks": [t for _, t in sorted(page.blocks)], "pairs": [{"label": k, "value": v, "pos": i} for i, (k, v) in enumerate(pairs.items())], "json": valid}
+    listed = [{"label": k, "value": v, "pos": i} for i, (k, v) in enumerate(pairs.items())]
+    return {"rows": rows, "blocks": [t for _, t in sorted(page.blocks)], "pairs": listed, "json": _valid(page.json + page.state)}
+
+
+def read_listing(html: str | None) -> dict:
+    """What a listing is projected from: labels, entries of the embedded JSON (linked data first), marked images and address, and the text."""
+    page, pairs = _parsed(html)
+    linked, state = _valid(page.json), _valid(page.state[:1])
+    return {
+        "labels": [{"label": k, "value": v, "pos": i} for i, (k, v) in enumerate(pairs.items())], "pairs": [{"key": plain_key(k), "value": v} for k, v in pairs.items()],
+        "entries": json_entries(linked + state, len(linked)), "marks": page.marks, "text": " ".join(t for x in page.parts if (t := x.strip())),
+    }
 
 
 def with_content(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -125,6 +161,17 @@ def with_content(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.withColumn("_c", read(F.col(column))).select(*pages.columns, "_c.*")
 
 
+def with_listing(pages: DataFrame, column: str = "html") -> DataFrame:
+    """pages without the column, with labels (label, value, pos), pairs (plain key, value), entries, marks (og:image, twitter:image, gallery, address) and text."""
+    kept = [c for c in pages.columns if c != column]
+
+    @F.pandas_udf(LISTING)
+    def read(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_listing(h) for h in html], columns=["labels", "pairs", "entries", "marks", "text"])
+
+    return pages.withColumn("_c", read(F.col(column))).select(*kept, "_c.*")
+
+
 def segments(pages: DataFrame, key: str, source: str) -> DataFrame:
     """key, pos, text, source: table rows, then text blocks outside tables, each text once whatever its case."""
     each = with_content(pages).select(key, F.posexplode(F.concat("rows", "blocks")).alias("pos", "text"))
@@ -132,7 +179,8 @@ def segments(pages: DataFrame, key: str, source: str) -> DataFrame:
     return first.select(key, "f.pos", "f.text", F.lit(source).alias("source"))
 
 
-ENTRIES = "array<struct<obj:int,key:string,value:string>>"
+ENTRIES = "array<struct<obj:int,up:string,depth:int,linked:boolean,key:string,value:string,number:boolean>>"
+LISTING = f"labels array<struct<label:string,value:string,pos:int>>, pairs array<struct<key:string,value:string>>, entries {ENTRIES}, marks map<string,string>, text string"
 
 
 def plain_key(text: str) -> str:
@@ -153,20 +201,24 @@ def _first_scalar(node):
     return None
 
 
-def json_entries(documents: list[str] | None) -> list[dict]:
-    """Every entry of every object, in reading order, with the object's number and the entry's scalar (null if it has none)."""
+def json_entries(documents: list[str] | None, linked: int = 0) -> list[dict]:
+    """Every entry of every object, in reading order: the object's number, the key that the object stands under and its depth, whether
+    it is among the first documents (those of linked data), the entry's key and its scalar (null if it has none), and whether that is a number.
+    """
     out, objects = [], 0
-    waiting = [(None, None, json.loads(d)) for d in reversed(list(documents) if documents is not None else [])]
+    every = list(documents) if documents is not None else []
+    waiting = [(None, "", 0, i < linked, None, json.loads(d)) for i, d in reversed(list(enumerate(every)))]
     while waiting:
-        obj, key, node = waiting.pop()
+        obj, up, depth, first, key, node = waiting.pop()
         if key is not None:
-            value = _first_scalar(node)
-            out.append({"obj": obj, "key": plain_key(key), "value": None if value is None else str(value)})
+            value, plain = _first_scalar(node), plain_key(key)
+            out.append({"obj": obj, "up": up, "depth": depth, "linked": first, "key": plain, "value": None if value is None else str(value), "number": isinstance(value, (int, float))})
+            up = plain
         if isinstance(node, dict):
             objects += 1
-            waiting += [(objects, k, v) for k, v in reversed(node.items())]
+            waiting += [(objects, up, depth + 1, first, k, v) for k, v in reversed(node.items())]
         elif isinstance(node, list):
-            waiting += [(None, None, v) for v in reversed(node)]
+            waiting += [(None, up, depth, first, None, v) for v in reversed(node)]
     return out
 
 

@@ -74,9 +74,9 @@ def test_prospectus_links_of_pages(spark):
 
 
 def test_json_entries_are_read_once_in_order(spark):
-    docs = [json.dumps({"Asking Price": {"amount": None, "text": "3 kr"}, "list": [{"byggeår": 1990}, {"ownershipType": ["Selveier"]}], "flag": True}), json.dumps([{"asking_price": 9}])]
+    docs = [json.dumps({"Asking Price": {"amount": None, "formatted": "3 kr"}, "list": [{"byggeår": 1990}, {"ownershipType": ["Selveier"]}], "flag": True}), json.dumps([{"asking_price": 9}])]
     got = html.json_entries(docs)
-    assert [(e["key"], e["value"]) for e in got] == [("asking price", "3 kr"), ("amount", None), ("text", "3 kr"), ("list", None), ("byggear", "1990"), ("ownershiptype", "Selveier"), ("flag", "True"), ("asking price", "9")]
+    assert [(e["key"], e["value"]) for e in got] == [("asking price", "3 kr"), ("amount", None), ("formatted", "3 kr"), ("list", None), ("byggear", "1990"), ("ownershiptype", "Selveier"), ("flag", "True"), ("asking price", "9")]
     assert html.json_entries(None) == []
     df = spark.createDataFrame([(docs,), (None,)], "d array<string>")
     rows = df.select(html.json_value(F.col("d"), "askingprice").alias("a"), html.json_value(F.col("d"), "byggeår").alias("b"), html.json_value(F.col("d"), "type ownership").alias("c")).collect()
@@ -85,11 +85,11 @@ def test_json_entries_are_read_once_in_order(spark):
 
 def test_key_numbers_of_a_page(spark):
     doc = {"location": {"streetAddress": "Gate 1", "postalCode": "5003", "addressLocality": "Bergen"}, "price": {"totalPrice": 3500000.0, "sharedCost": {"value": "4 200 kr"}}, "viewings": [{"viewingFrom": "2024-05-01T12:00", "viewingTo": "2024-05-01T13:00"}], "bedrooms": "3 stk"}
-    df = spark.createDataFrame([([json.dumps(doc)], "https://x.no/?finnkode=12345678")], "d array<string>, url string").withColumn("entries", html.entries(F.col("d")))
+    df = spark.createDataFrame([(1, [json.dumps(doc)], "https://x.no/?finnkode=12345678")], "id int, d array<string>, url string").withColumn("entries", html.entries(F.col("d")))
     df = df.withColumn("pairs", F.array(F.struct(F.lit("energimerking").alias("key"), F.lit(" B ").alias("value")), F.struct(F.lit("bruksareal bra").alias("key"), F.lit("62,5 m²").alias("value"))))
-    got = {k: v for k, v in listing.key_numbers(df).first()["key_numbers"].items() if v is not None}
+    got = {k: v for k, v in listing.key_numbers(df, "id").first()["key_numbers"].items() if v is not None}
     assert got == {"adresse": "Gate 1, 5003 Bergen", "totalpris": "3500000", "felleskostnader": "4200", "soverom": "3", "energimerke": "B", "BRA (m²)": "62.5", "finn-kode": "12345678", "visningstidspunkter": "2024-05-01T12:00/2024-05-01T13:00"}
-    empty = listing.key_numbers(df.withColumns({"entries": F.lit(None).cast(html.ENTRIES), "pairs": F.lit(None).cast("array<struct<key:string,value:string>>"), "url": F.lit(None).cast("string")})).select(listing.has_any_number(F.col("key_numbers")), "key_numbers").first()
+    empty = listing.key_numbers(df.withColumns({"entries": F.lit(None).cast(html.ENTRIES), "pairs": F.lit(None).cast("array<struct<key:string,value:string>>"), "url": F.lit(None).cast("string")}), "id").select(listing.has_any_number(F.col("key_numbers")), "key_numbers").first()
     assert empty[0] is False
 
 
