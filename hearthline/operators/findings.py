@@ -1,7 +1,9 @@
 """Condition findings from a document's segments (doc_id, pos, text, source).
 
 A trigger line (a grade mark or a grade's header) owns the lines that follow it up to the next boundary: another
-trigger, a summary header, a blank line or a section break. So groups of lines are a running count of boundaries.
+trigger, a summary header, a blank line or a section break. Lines are numbered and dealt into bands of positions, and
+triggers meet the lines that they own, and those just before them, in equi-joins on (document, band): no document is in
+one task, and what is dear to compute is computed for the lines that a trigger needs, after the triggers are known.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..sources import staging
 
 # Components, and words that decide whether and how a finding is kept.
 STANDARD_COMPONENTS = ("Bad", "Våtromsmembran", "Drenering", "Tak", "Vinduer", "Yttervegger", "Ventilasjon", "Elektro/Sikringsskap", "Bereder", "Radon", "Pipe/ildsted")
@@ -82,17 +85,18 @@ def is_section_break(text: Column) -> Column:
     return texts.has_any(F.upper(text), SECTION_BREAKS) | text.rlike(r"(?U)^\s*\d+[.)]")
 
 
+_PREFIX_OF = {prefix: name for name, prefixes in COMPONENT_PREFIXES for prefix in prefixes}
+_PREFIXES = "(?<![a-z0-9])(" + "|".join("tak(?![a-z0-9])" if p == "tak" else p for p in _PREFIX_OF) + ")"
+
+
 def find_component(text: Column) -> Column:
-    """The component whose word comes first in the text, or null."""
+    """The component whose word comes first in the text, or null: one search for all words, those of the first component first."""
+    names = F.create_map(*(F.lit(x) for pair in _PREFIX_OF.items() for x in pair))
+    return F.try_element_at(names, F.regexp_extract(F.lower(texts.strip_marks(F.lower(text))), _PREFIXES, 1))
 
-    def first(plain: Column) -> Column:
-        places = []
-        for order, (name, prefixes) in enumerate(COMPONENT_PREFIXES):
-            words = "|".join("tak(?![a-z0-9])" if p == "tak" else p for p in prefixes)
-            places.append(F.struct(F.regexp_instr(plain, F.lit(f"(?<![a-z0-9])(?:{words})")).alias("at"), F.lit(order).alias("order"), F.lit(name).alias("name")))
-        return F.array_min(F.filter(F.array(*places), lambda p: p["at"] > 0))["name"]
 
-    return texts.let(F.lower(texts.strip_marks(F.lower(text))), first)
+#: What stands before the first [.!?] that follows anything but edges of a sentence.
+FIRST_SENTENCE = r"^[ .,:;–—\-!?]*([^.!?]+)"
 
 
 def clean_reason(text: Column) -> Column:
@@ -101,7 +105,7 @@ def clean_reason(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?iU)^(?:Forhold som har fått|Bygningsdeler med)\s+[^:]{0,150}?Oppsummering\s*[:\-]*\s*", "")
     out = F.regexp_replace(out, r"(?iU)^Oppsummering(?: av)?\s+[^:]{0,120}?[:\-]\s*", "")
     out = texts.trim_edges(F.try_element_at(F.split(out, r"(?iU)\b(?:Tiltak|Konsekvens|Arsak|Anbefaling)\b"), F.lit(1)))
-    out = texts.let(out, lambda t: texts.trim_edges(F.coalesce(F.try_element_at(texts.sentences(t), F.lit(1)), t)))
+    out = texts.let(out, lambda t: texts.trim_edges(F.coalesce(F.nullif(F.regexp_extract(t, FIRST_SENTENCE, 1), F.lit("")), t)))
     out = texts.ellipsis(texts.let(out, lambda t: F.when(t.rlike(r"^\p{L}"), texts.capital(t)).otherwise(t)), MOST_REASON)
 
     def told(t: Column) -> Column:
@@ -123,15 +127,20 @@ def inline_reason(text: Column) -> Column:
     """What stands around the grade mark, joined as the mark was; empty if that is but a header."""
     mark = _GRADE + r"[23][:\-\s.]*"
     edges = r"^[ \-—–:•.;]+|[ \-—–:•.;]+$"
-    clean = F.trim(text)
-    found = F.regexp_substr(clean, F.lit(mark))
-    at = F.instr(clean, found)
-    before = F.regexp_replace(F.substring(clean, F.lit(1), at - 1), edges, "")
-    after = F.trim(F.substr(clean, at + F.length(found)))
-    join = F.when(F.contains(found, F.lit("-")), " - ").when(F.contains(found, F.lit(":")), ": ").otherwise(" ")
-    both = F.when((before != "") & (after != ""), F.concat(before, join, after)).otherwise(F.concat(before, after))
-    out = F.regexp_replace(F.coalesce(F.when(found.isNotNull(), both), F.lit("")), edges, "")
-    return F.when(F.regexp_replace(texts.fold_case(out), r"^[ .:;\-]+|[ .:;\-]+$", "").isin(*HEADERS.values()), "").otherwise(out)
+
+    def cut(s: Column) -> Column:
+        at = F.instr(s["t"], s["m"])
+        before = F.regexp_replace(F.substring(s["t"], F.lit(1), at - 1), edges, "")
+        return F.struct(s["m"].alias("m"), before.alias("before"), F.trim(F.substr(s["t"], at + F.length(s["m"]))).alias("after"))
+
+    def joined(s: Column) -> Column:
+        mark_ = F.when(F.contains(s["m"], F.lit("-")), " - ").when(F.contains(s["m"], F.lit(":")), ": ").otherwise(" ")
+        both = F.when((s["before"] != "") & (s["after"] != ""), F.concat(s["before"], mark_, s["after"])).otherwise(F.concat(s["before"], s["after"]))
+        return F.regexp_replace(F.coalesce(F.when(s["m"].isNotNull(), both), F.lit("")), edges, "")
+
+    header = lambda t: F.regexp_replace(texts.fold_case(t), r"^[ .:;\-]+|[ .:;\-]+$", "").isin(*HEADERS.values())
+    found = texts.let(F.trim(text), lambda t: F.struct(t.alias("t"), F.regexp_substr(t, F.lit(mark)).alias("m")))
+    return texts.let(texts.let(texts.let(found, cut), joined), lambda t: F.when(header(t), "").otherwise(t))
 
 
 def component_label(text: Column) -> Column:
@@ -149,28 +158,67 @@ def _points(cleaned: Column) -> Column:
     return F.lit(1) + texts.has_any(low, IMPORTANT_REASONS).cast("int") * 2 + (has("fall") & has("sluk")).cast("int") * 2 + has("bom").cast("int") + has("mangler").cast("int")
 
 
-def prepare(segments: DataFrame) -> DataFrame:
-    """segments with level, boundary flags, the number of the group each line belongs to, and per-line facts."""
-    text = F.trim(F.coalesce("text", F.lit("")))
-    out = segments.withColumn("text", text).withColumn("level", level(F.col("text")))
+#: Lines of a document that share a band.
+BAND = 64
+
+
+def _band(n: Column) -> Column:
+    return F.floor(n / BAND).cast("long")
+
+
+def numbered(segments: DataFrame) -> DataFrame:
+    """doc_id, pos, text, source with n (0, 1, ... in order of pos, whatever its gaps), band, level and boundary, and d, a key of the document that is never null.
+
+    Numbers come from counts of each stretch of positions, so that only counts of a document meet in one task.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    base = segments.select(key.alias("d"), "doc_id", F.col("pos").cast("long").alias("pos"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), "source", _band(F.col("pos")).alias("part"))
+    counts = base.groupBy("d", "part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("d").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("d", "part").orderBy("pos", "text", "source")) - 1
+    out = base.join(counts.select("d", "part", before.alias("_before")), ["d", "part"]).withColumn("n", F.col("_before") + place)
+    out = out.withColumns({"level": level(F.col("text")), "band": _band(F.col("n"))})
     summary = F.col("level").isNull() & F.contains(F.lower("text"), F.lit(SUMMARY_HEADER))
-    out = out.withColumn("boundary", (F.col("text") == "") | F.col("level").isNotNull() | summary | is_section_break(F.col("text")))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    out = out.withColumn("grp", F.sum(F.col("boundary").cast("int")).over(w))
+    return out.withColumn("boundary", (F.col("text") == "") | F.col("level").isNotNull() | summary | is_section_break(F.col("text"))).drop("part", "_before")
+
+
+def _triggers(lines: DataFrame) -> DataFrame:
+    """Trigger lines with `next`, the number of the next boundary or of the document's end: within the band by its lines, beyond it by the first boundary of each band."""
+    marks = lines.where("boundary")
+    ends = lines.groupBy("d").agg((F.max("n") + 1).alias("first")).select("d", (_band(F.col("first")) + 1).alias("band"), "first")
+    firsts = marks.groupBy("d", "band").agg(F.min("n").alias("first")).unionByName(ends)
+    after = firsts.select("d", "band", F.lead("first").over(Window.partitionBy("d").orderBy("band")).alias("after"))
+    near = F.lead("n").over(Window.partitionBy("d", "band").orderBy("n"))
+    out = marks.withColumn("near", near).join(after, ["d", "band"]).withColumn("next", F.coalesce("near", "after")).drop("near", "after", "boundary")
+    return out.where(F.col("level").isNotNull() & ~texts.has_any(texts.fold_case(F.col("text")), SKIP_TRIGGERS))
+
+
+def _owned(triggers: DataFrame, lines: DataFrame) -> DataFrame:
+    """d, at (the trigger's number), level and the trigger's lines: all bands that it reaches, and there the lines before the next boundary."""
+    reach = triggers.where("next > n + 1").select("d", F.col("n").alias("at"), "next", "level", F.explode(F.sequence(_band(F.col("n") + 1), _band(F.col("next") - 1))).alias("band"))
+    inside = lines.where("NOT boundary").select("d", "doc_id", "band", "n", "pos", "text", "source")
+    return inside.join(reach, ["d", "band"]).where("n > at AND n < next").drop("band", "next")
+
+
+def _facts(lines: DataFrame) -> DataFrame:
+    """What a line is worth to a trigger after it."""
     low = texts.fold_case(F.col("text"))
-    facts = {
-        "label": component_label(F.col("text")), "cleaned": clean_reason(F.col("text")), "hit": texts.has_any(low, IMPORTANT_REASONS),
-        "soft": texts.has_any(low, COSMETIC) | texts.has_any(low, NEGATIVE), "aside": F.contains(low, F.lit(SUMMARY_WORD)) | F.startswith(low, F.lit("er det")),
-    }
-    out = out.withColumns(facts).withColumn("points", _points(F.col("cleaned")))
-    return out.withColumns({"label_component": find_component(F.coalesce("label", F.lit(""))), "own_component": find_component(F.col("cleaned"))})
+    out = lines.withColumns({
+        "cleaned": clean_reason(F.col("text")), "hit": texts.has_any(low, IMPORTANT_REASONS), "soft": texts.has_any(low, COSMETIC) | texts.has_any(low, NEGATIVE),
+        "aside": F.contains(low, F.lit(SUMMARY_WORD)) | F.startswith(low, F.lit("er det")), "label_component": find_component(F.coalesce(component_label(F.col("text")), F.lit(""))),
+    })
+    return out.withColumns({"points": _points(F.col("cleaned")), "own_component": find_component(F.col("cleaned"))})
 
 
-def _earlier(lines: DataFrame) -> DataFrame:
-    """lines with the lines before, nearest first, as structs; a boundary that isn't blank ends what a search may use."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-BACK_REASON, -1)
-    one = F.struct("text", "source", "boundary", "cleaned", "own_component", "label_component", "hit", "soft", "aside", "points")
-    return lines.withColumn("before", F.reverse(F.collect_list(one).over(w)))
+def _earlier(triggers: DataFrame, lines: DataFrame) -> DataFrame:
+    """d, at, before: the facts of the lines before each trigger, nearest first. They lie in the trigger's band or the one before."""
+    at = F.col("n")
+    bands = F.array_distinct(F.array(_band(F.greatest(at - BACK_REASON, F.lit(0))), _band(F.greatest(at - 1, F.lit(0)))))
+    wanted = triggers.select("d", at.alias("at"), F.explode(bands).alias("band"))
+    near = _facts(lines.join(wanted.select("d", "band").distinct(), ["d", "band"], "left_semi"))
+    one = F.struct(F.col("n"), F.struct("text", "source", "boundary", "cleaned", "own_component", "label_component", "hit", "soft", "aside", "points").alias("p"))
+    joined = near.join(wanted, ["d", "band"]).where((F.col("n") < F.col("at")) & (F.col("n") >= F.col("at") - BACK_REASON))
+    return joined.groupBy("d", "at").agg(F.transform(F.reverse(F.array_sort(F.collect_list(one))), lambda x: x["p"]).alias("before"))
 
 
 def _fallback(before: Column, component: Column, important: Column) -> Column:
@@ -190,46 +238,67 @@ def _fallback(before: Column, component: Column, important: Column) -> Column:
     return F.aggregate(before, none, step)
 
 
-def _summary_findings(lines: DataFrame, triggers: DataFrame) -> DataFrame:
+def _summary_findings(owned: DataFrame, triggers: DataFrame) -> DataFrame:
     """Findings of summary blocks: below each "oppsummering" line, the first line, or two if it has no full stop."""
-    blocks = triggers.where(texts.has_any(texts.fold_case(F.col("text")), SUMMARY_BLOCKS)).select("doc_id", "grp", "level", F.col("pos").alias("at"))
-    inside = lines.where(~F.col("boundary")).drop("level").join(blocks, ["doc_id", "grp"])
+    blocks = triggers.where(texts.has_any(texts.fold_case(F.col("text")), SUMMARY_BLOCKS)).select("d", F.col("n").alias("at"), F.col("pos").alias("place"))
+    inside = owned.join(blocks, ["d", "at"])
+    w = Window.partitionBy("d", "at").orderBy("n")
     head = F.contains(texts.fold_case(F.col("text")), F.lit(SUMMARY_WORD))
-    w = Window.partitionBy("doc_id", "grp").orderBy("pos")
-    inside = inside.withColumn("_head", head).withColumn("_sub", F.sum(F.col("_head").cast("int")).over(w)).where("_sub > 0")
-    sub = Window.partitionBy("doc_id", "grp", "_sub").orderBy("pos")
+    inside = inside.withColumn("_sub", F.sum(head.cast("int")).over(w)).where("_sub > 0")
+    sub = Window.partitionBy("d", "at", "_sub").orderBy("n")
     inside = inside.withColumns({"_n": F.row_number().over(sub) - 1, "_before": F.lag("text").over(sub), "_title": F.first("text").over(sub)})
     taken = inside.where((F.col("_n") == 1) | ((F.col("_n") == 2) & ~F.contains("_before", F.lit("."))))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text", "source")))
-    found = taken.groupBy("doc_id", "grp", "_sub", "level", "at").agg(F.first("_title").alias("title"), ordered.alias("l"))
-    found = found.select("doc_id", "grp", "level", "at", F.col("_sub").alias("sub"), component_label(F.col("title")).alias("label"), texts.collapse(F.array_join(F.transform("l", lambda x: x["text"]), " ")).alias("original"), F.element_at("l", 1)["source"].alias("source"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "text", "source")))
+    found = taken.groupBy("d", "doc_id", "at", "place", "_sub", "level").agg(F.first("_title").alias("title"), ordered.alias("l"))
+    found = found.select("d", "doc_id", "at", "place", "level", F.col("_sub").alias("sub"), component_label(F.col("title")).alias("label"), texts.collapse(F.array_join(F.transform("l", lambda x: x["text"]), " ")).alias("original"), F.element_at("l", 1)["source"].alias("source"))
     found = found.withColumns({"component": F.coalesce(find_component(F.coalesce("label", F.lit(""))), "label", F.lit(UNKNOWN)), "reason": clean_reason(F.col("original"))})
-    return found.where((F.col("reason") != "") & is_relevant(F.col("original"), F.col("component"))).select("doc_id", "at", "sub", "grp", "level", "component", "reason", "source")
+    return found.where((F.col("reason") != "") & is_relevant(F.col("original"), F.col("component")))
+
+
+def _told(triggers: DataFrame, owned: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Triggers with what they and their lines say: original, reason, component (null if the text names none) and first_label."""
+    follow = owned.groupBy("d", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("f"))
+    t = triggers.withColumn("at", F.col("n")).join(summaries.select("d", "at").distinct(), ["d", "at"], "left_anti").join(follow, ["d", "at"], "left")
+    marked = F.col("text").rlike(_GRADE + r"[23]\b")
+    t = t.withColumn("inline", F.when(marked, inline_reason(F.col("text"))).otherwise("")).withColumn("f", F.coalesce("f", F.array().cast("array<string>")))
+    t = t.withColumn("parts", F.filter(F.concat(F.array(F.col("inline")), "f"), lambda x: x != "")).where(F.size("parts") > 0)
+    t = t.withColumn("original", texts.collapse(F.array_join("parts", " "))).where(~texts.has_any(texts.fold_case(F.col("original")), DEFINITIONS))
+    labelled = F.transform("f", lambda x: find_component(F.coalesce(component_label(x), F.lit(""))))
+    later = F.try_element_at(F.filter(labelled, lambda c: c.isNotNull()), F.lit(1))
+    t = t.withColumns({"first_label": component_label(F.element_at("parts", 1)), "reason": clean_reason(F.col("original"))})
+    t = t.withColumn("named", F.coalesce(find_component(F.col("original")), find_component(F.coalesce(component_label(F.col("inline")), F.lit(""))), later))
+    return t.select("d", "doc_id", "n", "pos", "level", "source", "original", "reason", "first_label", "named", _ok(F.col("named")).alias("ok"))
+
+
+def _ok(component: Column) -> Column:
+    return component.isNotNull() & (F.col("reason") != "") & is_relevant(F.col("original"), component)
 
 
 def candidates(segments: DataFrame) -> DataFrame:
     """doc_id, at, sub, level, component, reason, source: one row for each finding, before duplicates are joined."""
-    lines = prepare(segments)
-    triggers = _earlier(lines).where(F.col("level").isNotNull() & ~texts.has_any(texts.fold_case(F.col("text")), SKIP_TRIGGERS))
-    summaries = _summary_findings(lines, triggers)
-    own = F.array_sort(F.collect_list(F.struct("pos", "text", "label_component")))
-    follow = lines.where(~F.col("boundary")).groupBy("doc_id", "grp").agg(own.alias("f"))
-    t = triggers.join(summaries.select("doc_id", "grp").distinct(), ["doc_id", "grp"], "left_anti").join(follow, ["doc_id", "grp"], "left")
-    marked = F.col("text").rlike(_GRADE + r"[23]\b")
-    t = t.withColumn("inline", F.when(marked, inline_reason(F.col("text"))).otherwise("")).withColumn("f", F.coalesce("f", F.array().cast("array<struct<pos:bigint,text:string,label_component:string>>")))
-    parts = F.filter(F.concat(F.array(F.col("inline")), F.transform("f", lambda x: x["text"])), lambda x: x != "")
-    t = t.withColumn("parts", parts).where(F.size("parts") > 0).withColumn("original", texts.collapse(F.array_join("parts", " ")))
-    t = t.withColumns({"first_label": component_label(F.element_at("parts", 1)), "inline_label": find_component(F.coalesce(component_label(F.col("inline")), F.lit(""))), "whole": find_component(F.col("original"))})
+    lines = staging.staged(numbered(segments), "lines")
+    triggers = _triggers(lines)
+    owned = _owned(triggers, lines)
+    summaries = staging.staged(_summary_findings(owned, triggers), "summaries")
+    told = staging.staged(_told(triggers, owned, summaries), "triggers")
+    # Only triggers whose own lines name no component or no reason that counts look back.
+    open_ = told.where("NOT ok").join(_earlier(told.where("NOT ok"), lines).withColumnRenamed("at", "n"), ["d", "n"], "left")
+    open_ = open_.withColumn("before", F.coalesce("before", F.expr("array()").cast(f"array<{_FACT}>")))
     near = F.try_element_at(F.filter(F.transform(F.slice("before", 1, BACK_COMPONENT), lambda p: p["label_component"]), lambda c: c.isNotNull()), F.lit(1))
-    later = F.try_element_at(F.filter(F.transform("f", lambda x: x["label_component"]), lambda c: c.isNotNull()), F.lit(1))
-    t = t.withColumn("component", F.coalesce("whole", "inline_label", later, near, "first_label", F.lit(UNKNOWN)))
-    t = t.where(~texts.has_any(texts.fold_case(F.col("original")), DEFINITIONS)).withColumn("reason", clean_reason(F.col("original")))
-    t = t.withColumn("ok", (F.col("reason") != "") & is_relevant(F.col("original"), F.col("component"))).withColumn("important", texts.has_any(texts.fold_case(F.col("component")), IMPORTANT_COMPONENTS))
-    t = t.withColumn("fb", _fallback(F.col("before"), F.col("component"), F.col("important")))
-    t = t.where(F.col("ok") | (F.col("fb.score") >= 0))
+    open_ = open_.withColumn("component", F.coalesce("named", near, "first_label", F.lit(UNKNOWN)))
+    open_ = open_.withColumn("ok", _ok(F.col("component"))).withColumn("important", texts.has_any(texts.fold_case(F.col("component")), IMPORTANT_COMPONENTS))
+    open_ = open_.withColumn("fb", _fallback(F.col("before"), F.col("component"), F.col("important"))).where(F.col("ok") | (F.col("fb.score") >= 0))
     swap = ~F.col("ok") & (F.col("component") == UNKNOWN) & (F.col("fb.match") != "")
-    plain = t.select("doc_id", F.col("pos").alias("at"), F.lit(0).cast("long").alias("sub"), "level", F.when(swap, F.col("fb.match")).otherwise(F.col("component")).alias("component"), F.when(F.col("ok"), F.col("reason")).otherwise(F.col("fb.reason")).alias("reason"), F.when(F.col("ok") | (F.col("fb.source") == ""), F.col("source")).otherwise(F.col("fb.source")).alias("source"))
-    return plain.unionByName(summaries.select(*plain.columns))
+    shown = lambda component, reason, source, sub, at: [F.col("doc_id"), at.alias("at"), sub.cast("long").alias("sub"), "level", component.alias("component"), reason.alias("reason"), source.alias("source")]
+    plain = told.where("ok").select(*shown(F.col("named"), F.col("reason"), F.col("source"), F.lit(0), F.col("pos")))
+    looked = open_.select(*shown(
+        F.when(swap, F.col("fb.match")).otherwise(F.col("component")), F.when(F.col("ok"), F.col("reason")).otherwise(F.col("fb.reason")),
+        F.when(F.col("ok") | (F.col("fb.source") == ""), F.col("source")).otherwise(F.col("fb.source")), F.lit(0), F.col("pos")))
+    blocks = summaries.select(*shown(F.col("component"), F.col("reason"), F.col("source"), F.col("sub"), F.col("place")))
+    return plain.unionByName(looked).unionByName(blocks)
+
+
+_FACT = "struct<text:string,source:string,boundary:boolean,cleaned:string,own_component:string,label_component:string,hit:boolean,soft:boolean,aside:boolean,points:int>"
 
 
 def reason_score(reason: Column) -> Column:

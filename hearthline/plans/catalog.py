@@ -232,7 +232,7 @@ def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.element_at(F.array(F.lit("TG3 Bad: fukt, "), F.lit("TG2 Tak: lekkasje, "), F.lit(""), F.lit("Oppsummering: ")), (F.col("pos") % 4 + 1).cast("int"))
     s = _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.concat(grade, "line").alias("text"), F.lit("salgsoppgave").alias("source"))
     r = findings.report(s)
-    return r.select("doc_id", F.size("tg3").alias("n3"), F.size("tg2").alias("n2"), F.size("missing").alias("n_missing"), F.array_join(findings.format_entries(F.col("tg3"), 3), "|").alias("tg3"))
+    return r.select("doc_id", F.size("tg3").alias("n3"), F.size("tg2").alias("n2"), F.array_join("missing", "|").alias("missing"), F.array_join(findings.format_entries(F.col("tg3"), 3), "|").alias("tg3"), "markdown")
 
 
 _TERMS = ("the", "und", "que", "de")
