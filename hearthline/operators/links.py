@@ -55,12 +55,23 @@ def raw_pdf_urls(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return each.where("score > 0").select(key, "link", "score").distinct()
 
 
+#: Characters of a needle that it is looked up by.
+GRAM = 3
+
+
 def dispatch(pages: DataFrame, drivers: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, driver: the registered driver (priority, name, needle) of least priority whose needle the URL's host holds."""
+    """key, driver: the registered driver (priority, name, needle) of least priority whose needle the URL's host holds.
+
+    Needles are looked up by their first characters among the substrings of each distinct host, then compared whole.
+    """
     host = F.lower(urls.part(F.col("url"), 2))
-    hits = pages.select(key, host.alias("_host")).join(drivers, F.contains("_host", "needle"))
-    best_ = hits.groupBy(key).agg(F.min_by("name", "priority").alias("driver"))
-    return pages.select(key).join(best_, key, "left")
+    told = pages.select(key, host.alias("_host"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("_host"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*(F.substring(F.col("_host"), i, F.lit(n)) for n in range(GRAM + 1))))))
+    hosts = told.select("_host").distinct().where("_host IS NOT NULL").select("_host", F.explode(grams).alias("_gram"))
+    hits = hosts.join(drivers.withColumn("_gram", F.left("needle", F.lit(GRAM))), "_gram").where(F.contains("_host", "needle"))
+    best_ = hits.groupBy("_host").agg(F.min_by("name", "priority").alias("driver"))
+    return told.join(best_, "_host", "left").select(key, "driver")
 
 
 def first_verified(links: DataFrame, key: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Interest rates: percentages found in text, their median, and the cached estimate as of a time."""
+"""Interest rates: percentages found in text, their median, and the cached estimate as of a time, or of each of many."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+
 # Fixed values.
 TTL_BANK, TTL_POLICY = 7 * 86_400, 86_400
+NAMES = ("dnb_rate", "policy_rate", "margin")
 POLICY_DEFAULT, MARGIN_DEFAULT = 4.50, 1.25
 LEAST, MOST = 2.0, 10.0
 
@@ -47,15 +50,33 @@ def interest_estimate(cache: DataFrame, asof: Column, fetched_bank: Column | Non
     A cached value within its time to live counts; else a fetched one; else the stale one. The bank's rate is the
     estimate if there is any; else policy plus margin. Knowing both recalibrates the margin.
     """
-    held = latest(cache, asof).groupBy().pivot("name", ["dnb_rate", "policy_rate", "margin"]).agg(F.first("value").alias("value"), F.first("ts").alias("ts"))
+    held = latest(cache, asof).groupBy().pivot("name", list(NAMES)).agg(F.first("value").alias("value"), F.first("ts").alias("ts"))
     none = F.lit(None).cast("double")
+    return held.select(*_estimate(asof, fetched_bank if fetched_bank is not None else none, fetched_policy if fetched_policy is not None else none))
+
 
-    def pick(name: str, ttl: int, fetched: Column | None) -> Column:
+def _estimate(asof: Column, fetched_bank: Column, fetched_policy: Column) -> list[Column]:
+    """The estimate's columns from <name>_value and <name>_ts."""
+
+    def pick(name: str, ttl: int, fetched: Column) -> Column:
         value, age = F.col(f"{name}_value"), asof - F.col(f"{name}_ts")
-        return F.when(age < ttl, value).otherwise(F.coalesce(fetched if fetched is not None else none, value))
+        return F.when(age < ttl, value).otherwise(F.coalesce(fetched, value))
+
+    bank, policy = pick("dnb_rate", TTL_BANK, fetched_bank), pick("policy_rate", TTL_POLICY, fetched_policy)
+    margin = F.coalesce(F.round(bank - policy, 2), F.col("margin_value"))
+    fallback = F.round(F.coalesce(policy, F.lit(POLICY_DEFAULT)) + F.coalesce(margin, F.lit(MARGIN_DEFAULT)), 2)
+    return [F.coalesce(bank, fallback).alias("rate"), F.when(bank.isNotNull(), "dnb").otherwise("policy+margin").alias("source"), bank.alias("bank_rate"), policy.alias("policy_rate"), margin.alias("margin")]
 
-    out = held.select(pick("dnb_rate", TTL_BANK, fetched_bank).alias("bank_rate"), pick("policy_rate", TTL_POLICY, fetched_policy).alias("policy_rate"), F.col("margin_value").alias("old_margin"))
-    margin = F.coalesce(F.round(F.col("bank_rate") - F.col("policy_rate"), 2), F.col("old_margin"))
-    out = out.withColumn("margin", margin)
-    fallback = F.round(F.coalesce("policy_rate", F.lit(POLICY_DEFAULT)) + F.coalesce("margin", F.lit(MARGIN_DEFAULT)), 2)
-    return out.select(F.coalesce("bank_rate", fallback).alias("rate"), F.when(F.col("bank_rate").isNotNull(), "dnb").otherwise("policy+margin").alias("source"), "bank_rate", "policy_rate", "margin")
+
+def interest_estimates(requests: DataFrame, cache: DataFrame, ts: str = "ts", span: int = 7 * 86_400) -> DataFrame:
+    """requests (ts in unix seconds, optional fetched_bank and fetched_policy) with the estimate as of each one's own moment.
+
+    cache has name, ts, value. Each distinct moment is looked up once for each name, in spans of time; a request without a
+    moment finds nothing cached.
+    """
+    own = [F.col(c) if c in requests.columns else F.lit(None).cast("double") for c in ("fetched_bank", "fetched_policy")]
+    asked = requests.select(F.col(ts).cast("long").alias("ts")).distinct().where("ts IS NOT NULL").select("ts", F.explode(F.array(*map(F.lit, NAMES))).alias("name"))
+    found = asof_join(asked, cache, ["name"], "ts", ["value"], span)
+    of = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    wide = found.groupBy(F.col("ts").alias("_ts")).agg(*(of(n, c).alias(f"{n}_{k}") for n in NAMES for c, k in (("value", "value"), ("entry_ts", "ts"))))
+    return requests.join(wide, F.col(ts).cast("long") == F.col("_ts"), "left").select(*requests.columns, *_estimate(F.col("_ts"), *own))

@@ -1,15 +1,16 @@
 """Market rent: city and district resolution through small dimension tables, then a price per square metre.
 
-Dimensions (cities, postcode ranges, price tables) have at most a few thousand rows; they are joined with plain
-equi and range joins, and Spark broadcasts them by their size.
+Dimensions (cities, postcode ranges, price tables) are joined on equal keys, ranges through blocks of numbers; Spark
+broadcasts what is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even
+from ..sources import staging
 
 # Names, ranges and prices that results depend on.
 OPEN_ZONES = ("Hele landet", "Store tettsteder", "Mellomstore tettsteder", "Små tettsteder/spredt")
@@ -170,10 +171,39 @@ def oslo_district(name: Column) -> Column:
     return F.when(plain.isin(*OSLO_CENTRE), "Oslo sentrum").when(plain.isin(*OSLO_WEST), "Oslo vest").otherwise("Oslo øst")
 
 
+#: Blocks of 2^k numbers, up to this k, that ranges are cut into.
+WIDEST_BLOCK = 40
+
+
+def blocks(ranges: DataFrame) -> DataFrame:
+    """level, block, best: each range cut into the fewest blocks of 2^level numbers that start at multiples of it, two a level at most, and of each block the winner (priority, bucket).
+
+    A block's winner is that of the ranges cut at it; a number's winner is the best of the blocks around it.
+    """
+    start, stop, level = F.col("start").cast("long"), F.col("end").cast("long") + 1, F.col("level")
+    up = lambda x, k: -F.floor(-x / F.pow(F.lit(2.0), k)).cast("long")
+    down = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k)).cast("long")
+    cut = ranges.where("start <= end").withColumn("level", F.explode(F.sequence(F.lit(0), F.least(F.lit(WIDEST_BLOCK), F.floor(F.log2(stop - start)).cast("int")))))
+    cut = cut.withColumns({"a": up(start, level), "z": down(stop, level), "pa": up(start, level + 1) * 2, "pz": down(stop, level + 1) * 2})
+    wide = level == WIDEST_BLOCK
+    none = F.array().cast("array<bigint>")
+    run = lambda a, z: F.when(a < z, F.sequence(a, z - 1)).otherwise(none)
+    own = F.when(wide | (F.col("pa") >= F.col("pz")), run(F.col("a"), F.col("z"))).otherwise(F.concat(run(F.col("a"), F.col("pa")), run(F.col("pz"), F.col("z"))))
+    return cut.select("level", F.explode(own).alias("block"), "priority", "bucket").groupBy("level", "block").agg(F.min(F.struct("priority", "bucket")).alias("best"))
+
+
 def range_lookup(df: DataFrame, value: str, ranges: DataFrame, name: str) -> DataFrame:
-    """df with `name`, the bucket of the first (least priority) of possibly overlapping ranges (start, end, bucket, priority)."""
-    hits = df.select(value).distinct().join(ranges, F.col(value).between(F.col("start"), F.col("end")))
-    best = hits.groupBy(value).agg(F.min_by("bucket", "priority").alias(name))
+    """df with `name`, the bucket of the first (least priority) of possibly overlapping ranges of whole numbers (start, end, bucket, priority); null outside all.
+
+    Distinct values meet the ranges' blocks in an equi-join on the block, one for each block size in use.
+    """
+    cut = staging.staged(blocks(ranges), "blocks")
+    levels = sorted(r[0] for r in cut.select("level").distinct().collect())  # at most WIDEST_BLOCK + 1
+    if not levels:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    around = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col(value) / float(1 << k)).cast("long").alias("block")) for k in levels))).alias("b")
+    hits = df.select(value).distinct().select(value, around).select(value, "b.*").join(cut, ["level", "block"])
+    best = hits.groupBy(value).agg(F.min("best")["bucket"].alias(name))
     return df.join(best, value, "left")
 
 
@@ -195,8 +225,8 @@ def city_average(prices: DataFrame) -> DataFrame:
 def bucket_ratios(prices: DataFrame) -> DataFrame:
     """city (lower case), bucket, segment, ratio of a bucket's price to its city's average row; no ratio to nothing."""
     own = F.col("bucket") == F.concat("city", F.lit(" snitt"))
-    base = F.max(F.when(own, F.col("kr_per_m2"))).over(Window.partitionBy("city", "segment"))
-    out = prices.withColumn("_own", own).withColumn("_base", base).where(~F.col("_own") & (F.col("_base") != 0))
+    base = prices.where(own).groupBy("city", "segment").agg(F.max("kr_per_m2").alias("_base")).where("_base <> 0")
+    out = prices.where(~own).join(base, ["city", "segment"])
     return out.select(F.lower("city").alias("city"), "bucket", "segment", (F.col("kr_per_m2") / F.col("_base")).alias("ratio"))
 
 
