@@ -435,7 +435,7 @@ def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", numbers.grouped(p, " kr").alias("shown"), numbers.to_step(p, 500).cast("long").alias("approx"))
 
 
-_CACHE = """c AS (SELECT CASE event_id % 5 WHEN 0 THEN 'policy_rate' WHEN 1 THEN 'margin' ELSE 'dnb_rate' END AS name, CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS ts, round(value / 10, 2) AS value FROM events WHERE event_id % 3 > 0),
+_CACHE = """c AS (SELECT CASE event_id % 5 WHEN 0 THEN 'policy_rate' WHEN 1 THEN 'margin' ELSE 'dnb_rate' END AS name, CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS ts, value FROM events WHERE event_id % 3 > 0),
   u AS (SELECT name, ts, max(value) AS value FROM c GROUP BY name, ts),
   r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN 1703980800 + CAST(floor(epoch(o_orderdate)) AS BIGINT) % 5000000 END AS ts, CASE WHEN o_orderkey % 7 = 0 THEN 4.44 END AS fetched_bank FROM orders)"""
 
@@ -449,7 +449,7 @@ def rates_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimate as of each order's own moment, from a cache of rates that events wrote: many entries share an hour, some moments lie before or long after all."""
     e, k = F.col("event_id"), F.col("o_orderkey")
     name = F.when(e % 5 == 0, "policy_rate").when(e % 5 == 1, "margin").otherwise("dnb_rate")
-    cache = read(spark, sf_dir, "events").where(e % 3 > 0).select(name.alias("name"), (F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("ts"), F.round(F.col("value") / 10, 2).alias("value"))
+    cache = read(spark, sf_dir, "events").where(e % 3 > 0).select(name.alias("name"), (F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("ts"), "value")
     asked = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 11 > 0, F.unix_timestamp("o_orderdate") % 5_000_000 + 1_703_980_800).alias("ts"), F.when(k % 7 == 0, 4.44).alias("fetched_bank"))
     return rates.interest_estimates(asked, cache).select("o_orderkey", "rate", "source", *_round("margin"))
 
