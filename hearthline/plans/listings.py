@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..operators import brokers, listing, rent
-from ..sources import html, staging
+from ..sources import html, images, staging
 from .catalog import query, read
 
 
@@ -138,6 +138,23 @@ def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "url", web.listing_image(F.col("url")).alias("photo"), plan.alias("plan"))
 
 
+_CDN = "https://images.finncdn.no/dynamic/"
+
+
+@query(f"""SELECT page_id, CAST(i AS INTEGER) AS pos, CASE i WHEN 0 THEN '{_CDN}1600w/f' || (page_id % 7) || '/p' || page_id || '.jpg' WHEN 1 THEN '{_CDN}' || CASE WHEN page_id % 2 = 0 THEN '1280w' ELSE '960w' END || '/g' || (page_id % 5) || '/q' || page_id || '.png'
+  ELSE '{_CDN}1600w/z/l' || page_id || '.jpg' END AS url FROM pages CROSS JOIN range(0, 3) r(i)""")
+def page_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of every page, its own HTML with nested JSON in its head (one picture in two widths, one under a key that ends the branch) and pictures in its article."""
+    k = F.col("page_id")
+    head = F.format_string(
+        '<head><script type="application/ld+json">{"image": ["' + _CDN + '480w/f%d/p%d.jpg", {"url": "//images.finncdn.no/dynamic/1600w/f%d/p%d.jpg?x=1"}], "logo": {"url": "' + _CDN + '1600w/z/l%d.jpg"}}</script>'
+        '<script>window.state = {"deep": {"list": [[{"photos": ["' + _CDN + '960w/g%d/q%d.png"], "name": "none"}]]}};</script>', k % 7, k, k % 7, k, k, k % 5, k)
+    body = F.format_string("<article><img src='" + _CDN + "320w/g0/narrow%d.png'>", k)
+    wide = F.when(k % 2 == 0, F.format_string("<img src='" + _CDN + "1280w/g%d/q%d.png?w=1'>", k % 5, k)).otherwise("")
+    whole = F.replace(F.replace("html", F.lit("<head>"), head), F.lit("<article>"), F.concat(body, wide))
+    return images.gallery(read(spark, sf_dir, "pages").select("page_id", whole.alias("html")))
+
+
 # -- listings -----------------------------------------------------------------------------------------------------
 
 _K = "o_orderkey"
