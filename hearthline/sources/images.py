@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import web
+from ..functions import texts, web
 from .staging import staged
 
 # Words of keys that lead to images, words that end a branch or a URL, and segments of a path that don't tell images apart.
@@ -78,28 +78,37 @@ def json_strings(documents: DataFrame, key: str) -> DataFrame:
 def normal_url(value: Column) -> Column:
     """An image's URL without query and fragment, https where none is named; null if it isn't a photo of a listing."""
     text = F.replace(F.trim(value), F.lit("&amp;"), F.lit("&"))
-    whole = F.when(F.startswith(text, F.lit("//")), F.concat(F.lit("https:"), text)).otherwise(text)
-    bare = F.regexp_replace(whole, "[?#].*$", "")
-    host = F.regexp_extract(bare, "(?i)^https?://([^/]*)", 1)
-    typed = whole.rlike(rf"(?i)^https?://[^#]*\.(?:{TYPES})(?:[?#].*)?$") & (host != "")
-    shown = F.concat(F.lower(F.regexp_extract(bare, "(?i)^(https?://[^/]*)", 1)), F.regexp_extract(bare, "(?i)^https?://[^/]*(.*)$", 1))
-    path = F.lower(F.regexp_extract(bare, "(?i)^https?://[^/]*(.*)$", 1))
-    return F.when(typed & web.listing_image(shown) & ~_any(path, BLOCKED), shown)
+    whole = texts.let(text, lambda t: F.when(F.startswith(t, F.lit("//")), F.concat(F.lit("https:"), t)).otherwise(t))
+    root = "(?i)^(https?://[^/?#]+)"
+
+    def parts(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.lower(F.regexp_extract(t, root, 1)).alias("host"), F.regexp_extract(t, root + "([^?#]*)", 2).alias("path"))
+
+    def shown(p: Column) -> Column:
+        typed = p["t"].rlike(rf"(?i)^https?://[^#]*\.(?:{TYPES})(?:[?#].*)?$") & (p["host"] != "")
+        return F.when(typed & ~_any(F.lower(p["path"]), BLOCKED), F.concat(p["host"], p["path"]))
+
+    return texts.let(texts.let(texts.let(whole, parts), shown), lambda url: F.when(web.listing_image(url), url))
 
 
 def identity(url: Column) -> Column:
     """(key, width): host, folder and name of the picture without sizes, versions and ending, and the width that follows "dynamic"; key null without a path."""
-    segments = F.filter(F.split(F.url_decode(F.regexp_replace(F.regexp_replace(url, r"^https?://[^/]*", ""), r"\+", "%2B")), "/"), lambda s: s != "")
-    low = F.transform(segments, F.lower)
+    path = F.url_decode(F.regexp_replace(F.regexp_replace(url, r"^https?://[^/]*", ""), r"\+", "%2B"))
     wide = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, r"(\d{2,4})", 1), F.lit("")).cast("int"), F.lit(0))
-    after = lambda i: F.get(low, i - 1) == "dynamic"
-    width = F.array_max(F.transform(low, lambda s, i: F.when((i > 0) & after(i), wide(s)).otherwise(0)))
-    said = F.filter(segments, lambda s, i: ~((F.lower(s) == "dynamic") | F.coalesce((i > 0) & after(i) & s.rlike(r"(?i)^(?:\d+[xw]?|w\d+)$"), F.lit(False)) | s.rlike(_SIZE) | F.lower(s).isin(*PLAIN_SEGMENTS)))
-    name = F.lower(F.try_element_at(said, F.lit(-1)))
-    base = F.when(F.instr(F.substring(name, F.lit(2), F.length(name)), ".") > 0, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
-    trimmed = F.coalesce(F.nullif(F.regexp_replace(base, r"(?i)[-_](?:\d{1,2}|[a-f0-9]{1,4})$", ""), F.lit("")), base)
-    folder = F.when(F.size(said) > 1, F.lower(F.element_at(said, -2)))
-    return F.struct(F.when(F.size(said) > 0, F.concat_ws("/", F.regexp_extract(url, "^https?://([^/:]*)", 1), folder, trimmed)).alias("key"), F.coalesce(width, F.lit(0)).alias("width"))
+
+    def said(segments: Column) -> Column:
+        after = lambda i: (i > 0) & (F.lower(F.get(segments, i - 1)) == "dynamic")
+        width = F.array_max(F.transform(segments, lambda s, i: F.when(after(i), wide(s)).otherwise(0)))
+        size = lambda s, i: F.coalesce(after(i) & s.rlike(r"(?i)^(?:\d+[xw]?|w\d+)$"), F.lit(False))
+        kept = F.filter(segments, lambda s, i: ~(F.lower(s).isin("dynamic", *PLAIN_SEGMENTS) | size(s, i) | s.rlike(_SIZE)))
+        return F.struct(width.alias("width"), F.try_element_at(kept, F.lit(-1)).alias("name"), F.lower(F.try_element_at(kept, F.lit(-2))).alias("folder"))
+
+    def named(s: Column) -> Column:
+        base = texts.let(F.regexp_replace(F.lower(s["name"]), r"^(.+)\.[^.]*$", "$1"), lambda b: F.coalesce(F.nullif(F.regexp_replace(b, r"(?i)[-_](?:\d{1,2}|[a-f0-9]{1,4})$", ""), F.lit("")), b))
+        key = F.when(s["name"].isNotNull(), F.concat_ws("/", F.regexp_extract(url, "^https?://([^/:]*)", 1), s["folder"], base))
+        return F.struct(key.alias("key"), F.coalesce(s["width"], F.lit(0)).alias("width"))
+
+    return texts.let(texts.let(F.filter(F.split(path, "/"), lambda x: x != ""), said), named)
 
 
 def gallery(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
