@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_names, materialize, slices, text_or_empty
+from .common import as_bytes, free_names, materialize, slices, text_or_empty, whole_row
 from .components import connected_components
 
 #: Rarest of the eight lists that a fingerprint is looked up in, and how many of them are intersected: 6 of 8 leave 4 of any 6.
@@ -63,8 +63,8 @@ _SLICE = 1 << 18
 POSITIONS, BAND = 64, 4
 #: Equal positions of 64 that a pair needs: 51 (sd 3.2) are equal at a similarity of 0.8.
 LEAST = 40
-#: Of a list up to this length all pairs are candidates; of a longer one each entry's with one that the list draws, and the same in its parts by two bytes of the bands so many steps on.
-NEAR_PAIRS, STEPS = 16, (2, 3, 5, 8, 11, 13)
+#: Of a list up to this length all pairs are candidates at once; of a longer one first each entry's with one that the list draws, then all pairs that these leave in different components.
+NEAR_PAIRS = 16
 _SIG = [f"s{i}" for i in range(POSITIONS // 8)]
 _MIX = np.random.default_rng(8).integers(0, 1 << 63, (2, POSITIONS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -205,30 +205,40 @@ def near_tally(a: str, b: str) -> Column:
     return sum(shared_bytes(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in _SIG)
 
 
-def _met(lists: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b of entries that meet: all of a short list; of a long one each with an entry that the list itself draws. And the long lists."""
-    drawn = F.min_by("x", F.xxhash64("x.node", *by))
-    sizes = lists.groupBy(*by).agg(F.count("*").alias("n"), drawn.alias("centre")).where("n > 1")
-    shared = materialize(lists.join(sizes, by), "near-postings")
+def near_candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u < v and tally of pairs that meet in a list of BAND positional bytes and share LEAST positions: all of a short list, of a long one each entry with one that the list draws. And the long lists (key, x)."""
+    half = lambda i: F.shiftrightunsigned(_SIG[i // 2], 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    # A list's number and bytes in one long.
+    keys = F.explode(F.array(*(F.lit(i << 32).bitwiseOR(half(i)) for i in range(POSITIONS // BAND))))
+    lists = distinct.where("s0 is not null").select(F.struct("node", *_SIG).alias("x"), keys.alias("key"))
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.min_by("x", F.xxhash64("x.node", "key")).alias("centre")).where("n > 1")
+    shared = materialize(lists.join(sizes, "key"), "near-postings")
     short, long_ = shared.where(F.col("n") <= NEAR_PAIRS), shared.where(F.col("n") > NEAR_PAIRS)
-    pairs = short.select(*by, F.col("x").alias("a")).join(short.select(*by, F.col("x").alias("b")), by).select("a", "b").where("a.node < b.node")
-    return pairs.unionByName(long_.where("x.node <> centre.node").select(F.col("x").alias("a"), F.col("centre").alias("b"))), long_
+    pairs = short.select("key", F.col("x").alias("a")).join(short.select("key", F.col("x").alias("b")), "key").select("a", "b").where("a.node < b.node")
+    met = pairs.unionByName(long_.where("x.node <> centre.node").select(F.col("x").alias("a"), F.col("centre").alias("b")))
+    return _tallied(met), long_.select("key", "x")
 
 
-def near_candidates(distinct: DataFrame) -> DataFrame:
-    """u < v and tally of pairs that meet in a list of BAND positional bytes and share LEAST positions."""
-    half = lambda i: F.shiftrightunsigned(_SIG[i // 2], 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    bands = POSITIONS // BAND
-    # A list's number and bytes in one long.
-    keys = F.explode(F.array(*(F.lit(i << 32).bitwiseOR(half(i)) for i in range(bands))))
-    met, long_ = _met(distinct.where("s0 is not null").select(F.struct("node", *_SIG).alias("x"), keys.alias("key")), ["key"])
-    # Entries of a long list that agree in two bytes of another band, too, are likelier alike.
-    two = lambda i: F.shiftrightunsigned(F.col(f"x.{_SIG[i // 2]}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFF))
-    at = lambda step: F.pmod(F.shiftrightunsigned("key", 32) + step, F.lit(bands)).cast("int")
-    others = F.array(*(F.lit(step << 16).bitwiseOR(F.get(F.array(*map(two, range(bands))), at(step))) for step in STEPS))
-    nearer, _ = _met(long_.select("x", "key", F.explode(others).alias("part")), ["key", "part"])
-    met = met.unionByName(nearer).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), near_tally("a", "b").alias("tally"))
-    return met.where(F.col("tally") >= LEAST).groupBy("u", "v").agg(F.max("tally").alias("tally"))
+def _tallied(met: DataFrame) -> DataFrame:
+    pairs = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), near_tally("a", "b").alias("tally"))
+    return pairs.where(F.col("tally") >= LEAST).groupBy("u", "v").agg(F.max("tally").alias("tally"))
+
+
+def near_leftovers(long_: DataFrame, roots: DataFrame) -> DataFrame:
+    """u < v and tally of the pairs of long lists that lie in different components and share LEAST positions.
+
+    In each list the entries outside its largest component meet all others, so a group of near copies costs its few
+    leftovers times itself. Together with what was checked before, no pair that meets in a list is left out.
+    """
+    named = long_.join(roots.select(F.col("node").alias("_node"), "root"), F.col("x.node") == F.col("_node"), "left")
+    named = materialize(named.select("key", "x", F.coalesce("root", "x.node").alias("root")), "near-named")
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
+    apart = sizes.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = named.join(apart.select("key", "main"), "key")
+    a = open_.where("root <> main").select("key", F.col("x").alias("a"), F.col("root").alias("root_a"))
+    b = open_.select(F.col("key").alias("key_b"), F.col("x").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("of_main"))
+    apart_ = (F.col("root_a") != F.col("root_b")) & (F.col("of_main") | (F.col("a.node") < F.col("b.node")))
+    return _tallied(a.join(b, (F.col("key") == F.col("key_b")) & apart_ & (near_tally("a", "b") >= LEAST)).select("a", "b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -246,35 +256,45 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """doc_id, th, root and component_id: rows are linked if their sets of shingles have at least this Jaccard similarity.
 
-    In each of some rounds a node's likeliest partner outside its component is checked, then all candidates that still lie in
-    different components. So copies of one text, however many, are checked against few others.
+    Candidates of the index are checked likeliest first: in each of some rounds a node's likeliest partner outside its
+    component, then all that still lie in different components. So copies of one text, however many, are checked against
+    few others. What long lists then still hold in different components is checked the same way, and nothing is left.
     """
     rows = materialize(sketches(docs, width), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     distinct = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in _SIG), first.alias("k"))
-    pairs = materialize(near_candidates(distinct), "candidates")
+    pairs, long_ = near_candidates(distinct)
+    pairs = materialize(pairs, "candidates")
     ends = F.explode(F.array(F.col("u"), F.col("v")))
-    needed = pairs.select(ends.alias("node")).distinct()
+    needed = pairs.select(ends.alias("node")).unionByName(long_.select("x.node")).distinct()
     wanted = distinct.join(needed, "node", "left_semi").select("node", F.col("k.doc_id").alias("id"), F.col("k.th").alias("th"))
     text = text_or_empty(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     texts = own.join(wanted, (own["th"] == wanted["th"]) & own["doc_id"].eqNullSafe(wanted["id"])).groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts, "near-texts")
 
-    edges, open_ = None, pairs
-    for r in range(rounds + 1):
-        if r < rounds:
-            best = open_.select(ends.alias("node"), "u", "v", "tally").groupBy("node").agg(F.max(F.struct("tally", "u", "v")).alias("most"))
-            checked = materialize(best.select("most.u", "most.v").distinct(), "near-checked")
-        else:
-            checked = open_
-        found = materialize(verified(checked, texts, width, similarity), "near-edges")
-        edges = found if edges is None else edges.unionByName(found)
-        if r < rounds:
-            roots = materialize(connected_components(edges), "near-roots")
-            at = lambda n, roots=roots: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-            left = open_.join(checked, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
-            open_ = materialize(left.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "tally"), "near-open")
+    def linked(open_: DataFrame, edges: DataFrame | None) -> DataFrame:
+        """edges and those among the open pairs that connect components."""
+        for r in range(rounds + 1):
+            if r < rounds:
+                best = open_.select(ends.alias("node"), "u", "v", "tally").groupBy("node").agg(F.max(F.struct("tally", "u", "v")).alias("most"))
+                checked = materialize(best.select("most.u", "most.v").distinct(), "near-checked")
+            else:
+                checked = open_
+            found = materialize(verified(checked, texts, width, similarity), "near-edges")
+            edges = found if edges is None else edges.unionByName(found)
+            if r < rounds:
+                roots = materialize(connected_components(edges), "near-roots")
+                at = lambda n, roots=roots: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+                left = open_.join(checked, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
+                open_ = materialize(left.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "tally"), "near-open")
+        return edges
+
+    edges = linked(pairs, None)
+    roots = materialize(connected_components(edges), "near-roots")
+    # Pairs that were checked already and aren't alike enough needn't be checked again.
+    left = near_leftovers(long_, roots).join(pairs, ["u", "v"], "left_anti")
+    edges = linked(materialize(left, "near-leftovers"), edges)
     return _named(rows.select("doc_id", "th", "node"), edges, "node").select("doc_id", "th", "root", "component_id")
 
 
@@ -311,5 +331,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, similarity: float | No
     keyed = docs.withColumn(h, F.xxhash64(text))
     out = keyed.join(keep, (keyed[h] == keep[th]) & keyed["doc_id"].cast("long").eqNullSafe(keep[id_]), "left_semi")
     if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", h])
-    return out.drop(h)
+        one = out.groupBy("doc_id", h).agg(F.min(whole_row(docs)).alias(id_))  # of rows that differ in other columns alone the least
+        out = one.select(*(F.col(id_)[c].alias(c) for c in docs.columns))
+    return out.select(*(f"`{c}`" for c in docs.columns))
