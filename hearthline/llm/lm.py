@@ -4,17 +4,21 @@ The number of classes grows with the corpus, as the root of its word types:
 three quarters are the most frequent words, one each, the others share the rest
 of the words by a hash. As context a word is the sum of its class's vector and
 of one that a second hash picks, so that words of one class still differ. The
-model gives the probability of a class after the two words before, and a word's
-share of its class by counts: P(w | h) = P(class | h) * (c + 0.5) / sum over
-the class (with 0.5 for all unseen words of a class).
+model gives the probability of a class after the two words before, in two
+levels: of its group, one of about as many as the root of the classes, and of
+the class within the group, so that a token costs the fourth root of the word
+types. A word's share of its class comes from counts: P(w | h) = P(group | h) *
+P(class | group, h) * (c + 0.5) / sum over the class (with 0.5 for all unseen
+words of a class).
 
 The corpus is counted whole by a shuffled aggregation, and written once as a
 stream of word codes. The network learns from every token of it in EPOCHS
 passes: each task takes minibatch steps of noise-contrastive estimation through
-all of its part, against the class unigrams, and a pass ends with the tasks'
-parameters averaged by their tokens in a shuffled sum; the driver holds one set
-of parameters. Scores are normalised in the tasks, by batched matrix products
-over the distinct contexts. Counts of words beyond the most frequent reach
+all of its part, against the unigrams of both levels, and a pass ends with the
+tasks' parameters averaged by their tokens in a shuffled sum; the driver holds
+one set of parameters. They depend on how the rows lie in partitions; reruns
+over the same files agree but for the order of sums. Scores are normalised in
+the tasks, by batched matrix products. Counts of words beyond the most frequent reach
 their documents by a join on the word, which the hot words never enter.
 
 Defined results: null text is empty and scores its end token; a null doc_id
@@ -45,7 +49,7 @@ LEAST_CLASSES = 128
 #: Passes over all training tokens.
 EPOCHS = 1
 #: Tokens of a minibatch; contexts normalised at once.
-BATCH, CONTEXTS = 4096, 256
+BATCH, CONTEXTS = 4096, 1 << 14
 #: Text in one stream of codes.
 STREAM_BYTES = 512 << 10
 #: Word codes that a task keeps at hand.
@@ -166,88 +170,108 @@ def _sum_rows(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.bincount(cells, x.ravel(), len(own) * width).astype(np.float32).reshape(len(own), *x.shape[1:])
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's sum of exponentials; overwrites z."""
+    top = z.max(axis=1)
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(axis=1))
+
+
 class LogBilinear:
-    """score(w | u, v) = (r(u) A + r(v) B) . Q[w] + b[w], r(u) = R[class of u] + S[second hash of u]"""
+    """P(class w | u, v) = P(group of w | u, v) * P(w | its group, u, v), both log-bilinear in one context
+
+    h = r(u) A + r(v) B with r(u) = R[class of u] + S[second hash of u]; a group scores h . G + g, a class h . Q + b.
+    Groups are runs of classes of about equal shares of the roots of the unigrams, as many as the root of the classes.
+    """
 
-    def __init__(self, size: int = LEAST_CLASSES, width: int = 32, seed: int = 3):
+    def __init__(self, unigram: np.ndarray, width: int = 32, seed: int = 3):
         self.rng = np.random.default_rng(seed)
         normal = lambda *shape: self.rng.normal(0, 0.1, shape).astype(np.float32)
-        eye = np.eye(width, dtype=np.float32)
-        self.size = size
-        self.p = {"R": normal(size, width), "S": np.zeros((size, width), np.float32), "A": eye * 0.5 + normal(width, width) * 0.1, "B": eye + normal(width, width) * 0.1, "Q": normal(size, width), "b": np.zeros(size, np.float32)}
+        eye, size = np.eye(width, dtype=np.float32), len(unigram)
+        root = np.cumsum(np.sqrt(unigram))
+        run = (root / root[-1] * math.isqrt(size) * (1 - 1e-9)).astype(np.int64)
+        self.size, self.begin = size, np.append(np.unique(run, return_index=True)[1], size)
+        self.group = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+        # Noise at both levels: groups by their mass, the classes of a group by their share of it.
+        mass = np.add.reduceat(unigram, self.begin[:-1])
+        self.group_noise, self.class_noise = (np.log(x).astype(np.float32) for x in (mass / mass.sum(), unigram / mass[self.group]))
+        self.group_draw, self.class_draw = np.cumsum(mass / mass.sum()), np.cumsum(unigram / mass[self.group])  # the group k from k to k + 1
+        groups = len(mass)
+        self.p = {"R": normal(size, width), "S": np.zeros((size, width), np.float32), "A": eye * 0.5 + normal(width, width) * 0.1, "B": eye + normal(width, width) * 0.1, "Q": normal(size, width), "b": self.class_noise.copy(), "G": normal(groups, width), "g": self.group_noise.copy()}
         self.squares = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
         self.seen = 0
 
-    def noise_from(self, unigram: np.ndarray) -> None:
-        share = unigram / unigram.sum()
-        self.log_noise, self.draw = np.log(share).astype(np.float32), np.cumsum(share)
-
     def _move(self, name: str, at, grad: np.ndarray, rate: float) -> None:
         squares = self.squares[name][at] + grad * grad
         self.squares[name][at] = squares
         self.p[name][at] -= np.float32(rate) * grad / np.sqrt(squares)
 
-    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: int = 64, rate: float = 0.05) -> None:
-        """One minibatch, by noise-contrastive estimation with noise that the batch shares; u, v are codes, w classes."""
-        p, c = self.p, self.size
-        fake = np.minimum(np.searchsorted(self.draw, self.rng.random(noise)), c - 1)
-        shift, n = np.log(np.float32(noise)) + self.log_noise, np.float32(1 / len(w))
+    def _runs(self, group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Each group that the sorted numbers hold, with where its run begins and ends."""
+        own, start = np.unique(group, return_index=True)
+        return zip(own.tolist(), start.tolist(), [*start[1:].tolist(), len(group)], strict=True)
+
+    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: int = 64, inner: int = 32, rate: float = 0.05) -> None:
+        """One minibatch, by noise-contrastive estimation at both levels; the batch shares the noise groups, a group's tokens its noise classes."""
+        order = np.argsort(self.group[w], kind="stable")
+        u, v, w = u[order], v[order], w[order]
+        p, c, group, n = self.p, self.size, self.group[w], np.float32(1 / len(w))
         ru, rv = (p["R"][x // c] + p["S"][x % c] for x in (u, v))
-        q = p["Q"][w]
         context = ru @ p["A"] + rv @ p["B"]
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        real = (sigmoid((context * q).sum(axis=1) + p["b"][w] - shift[w]) - 1) * n
-        false = sigmoid(context @ p["Q"][fake].T + p["b"][fake] - shift[fake]) * n
-        back = real[:, None] * q + false @ p["Q"][fake]
-        left, right = back @ p["A"].T, back @ p["B"].T
-        both, rows = np.concatenate([u, v]), np.concatenate([left, right])
-        ends = np.concatenate([w, fake])
-        moves = [("R", *_sum_rows(both // c, rows)), ("S", *_sum_rows(both % c, rows)), ("Q", *_sum_rows(ends, np.concatenate([real[:, None] * context, false.T @ context])))]
-        moves += [("b", *_sum_rows(ends, np.concatenate([real, false.sum(axis=0)]))), ("A", slice(None), ru.T @ back), ("B", slice(None), rv.T @ back)]
+
+        def contrast(h: np.ndarray, real_at: np.ndarray, fake_at: np.ndarray, names: str, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+            vector, bias = p[names[0]], p[names[1]]
+            own, other = vector[real_at], vector[fake_at]
+            true = (_sigmoid((h * own).sum(axis=1) + bias[real_at] - shift[real_at]) - 1) * n
+            false = _sigmoid(h @ other.T + bias[fake_at] - shift[fake_at]) * n
+            return true, false, true[:, None] * own + false @ other
+
+        # Groups: the batch's against noise groups.
+        fake = np.minimum(np.searchsorted(self.group_draw, self.rng.random(noise)), len(self.group_draw) - 1)
+        true, false, back = contrast(context, group, fake, "Gg", self.group_noise + np.float32(np.log(noise)))
+        ends = np.concatenate([group, fake])
+        moves = [("G", *_sum_rows(ends, np.concatenate([true[:, None] * context, false.T @ context]))), ("g", *_sum_rows(ends, np.concatenate([true, false.sum(axis=0)])))]
+        # Classes: each token's against noise classes of its group.
+        shift = self.class_noise + np.float32(np.log(inner))
+        true, at, vectors, biases = np.empty(len(w), np.float32), [w], [], []
+        for k, i, j in self._runs(group):
+            first, end = self.begin[k], self.begin[k + 1]
+            fake = np.clip(np.searchsorted(self.class_draw, k + self.rng.random(inner)), first, end - 1)
+            true[i:j], false, moved = contrast(context[i:j], w[i:j], fake, "Qb", shift)
+            back[i:j] += moved
+            at.append(fake)
+            vectors.append(false.T @ context[i:j])
+            biases.append(false.sum(axis=0))
+        ends = np.concatenate(at)
+        moves += [("Q", *_sum_rows(ends, np.concatenate([true[:, None] * context, *vectors]))), ("b", *_sum_rows(ends, np.concatenate([true, *biases])))]
+        both, rows = np.concatenate([u, v]), np.concatenate([back @ p["A"].T, back @ p["B"].T])
+        moves += [("R", *_sum_rows(both // c, rows)), ("S", *_sum_rows(both % c, rows)), ("A", slice(None), ru.T @ back), ("B", slice(None), rv.T @ back)]
         for name, at, grad in moves:
             self._move(name, at, grad, rate)
         self.seen += len(w)
 
-    def train(self, code: np.ndarray, n: np.ndarray, steps: int, batch: int = 1024, noise: int = 64, rate: float = 0.05) -> None:
-        """Steps on trigrams of classes, u * size ** 2 + v * size + w, drawn by their counts."""
-        c = self.size
-        unigram = np.bincount(code % c, n, minlength=c) + 1.0
-        self.noise_from(unigram)
-        self.p["b"][:] = self.log_noise
-        pick = np.cumsum(n / n.sum())
-        for _ in range(steps):
-            at = np.minimum(np.searchsorted(pick, self.rng.random(batch)), len(code) - 1)
-            self.step(code[at] // (c * c) * c, code[at] // c % c * c, code[at] % c, noise, rate)
-
-    def log_totals(self, context: np.ndarray) -> np.ndarray:
-        """The logarithm of each context's sum over all classes."""
-        z = context @ self.p["Q"].T + self.p["b"]
-        top = z.max(axis=1)
-        z -= top[:, None]
-        return top + np.log(np.exp(z, out=z).sum(axis=1))
-
-    def table(self) -> np.ndarray:
-        """log10 P(class | context) of every context of two classes, second hash 0."""
-        p, c = self.p, self.size
-        r = p["R"] + p["S"][0]
-        context = ((r @ p["A"])[:, None] + (r @ p["B"])[None]).reshape(c * c, -1)
-        return (context @ p["Q"].T + p["b"] - self.log_totals(context)[:, None]) / np.log(10)
-
     def scorer(self):
-        """log10 P(class of w | u, v) of codes."""
+        """log10 P(class w | u, v) of codes u, v and classes w, normalised over all groups and over the classes of w's."""
         p, c = self.p, self.size
         r = {k: (p["R"] @ p[k], p["S"] @ p[k]) for k in "AB"}
 
         def score(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-            pair, at = np.unique(u * (c * c) + v, return_inverse=True)
-            order, out = np.argsort(at, kind="stable"), np.empty(len(w))
-            cut = np.searchsorted(at[order], np.arange(0, len(pair) + CONTEXTS, CONTEXTS))
-            for n, i in enumerate(range(0, len(pair), CONTEXTS)):
-                x, y = np.divmod(pair[i : i + CONTEXTS], c * c)
-                context = r["A"][0][x // c] + r["A"][1][x % c] + r["B"][0][y // c] + r["B"][1][y % c]
-                own = order[cut[n] : cut[n + 1]]
-                target, place = w[own] // c, at[own] - i
-                out[own] = (context[place] * p["Q"][target]).sum(axis=1) + p["b"][target] - self.log_totals(context)[place]
+            out = np.empty(len(w))
+            for n in range(0, len(w), CONTEXTS):
+                own = n + np.argsort(self.group[w[n : n + CONTEXTS]], kind="stable")
+                x, y, z = u[own], v[own], w[own]
+                context, group = r["A"][0][x // c] + r["A"][1][x % c] + r["B"][0][y // c] + r["B"][1][y % c], self.group[z]
+                scores = context @ p["G"].T + p["g"]
+                part = scores[np.arange(len(z)), group] - _log_sum(scores)
+                for k, i, j in self._runs(group):
+                    first, end = self.begin[k], self.begin[k + 1]
+                    scores = context[i:j] @ p["Q"][first:end].T + p["b"][first:end]
+                    part[i:j] += scores[np.arange(j - i), z[i:j] - first] - _log_sum(scores)
+                out[own] = part
             return out / np.log(10)
 
         return score
@@ -255,9 +279,7 @@ class LogBilinear:
 
 def train_model(texts: DataFrame, vocabulary: Vocabulary, epochs: int = EPOCHS) -> LogBilinear:
     """Passes over every token of the texts; the tasks' parameters are averaged, weighted by tokens, after each."""
-    model = LogBilinear(vocabulary.size)
-    model.noise_from(vocabulary.unigram)
-    model.p["b"][:] = model.log_noise
+    model = LogBilinear(vocabulary.unigram)
     if not vocabulary.tokens:
         return model
     streams, block, c = materialize(encode(texts, vocabulary), "lm-streams"), 1 << 14, vocabulary.size
@@ -326,7 +348,7 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
             for i, j in chunks(rows):
                 words, s, at, sizes = _stream(rows[i:j], codes)
                 stop = np.cumsum(sizes)
-                logp = score(s[at - 2], s[at - 1], s[at]) - share[s[at] // vocabulary.size]
+                logp = score(s[at - 2], s[at - 1], s[at] // vocabulary.size) - share[s[at] // vocabulary.size]
                 lm = np.add.reduceat(logp, stop - sizes)
                 which = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
                 doc = np.repeat(np.arange(j - i), sizes - 1)

@@ -47,24 +47,74 @@ def test_counts_and_rare_words(spark, small, small_rows, monkeypatch):
     check(as_dicts(lm.score_documents(small)), brute([(r["doc_id"], r["text"]) for r in small_rows]))
 
 
+def trained(code, unigram, steps, batch, **how):
+    """A model after steps over draws of the trigrams u, v, w of classes."""
+    model, rng = lm.LogBilinear(np.asarray(unigram, float), **how), np.random.default_rng(1)
+    for _ in range(steps):
+        u, v, w = code[rng.integers(0, len(code), batch)].T
+        model.step(u * model.size, v * model.size, w)
+    return model
+
+
+def loop_log10(model, u, v):
+    """log10 P of every class after the codes u, v, by plain sums."""
+    p, c = model.p, model.size
+    r = lambda x: [float(a) + float(b) for a, b in zip(p["R"][x // c], p["S"][x % c], strict=True)]
+    times = lambda x, m: [sum(x[i] * float(m[i][j]) for i in range(len(x))) for j in range(len(x))]
+    h = [a + b for a, b in zip(times(r(u), p["A"]), times(r(v), p["B"]), strict=True)]
+    energy = lambda vectors, biases: [math.exp(sum(a * float(b) for a, b in zip(h, q, strict=True)) + float(z)) for q, z in zip(vectors, biases, strict=True)]
+    groups, classes = energy(p["G"], p["g"]), energy(p["Q"], p["b"])
+    within = [sum(classes[x] for x in range(c) if model.group[x] == k) for k in range(len(groups))]
+    return [math.log10(groups[model.group[x]] / sum(groups) * classes[x] / within[model.group[x]]) for x in range(c)]
+
+
 def test_probabilities_sum_to_one():
-    model = lm.LogBilinear(size=16, width=8)
     rng = np.random.default_rng(0)
-    code, n = np.unique(rng.integers(0, 16, 5000) * 256 + rng.integers(0, 16, 5000) * 16 + rng.integers(0, 4, 5000), return_counts=True)
-    before = (model.table()[code // 16, code % 16] * n).sum()
-    model.train(code, n, steps=200, batch=256)
-    table = model.table()
-    assert (10.0**table).sum(axis=1) == pytest.approx(np.ones(256), abs=1e-5)
-    assert (table[code // 16, code % 16] * n).sum() > before
-
-
-def test_order_matters():
-    """NCE learns that 1 follows (0, 0) and 2 follows (1, 1), beyond the unigrams."""
-    model = lm.LogBilinear(size=4, width=8)
-    code, n = np.array([0 * 16 + 0 * 4 + 1, 1 * 16 + 1 * 4 + 2]), np.array([1000, 1000])
-    model.train(code, n, steps=400, batch=128, rate=0.05)
-    table = 10.0 ** model.table()
-    assert table[0, 1] > 0.8 and table[5, 2] > 0.8
+    code = np.stack([rng.integers(0, 16, 5000), rng.integers(0, 16, 5000), rng.integers(0, 4, 5000)], axis=1)
+    unigram = np.bincount(code[:, 2], minlength=16) + 1
+    u, v, w = (x.ravel() for x in np.meshgrid(*[np.arange(16)] * 3, indexing="ij"))
+    whole = []
+    for steps in (0, 200):
+        model = trained(code, unigram, steps, 256, width=8)
+        assert 1 < len(model.begin) - 1 < 16 and sorted(set(model.group)) == list(range(len(model.begin) - 1))
+        table = model.scorer()(u * 16, v * 16, w).reshape(16, 16, 16)
+        assert (10.0**table).sum(axis=2) == pytest.approx(np.ones((16, 16)), abs=1e-5)
+        assert table[3, 5] == pytest.approx(loop_log10(model, 3 * 16, 5 * 16), abs=1e-4)
+        whole.append(table[tuple(code.T)].sum())
+    assert whole[1] > whole[0]
+
+
+@pytest.mark.parametrize("unigram", [[1, 1, 1, 1], [1, 1000, 1000, 1], [1, 100, 1, 1]])
+def test_order_matters(unigram):
+    """NCE learns that 1 follows (0, 0) and 2 follows (1, 1), whether they share a group or not."""
+    model = trained(np.array([[0, 0, 1], [1, 1, 2]]), unigram, 400, 128, width=8)
+    got = 10.0 ** model.scorer()(np.array([0, 4]), np.array([0, 4]), np.array([1, 2]))
+    assert (got > 0.8).all()
+
+
+def test_score_of_a_text_word_by_word(spark, small, small_rows, monkeypatch):
+    """score against a loop over the words, from the parameters and the counts alone."""
+    made = []
+    train = lm.train_model
+    monkeypatch.setattr(lm, "train_model", lambda texts, vocabulary: made.append((train(texts, vocabulary), vocabulary)) or made[0][0])
+    got = {r["doc_id"]: r["score"] for r in as_dicts(lm.score_documents(small))}
+    model, vocabulary = made[0]
+    codes, c = vocabulary.codes(), Counter(t for r in small_rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1 for t in tokens(r["text"]))
+    klass = lambda t: codes[t] // vocabulary.size
+    whole = Counter()
+    for t, n in c.items():
+        whole[klass(t)] += n + 0.5
+    short = sorted((r for r in small_rows if r["text"]), key=lambda r: len(r["text"]))[:12]
+    assert {r["doc_id"] for r in short}
+    for r in short:
+        own, want = tokens(r["text"])[:400], 0.0
+        if len(own) == 400:
+            continue
+        for i, t in enumerate(own):
+            u, v = (codes[own[j]] if j >= 0 else codes[b""] for j in (i - 2, i - 1))
+            share = 0.0 if t in vocabulary.top else math.log10((c[t] + 0.5) / (whole[klass(t)] + 0.5))
+            want += loop_log10(model, u, v)[klass(t)] + share
+        assert got[r["doc_id"]] == pytest.approx(want, abs=1e-3 * len(own))
 
 
 def test_odd_rows(odd, empty):
