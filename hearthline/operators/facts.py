@@ -122,3 +122,64 @@ def fill_missing(value: Column, found: Column) -> Column:
 def energy_tone(label: Column) -> Column:
     letter = F.upper(F.regexp_extract(label, r"(?i)\b([A-G])\b", 1))
     return F.when(letter.isin("A", "B"), "good").when(letter.isin("C", "D"), "medium").when(letter.isin("E", "F", "G"), "poor").otherwise("unknown")
+
+
+def _field(record: Column, name: str) -> Column:
+    return F.try_variant_get(record, f"$.{name}", "variant")
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
+
+
+def _text(value: Column) -> Column:
+    """A variant's text if it is text."""
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _number(value: Column, of_text) -> Column:
+    """A variant as a double: a number, or text that of_text reads."""
+    number = F.when(_kind(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+    return F.coalesce(number, of_text(_text(value)))
+
+
+def _records(raw: Column, fact, keep, order) -> Column:
+    """fact of each object in a JSON array (text) that keep holds, by order and place; what is no array gives no fact."""
+    items = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), F.array().cast("array<variant>"))
+    each = F.transform(items, lambda r, i: F.struct(order(r, i).alias("by"), i.alias("at"), F.startswith(_kind(r), F.lit("OBJECT")).alias("object"), fact(r, i).alias("fact")))
+    # Variants can't be compared; the facts hold none.
+    return F.transform(F.array_sort(F.filter(each, lambda x: x["object"] & keep(x["fact"]))), lambda x: x["fact"])
+
+
+def saved_facts(raw: Column) -> Column:
+    """Array of (key, label, value, grp, ord) from the JSON array (text) of a saved listing's facts.
+
+    A fact has its key under key, id or slug, its label under label or name, else it is the key; its value is the first
+    there is of value, amount and displayValue, a JSON null included, as text or JSON. Facts without a key go; those
+    without a readable order come where 1000 is, ties in their own order.
+    """
+    some = lambda r, *names: F.coalesce(*(texts.trimmed(F.regexp_replace(_text(_field(r, n)), r"(?U)^\s+|\s+$", "")) for n in names))
+    number = lambda r: _number(_field(r, "order"), numbers.optional_decimal)
+
+    def fact(r: Column, i: Column) -> Column:
+        key = some(r, "key", "id", "slug")
+        found = F.coalesce(*(_field(r, n) for n in ("value", "amount", "displayValue")))
+        value = F.when(_kind(found) != "VOID", F.coalesce(_text(found), F.to_json(found)))
+        return F.struct(key.alias("key"), F.coalesce(some(r, "label", "name"), key).alias("label"), value.alias("value"), some(r, "group").alias("grp"), number(r).alias("ord"))
+
+    return _records(raw, fact, lambda f: f["key"].isNotNull(), lambda r, i: F.coalesce(number(r), F.lit(1000.0)))
+
+
+def saved_pairs(raw: Column) -> Column:
+    """Array of (label, value, ord) from the JSON array (text) of a saved listing's label-value pairs.
+
+    Both are text and not empty, or the pair goes; order is a number or text of one (blank text is 0), else the place.
+    """
+    plain = lambda t: F.when(F.trim(t) == "", F.lit(0.0)).otherwise(F.trim(t).try_cast("double"))
+
+    def order(r: Column, i: Column) -> Column:
+        number = _number(_field(r, "order"), plain)
+        return F.when(F.abs(number) < float("inf"), number).otherwise(i.cast("double"))
+
+    fact = lambda r, i: F.struct(_text(_field(r, "label")).alias("label"), _text(_field(r, "value")).alias("value"), order(r, i).alias("ord"))
+    return _records(raw, fact, lambda f: (F.length(f["label"]) > 0) & (F.length(f["value"]) > 0), order)

@@ -59,6 +59,28 @@ def is_specific(text: Column, components: tuple[str, ...] = COMPONENT_TERMS, iss
     return texts.let(texts.let(texts.simplify(text), pair), judged)
 
 
+def is_specific_entry(text: Column, components: tuple[str, ...] = (*COMPONENT_TERMS, "grunn"), issues: tuple[str, ...] = ISSUE_TERMS, always: str = "ikke godkjent") -> Column:
+    """The saved pages' rule: at least 8 characters, and `always`, or a component with an issue or in 3 words or more.
+
+    Terms of one word are whole tokens here, those of several lie within the text. Null and blank text is not specific.
+    """
+
+    def judged(p: Column) -> Column:
+        simple, words = p["simple"], p["words"]
+
+        def named(terms: tuple[str, ...]) -> Column:
+            hit = F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms if " " not in t)).cast("array<string>"))
+            for t in terms:
+                if " " in t:
+                    hit = hit | F.contains(simple, F.lit(t))
+            return hit
+
+        return (F.length(simple) >= 8) & (named((always,)) | (named(components) & (named(issues) | (p["n"] >= 3))))
+
+    facts = lambda t: F.struct(texts.simplify(t).alias("simple"), texts.tokens(texts.simplify(t)).alias("words"), F.size(F.split(t, r"(?U)\s+")).alias("n"))
+    return F.coalesce(texts.let(texts.let(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), facts), judged), F.lit(False))
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """lines with `block`: the line and the next three, up to one with a grade mark, or until over 300 characters."""
     w = Window.partitionBy("doc_id").orderBy("pos")

@@ -311,3 +311,43 @@ SPECIFIC = ("Bad: fukt i membran", "Tak", "ikke godkjent kjeller", "kort", "Fin
 @query(f"""SELECT p_partkey, CAST([1, 0, 1, 0, 0][CAST(p_partkey % 5 + 1 AS INTEGER)] AS BOOLEAN) AS specific FROM part""")
 def specific_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", issues.is_specific(pick(SPECIFIC, F.col("p_partkey"))).alias("specific"))
+
+
+# -- saved pages' entries and facts -------------------------------------------------------------------------------
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), e AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM l),
+  t AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS cut FROM e),
+  p AS (SELECT *, replace(replace(replace(replace(replace(replace(lower(cut), 'ø', 'o'), 'å', 'a'), 'æ', 'ae'), 'é', 'e'), 'ö', 'o'), 'ü', 'u') AS s FROM t),
+  w AS (SELECT *, regexp_split_to_array(s, '[^a-z0-9]+') AS k, len(regexp_split_to_array(cut, '\\s+')) AS n FROM p)
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, line, contains(s, 'of the') AS always FROM w WHERE length(s) >= 8 AND (contains(s, 'of the') OR (
+    (list_has_any(k, ['the', 'der', 'uber', 'les']) OR contains(s, 'de la')) AND (list_has_any(k, ['and', 'und', 'que']) OR n >= 3)))""")
+def specific_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specific lines of all documents, by terms that occur in them."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    kept = lines.where(issues.is_specific_entry(F.col("line"), ("the", "der", "uber", "les", "de la"), ("and", "und", "que"), "of the"))
+    return kept.withColumn("always", F.contains(texts.simplify(F.col("line")), F.lit("of the")))
+
+
+_FACTS = """'[{"key":" size ","order":"1 ' || p_size || ',5","value":' || p_size || '},{"id":"brand","name":"' || p_brand || '","amount":"' || p_type || '"},{"slug":" ","label":"x"},7,
+ {"slug":"key","order":' || (p_partkey * 7919 % 3000) || ',"displayValue":{"n":' || p_partkey || '},"group":" Kostnader "},{"key":5,"id":"none","value":null,"amount":3},{"key":"type","label":"' || p_name || '","order":"x","value":"' || p_type || '"}]'"""
+_PAIRS = """'[{"label":"' || p_name || '","value":"' || p_brand || '","order":"' || (p_partkey % 5) || '"},{"label":"Size","value":' || p_size || '},{"label":"Type","value":"' || p_type || '"},{"label":"","value":"x"},
+ {"label":"Key","value":"' || p_partkey || '","order":" "},{"label":"Brand","value":"' || p_brand || '","order":' || (p_size % 4) || '.5},{"label":"None","value":"y","order":"z"}]'"""
+_EACH = "SELECT p_partkey, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS i, unnest(CAST(j AS JSON[])) AS r FROM (SELECT p_partkey, CAST({} AS JSON) AS j FROM part)"
+
+
+@query(f"""WITH e AS ({_EACH.format(_FACTS)}), t AS (SELECT *, [CASE WHEN json_type(r, '$.' || x) = 'VARCHAR' THEN nullif(trim(json_extract_string(r, '$.' || x)), '') END FOR x IN ['key', 'id', 'slug', 'label', 'name', 'group']] AS s FROM e WHERE json_type(r) = 'OBJECT'),
+  f AS (SELECT p_partkey, i, coalesce(s[1], s[2], s[3]) AS key, coalesce(s[4], s[5], s[1], s[2], s[3]) AS label, s[6] AS grp,
+    CASE WHEN json_exists(r, '$.value') THEN json_extract_string(r, '$.value') WHEN json_exists(r, '$.amount') THEN json_extract_string(r, '$.amount') ELSE json_extract_string(r, '$.displayValue') END AS value,
+    try_cast(replace(replace(json_extract_string(r, '$.order'), ' ', ''), ',', '.') AS DOUBLE) AS ord FROM t)
+  SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY coalesce(ord, 1000), i) - 1 AS INTEGER) AS pos, key, label, value, grp, ord FROM f WHERE key IS NOT NULL""")
+def saved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts from JSON with all fields' other names, composed of every part's columns."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(facts.saved_facts(F.expr(_FACTS))).alias("pos", "f")).select("p_partkey", "pos", "f.*")
+
+
+@query(f"""WITH e AS ({_EACH.format(_PAIRS)}), f AS (SELECT p_partkey, i, json_extract_string(r, '$.label') AS label, json_extract_string(r, '$.value') AS value, json_extract_string(r, '$.order') AS o FROM e WHERE json_type(r, '$.label') = 'VARCHAR' AND json_type(r, '$.value') = 'VARCHAR'),
+  g AS (SELECT *, CASE WHEN trim(o) = '' THEN 0 ELSE coalesce(try_cast(o AS DOUBLE), i) END AS ord FROM f WHERE label <> '' AND value <> '')
+  SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY ord, i) - 1 AS INTEGER) AS pos, label, value, CAST(ord AS DOUBLE) AS ord FROM g""")
+def saved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label-value pairs from JSON with numbers, text and blanks as orders, composed of every part's columns."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(facts.saved_pairs(F.expr(_PAIRS))).alias("pos", "f")).select("p_partkey", "pos", "f.*")
