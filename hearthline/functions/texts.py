@@ -25,8 +25,8 @@ def fold_case(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-def simplify(text: Column) -> Column:
-    out = fold_case(text)
+def simplify(text: Column, lower=fold_case) -> Column:
+    out = lower(text)
     for a, b in SIMPLE:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

@@ -62,7 +62,7 @@ def is_specific(text: Column, components: tuple[str, ...] = COMPONENT_TERMS, iss
 def is_specific_entry(text: Column, components: tuple[str, ...] = (*COMPONENT_TERMS, "grunn"), issues: tuple[str, ...] = ISSUE_TERMS, always: str = "ikke godkjent") -> Column:
     """The saved pages' rule: at least 8 characters, and `always`, or a component with an issue or in 3 words or more.
 
-    Terms of one word are whole tokens here, those of several lie within the text. Null and blank text is not specific.
+    Terms of one word are whole tokens here, those of several lie within the text; ß ends a token. Null and blank text is not specific.
     """
 
     def judged(p: Column) -> Column:
@@ -77,7 +77,7 @@ def is_specific_entry(text: Column, components: tuple[str, ...] = (*COMPONENT_TE
 
         return (F.length(simple) >= 8) & (named((always,)) | (named(components) & (named(issues) | (p["n"] >= 3))))
 
-    facts = lambda t: F.struct(texts.simplify(t).alias("simple"), texts.tokens(texts.simplify(t)).alias("words"), F.size(F.split(t, r"(?U)\s+")).alias("n"))
+    facts = lambda t: F.struct(texts.simplify(t, F.lower).alias("simple"), texts.tokens(texts.simplify(t, F.lower)).alias("words"), F.size(F.split(t, r"(?U)\s+")).alias("n"))
     return F.coalesce(texts.let(texts.let(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), facts), judged), F.lit(False))
 
 

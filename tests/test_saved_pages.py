@@ -10,7 +10,7 @@ from hearthline.operators import facts, issues
     ("text", "want"),
     [
         ("Bad: fukt i membran", True), ("Kjeller ikke godkjent", True), ("ikke godkjent", True), ("Tak lekk", True), ("Tak fin", False), ("Tak er fint", True), ("badet er fint nå", False),
-        ("Grunn og murer", True), ("Fin utsikt mot fjorden", False), ("  Kjøkken\t slitt ", True), ("bad fukt", True), ("bad sop", False), ("", False), ("   ", False), (None, False),
+        ("Grunn og murer", True), ("Fin utsikt mot fjorden", False), ("  Kjøkken\t slitt ", True), ("bad fukt", True), ("bad sop", False), ("takß er fint", True), ("", False), ("   ", False), (None, False),
     ],
 )
 def test_specific_entry(spark, text, want):
