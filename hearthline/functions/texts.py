@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: What a simplified key spells out (after case folding).
 SIMPLE = (("ø", "o"), ("å", "a"), ("æ", "ae"), ("é", "e"), ("ü", "u"), ("ö", "o"))
-_EDGES = r" .,:;–—\-"
+_EDGES, _LINE_ENDS = " .,:;–—-", r"[\n\r\x85\u2028\u2029]"
 _BULLET = r"^[\-*•⁃∙●]+\s*"
 
 
@@ -17,7 +17,7 @@ def let(value: Column, use) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def fold_case(text: Column) -> Column:
@@ -53,7 +53,9 @@ def tokens(text: Column) -> Column:
 
 
 def trim_edges(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{_EDGES}]+|[{_EDGES}]+$", "")
+    """Without edge punctuation, also before a line's end that ends the text."""
+    bare = lambda t: F.trim(t, F.lit(_EDGES))
+    return let(text, lambda t: F.when(t.rlike(rf"{_LINE_ENDS}\z"), F.regexp_replace(t, f"^[{_EDGES}]+|[{_EDGES}]+$", "")).otherwise(bare(t)))
 
 
 def without_bullet(text: Column) -> Column:
@@ -74,13 +76,7 @@ def ellipsis(text: Column, most: int) -> Column:
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
-    def hit(t: Column) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(t, F.lit(w))
-        return out
-
-    return let(text, hit)
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words) or "(?!)")
 
 
 def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:

@@ -3,6 +3,8 @@
 import duckdb
 import pyspark.sql.functions as F
 
+from hearthline.functions import texts
+from hearthline.operators import issues
 from hearthline.plans import accounts, catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +19,22 @@ def test_membership_of_large_ids_equals_its_twin(spark, tmp_path):
     got = sorted(map(tuple, catalog.QUERIES["membership"](spark, str(tmp_path)).select("event_id", "told", "stamp").collect()))
     assert got == sorted(con.execute(catalog.ORACLE["membership"]).fetchall())
     assert any(stamp and stamp.index("-") == 5 for _, _, stamp in got)
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_normalised_once(spark):
+    """A filter on the normal form computes it anew for each use, all its patterns included."""
+    lines = spark.range(5).select("id", F.lit("TG3 Bad: fukt i membran").alias("line")).selectExpr("id doc_id", "id pos", "line")
+    tagged = issues.tagged(lines, 3)
+    assert optimized(tagged).count("tilstands") == 1
+    assert [tuple(r) for r in tagged.select("doc_id", "plain", "key").where("doc_id = 3").collect()] == [(3, "Bad: fukt i membran", "bad: fukt i membran")]
+
+
+def test_terms_as_one_pattern(value):
+    """Terms within tokens, tokens within terms, and edge punctuation before a line's end, as the loop over terms had them."""
+    got = [value(issues.is_specific(F.lit(t), ("takst", "x y"), ("fukt", "dør", "a.b c"))) for t in ("taksten: fuktig", "takst: fu", "stakst og fukt", "  ex y: fukt", "takster a.b c", "takster axb c", "takst: d osv", "takst: dxr os")]
+    assert got == [True, True, False, True, True, False, True, False]
+    assert value(texts.trim_edges(F.lit(". a -.\n")), texts.trim_edges(F.lit("–a ")), texts.has_any(F.lit("axb"), ("a.b",)), texts.has_any(F.lit("x(a.b"), ("(a.b",))) == ("a\n", "a", False, True)
