@@ -12,19 +12,24 @@ _SPACES = "[\\u00a0\\u202f ]"
 
 
 def _finite(number: Column) -> Column:
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(number, F.lit(None).cast("double"))
+
+
+def double(plain: Column) -> Column:
+    """Text as a double; what holds neither a digit nor a name of a number isn't cast, since each failing cast throws."""
+    return F.when(plain.rlike("(?i)[0-9]|nan|inf"), plain.try_cast("double"))
 
 
 def decimal(text: Column, default: Column | float | None = 0.0) -> Column:
     """Text (or a number) as a double: spaces dropped, comma as point; what isn't a number gives the default."""
     plain = F.regexp_replace(F.regexp_replace(text.cast("string"), _SPACES, ""), ",", ".")
-    return F.coalesce(_finite(plain.try_cast("double")), F.lit(default).cast("double"))
+    return F.coalesce(_finite(double(plain)), F.lit(default).cast("double"))
 
 
 def whole(text: Column, default: Column | int | None = 0) -> Column:
     """Text (or a number) as a long, truncated: spaces and commas dropped; what isn't a number gives the default."""
     plain = F.regexp_replace(F.regexp_replace(text.cast("string"), _SPACES, ""), ",", "")
-    number = _finite(plain.try_cast("double"))
+    number = _finite(double(plain))
     return F.coalesce(F.when(F.abs(number) < 9.2e18, number).cast("long"), F.lit(default).cast("long"))
 
 

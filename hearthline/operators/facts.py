@@ -124,31 +124,33 @@ def energy_tone(label: Column) -> Column:
     return F.when(letter.isin("A", "B"), "good").when(letter.isin("C", "D"), "medium").when(letter.isin("E", "F", "G"), "poor").otherwise("unknown")
 
 
-def _field(record: Column, name: str) -> Column:
-    return F.try_variant_get(record, f"$.{name}", "variant")
-
-
 def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
-def _text(value: Column) -> Column:
-    """A variant's text if it is text."""
-    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def _typed(value: Column) -> Column:
+    """A struct of a variant's value, kind, and text if it is text, computed once however often they are named."""
+    read = lambda k: F.struct(value.alias("value"), k.alias("kind"), F.when(k == "STRING", F.try_variant_get(value, "$", "string")).alias("text"))
+    return F.when(value.isNotNull(), texts.let(_kind(value), read))
+
+
+def _number(field: Column, of_text) -> Column:
+    """A field as a double: a number, or text that of_text reads."""
+    number = F.when(field["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(field["value"], "$", "double"))
+    return F.coalesce(number, of_text(field["text"]))
 
 
-def _number(value: Column, of_text) -> Column:
-    """A variant as a double: a number, or text that of_text reads."""
-    number = F.when(_kind(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
-    return F.coalesce(number, of_text(_text(value)))
+def _records(raw: Column, names: tuple[str, ...], fact, keep, order) -> Column:
+    """fact of each object in a JSON array (text) that keep holds, by order and place; order (by, told) is of its fields and place, fact of its fields and what order told. What is no array gives no fact."""
+    fields = f"array<struct<{','.join(f'{n}:variant' for n in names)}>>"
+    items = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", fields), F.array().cast(fields))
 
+    def each(r: Column, i: Column) -> Column:
+        found = lambda f: texts.let(order(f, i), lambda by: F.struct(by["by"].alias("by"), i.alias("at"), fact(f, by["told"]).alias("fact")))
+        return F.when(r.isNotNull(), texts.let(F.struct(*(_typed(r[n]).alias(n) for n in names)), found))
 
-def _records(raw: Column, fact, keep, order) -> Column:
-    """fact of each object in a JSON array (text) that keep holds, by order and place; what is no array gives no fact."""
-    items = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), F.array().cast("array<variant>"))
-    each = F.transform(items, lambda r, i: F.struct(order(r, i).alias("by"), i.alias("at"), F.startswith(_kind(r), F.lit("OBJECT")).alias("object"), fact(r, i).alias("fact")))
     # Variants can't be compared; the facts hold none.
-    return F.transform(F.array_sort(F.filter(each, lambda x: x["object"] & keep(x["fact"]))), lambda x: x["fact"])
+    return F.transform(F.array_sort(F.filter(F.transform(items, each), lambda x: x.isNotNull() & keep(x["fact"]))), lambda x: x["fact"])
 
 
 def saved_facts(raw: Column) -> Column:
@@ -158,16 +160,19 @@ def saved_facts(raw: Column) -> Column:
     there is of value, amount and displayValue, a JSON null included, as text or JSON. Facts without a key go; those
     without a readable order come where 1000 is, ties in their own order.
     """
-    some = lambda r, *names: F.coalesce(*(texts.trimmed(F.regexp_replace(_text(_field(r, n)), r"(?U)^\s+|\s+$", "")) for n in names))
-    number = lambda r: _number(_field(r, "order"), numbers.optional_decimal)
+    filled = lambda t: F.when(F.trim(t) != "", F.trim(t))
+    trimmed = lambda t: filled(F.when(t.rlike(r"(?U)^\s|\s\z"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t))
+    some = lambda f, *names: F.coalesce(*(trimmed(f[n]["text"]) for n in names))
 
-    def fact(r: Column, i: Column) -> Column:
-        key = some(r, "key", "id", "slug")
-        found = F.coalesce(*(_field(r, n) for n in ("value", "amount", "displayValue")))
-        value = F.when(_kind(found) != "VOID", F.coalesce(_text(found), F.to_json(found)))
-        return F.struct(key.alias("key"), F.coalesce(some(r, "label", "name"), key).alias("label"), value.alias("value"), some(r, "group").alias("grp"), number(r).alias("ord"))
+    def fact(f: Column, number: Column) -> Column:
+        found = F.coalesce(*(F.when(f[n]["value"].isNotNull(), f[n]) for n in ("value", "amount", "displayValue")))
+        value = lambda v: F.when(v["kind"] != "VOID", F.coalesce(v["text"], F.to_json(v["value"])))
+        made = lambda key: F.struct(key.alias("key"), F.coalesce(some(f, "label", "name"), key).alias("label"), texts.let(found, value).alias("value"), some(f, "group").alias("grp"), number.alias("ord"))
+        return texts.let(some(f, "key", "id", "slug"), made)
 
-    return _records(raw, fact, lambda f: f["key"].isNotNull(), lambda r, i: F.coalesce(number(r), F.lit(1000.0)))
+    order = lambda f, i: texts.let(_number(f["order"], numbers.optional_decimal), lambda n: F.struct(F.coalesce(n, F.lit(1000.0)).alias("by"), n.alias("told")))
+    names = ("key", "id", "slug", "label", "name", "group", "order", "value", "amount", "displayValue")
+    return _records(raw, names, fact, lambda f: f["key"].isNotNull(), order)
 
 
 def saved_pairs(raw: Column) -> Column:
@@ -175,11 +180,11 @@ def saved_pairs(raw: Column) -> Column:
 
     Both are text and not empty, or the pair goes; order is a number or text of one (blank text is 0), else the place.
     """
-    plain = lambda t: F.when(F.trim(t) == "", F.lit(0.0)).otherwise(F.trim(t).try_cast("double"))
+    plain = lambda t: F.when(F.trim(t) == "", F.lit(0.0)).otherwise(numbers.double(F.trim(t)))
 
-    def order(r: Column, i: Column) -> Column:
-        number = _number(_field(r, "order"), plain)
-        return F.when(F.abs(number) < float("inf"), number).otherwise(i.cast("double"))
+    def order(f: Column, i: Column) -> Column:
+        held = lambda n: texts.let(F.when(F.abs(n) < float("inf"), n).otherwise(i.cast("double")), lambda by: F.struct(by.alias("by"), by.alias("told")))
+        return texts.let(_number(f["order"], plain), held)
 
-    fact = lambda r, i: F.struct(_text(_field(r, "label")).alias("label"), _text(_field(r, "value")).alias("value"), order(r, i).alias("ord"))
-    return _records(raw, fact, lambda f: (F.length(f["label"]) > 0) & (F.length(f["value"]) > 0), order)
+    fact = lambda f, number: F.struct(f["label"]["text"].alias("label"), f["value"]["text"].alias("value"), number.alias("ord"))
+    return _records(raw, ("label", "value", "order"), fact, lambda f: (F.length(f["label"]) > 0) & (F.length(f["value"]) > 0), order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finance, numbers, scores, texts, web
 from ..operators import decision, facts, findings, issues, links, pages, rates, records, rent
-from ..sources import tables
+from ..sources import staging, tables
 from .catalog import job_events, query, read
 from .listings import pick, quoted, sql_pick, values
 
@@ -335,6 +335,10 @@ _PAIRS = """'[{"label":"' || p_name || '","value":"' || p_brand || '","order":"'
 _EACH = "SELECT p_partkey, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS i, unnest(CAST(j AS JSON[])) AS r FROM (SELECT p_partkey, CAST({} AS JSON) AS j FROM part)"
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staging.spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+
+
 @query(f"""WITH e AS ({_EACH.format(_FACTS)}), t AS (SELECT *, [CASE WHEN json_type(r, '$.' || x) = 'VARCHAR' THEN nullif(trim(json_extract_string(r, '$.' || x)), '') END FOR x IN ['key', 'id', 'slug', 'label', 'name', 'group']] AS s FROM e WHERE json_type(r) = 'OBJECT'),
   f AS (SELECT p_partkey, i, coalesce(s[1], s[2], s[3]) AS key, coalesce(s[4], s[5], s[1], s[2], s[3]) AS label, s[6] AS grp,
     CASE WHEN json_exists(r, '$.value') THEN json_extract_string(r, '$.value') WHEN json_exists(r, '$.amount') THEN json_extract_string(r, '$.amount') ELSE json_extract_string(r, '$.displayValue') END AS value,
@@ -342,7 +346,7 @@ _EACH = "SELECT p_partkey, unnest(range(CAST(json_array_length(j) AS BIGINT))) A
   SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY coalesce(ord, 1000), i) - 1 AS INTEGER) AS pos, key, label, value, grp, ord FROM f WHERE key IS NOT NULL""")
 def saved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts from JSON with all fields' other names, composed of every part's columns."""
-    return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(facts.saved_facts(F.expr(_FACTS))).alias("pos", "f")).select("p_partkey", "pos", "f.*")
+    return _parts(spark, sf_dir).select("p_partkey", F.posexplode(facts.saved_facts(F.expr(_FACTS))).alias("pos", "f")).select("p_partkey", "pos", "f.*")
 
 
 @query(f"""WITH e AS ({_EACH.format(_PAIRS)}), f AS (SELECT p_partkey, i, json_extract_string(r, '$.label') AS label, json_extract_string(r, '$.value') AS value, json_extract_string(r, '$.order') AS o FROM e WHERE json_type(r, '$.label') = 'VARCHAR' AND json_type(r, '$.value') = 'VARCHAR'),
@@ -350,4 +354,4 @@ def saved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY ord, i) - 1 AS INTEGER) AS pos, label, value, CAST(ord AS DOUBLE) AS ord FROM g""")
 def saved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label-value pairs from JSON with numbers, text and blanks as orders, composed of every part's columns."""
-    return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(facts.saved_pairs(F.expr(_PAIRS))).alias("pos", "f")).select("p_partkey", "pos", "f.*")
+    return _parts(spark, sf_dir).select("p_partkey", F.posexplode(facts.saved_pairs(F.expr(_PAIRS))).alias("pos", "f")).select("p_partkey", "pos", "f.*")

@@ -4,7 +4,7 @@ import duckdb
 import pyspark.sql.functions as F
 
 from hearthline.functions import texts
-from hearthline.operators import issues
+from hearthline.operators import facts, issues
 from hearthline.plans import accounts, catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,13 @@ def test_terms_as_one_pattern(value):
     got = [value(issues.is_specific(F.lit(t), ("takst", "x y"), ("fukt", "dør", "a.b c"))) for t in ("taksten: fuktig", "takst: fu", "stakst og fukt", "  ex y: fukt", "takster a.b c", "takster axb c", "takst: d osv", "takst: dxr os")]
     assert got == [True, True, False, True, True, False, True, False]
     assert value(texts.trim_edges(F.lit(". a -.\n")), texts.trim_edges(F.lit("–a ")), texts.has_any(F.lit("axb"), ("a.b",)), texts.has_any(F.lit("x(a.b"), ("(a.b",))) == ("a\n", "a", False, True)
+
+
+def test_saved_records_are_spread(spark):
+    """Parts lie in one small file: their facts are made in as many tasks as there are cores."""
+    df = catalog.QUERIES["saved_facts"](spark, SF)
+    assert "Repartition" in optimized(df)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    raw = F.lit('[{"key": " a ", "order": "nan"}, [1], {}, null, "x", {"id": "b", "value": null, "order": "1e1"}, {"key": 1, "slug": "c", "amount": [1], "order": "Infinity"}]')
+    got = [tuple(r) for r in spark.range(1).select(F.inline(facts.saved_facts(raw))).collect()]
+    assert got == [("b", "b", None, None, 10.0), ("a", "a", None, None, None), ("c", "c", "[1]", None, float("inf"))]
