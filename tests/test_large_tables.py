@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from hearthline.functions import texts
 from hearthline.operators import facts, issues
 from hearthline.plans import accounts, catalog, listings  # noqa: F401
+from hearthline.sources import html
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,12 @@ def test_image_rules_look_at_a_path_once(spark):
     """No loop over words within which a URL's path is taken out anew for each."""
     plan = optimized(catalog.QUERIES["image_kinds"](spark, SF))
     assert "lambdafunction" not in plan
+
+
+def test_pages_are_read_by_slices(spark):
+    """What becomes Python's objects at one time is bounded in rows and characters, and no page is lost at a bound."""
+    assert list(html._slices([1] * 130)) == [(0, 64), (64, 128), (128, 130)] and list(html._slices([])) == []
+    assert list(html._slices([5, 2 << 20, 1 << 19, 1 << 19, 1])) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    pages = spark.range(0, 150, 1, 1).select("id", F.when(F.col("id") != 7, F.format_string("<dl><dt>Rom</dt><dd>%d</dd></dl><img src='images/%d.png'>", "id", "id")).alias("html"))
+    got = {r["id"]: (r["labels"], r["marks"], r["text"]) for r in html.with_listing(pages).collect()}
+    assert len(got) == 150 and got[7] == ([], {}, "") and got[149] == ([("Rom", "149", 0)], {"gallery": "images/149.png"}, "Rom 149")
