@@ -46,7 +46,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, free_names, materialize, slices, text_or_empty, whole_row
@@ -66,6 +66,8 @@ LEAST = 40
 #: Of a list up to this length all pairs are candidates at once; of a longer one first each entry's with one that the list draws, then all pairs that these leave in different components.
 NEAR_PAIRS = 16
 _SIG = [f"s{i}" for i in range(POSITIONS // 8)]
+#: Columns and types of an entry's difference from the centre of its group.
+_APART = "main bigint node bigint root bigint centre bigint centre_root bigint size bigint centre_size bigint apart array<bigint>"
 _MIX = np.random.default_rng(8).integers(0, 1 << 63, (2, POSITIONS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -224,21 +226,62 @@ def _tallied(met: DataFrame) -> DataFrame:
     return pairs.where(F.col("tally") >= LEAST).groupBy("u", "v").agg(F.max("tally").alias("tally"))
 
 
-def near_leftovers(long_: DataFrame, roots: DataFrame) -> DataFrame:
-    """u < v and tally of the pairs of long lists that lie in different components and share LEAST positions.
+def near_leftovers(long_: DataFrame, roots: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u < v and tally of the pairs of long lists that lie in different components and may reach the similarity.
 
-    In each list the entries outside its largest component meet all others, so a group of near copies costs its few
-    leftovers times itself. Together with what was checked before, no pair that meets in a list is left out.
+    Lists of one largest component are a group, and a group has a centre c, the entry of the longest lists. Two sets differ
+    as their differences from c do: |x ^ y| = dx + dy - 2 |Dx & Dy|, so with b = (1 - similarity) / (1 + similarity) and
+    slack s = d - b |x| a pair reaches the similarity if and only if |Dx & Dy| >= (sx + sy) / 2. An entry with s <= b |c|
+    reaches it with c itself. Of any other pair the larger slack is above b |c|, so the two share a difference, and the first
+    one they share, from rare to common, is among the first few of each. What all of a group share is in no difference, and
+    what many share comes last, so a group of near copies costs its differences, not its pairs. No pair is left out.
     """
-    named = long_.join(roots.select(F.col("node").alias("_node"), "root"), F.col("x.node") == F.col("_node"), "left")
-    named = materialize(named.select("key", "x", F.coalesce("root", "x.node").alias("root")), "near-named")
+    named = long_.select("key", "x.node").join(roots.select("node", "root"), "node", "left")
+    named = materialize(named.select("key", "node", F.coalesce("root", "node").alias("root")), "near-named")
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
-    apart = sizes.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = named.join(apart.select("key", "main"), "key")
-    a = open_.where("root <> main").select("key", F.col("x").alias("a"), F.col("root").alias("root_a"))
-    b = open_.select(F.col("key").alias("key_b"), F.col("x").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("of_main"))
-    apart_ = (F.col("root_a") != F.col("root_b")) & (F.col("of_main") | (F.col("a.node") < F.col("b.node")))
-    return _tallied(a.join(b, (F.col("key") == F.col("key_b")) & apart_ & (near_tally("a", "b") >= LEAST)).select("a", "b"))
+    apart = sizes.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1")
+    members = named.join(apart, "key").groupBy("main", "node", "root").agg(F.sum("n").alias("weight"))
+    members = materialize(members, "near-members")
+    centres = members.groupBy("main").agg(F.max(F.struct("weight", "node", "root")).alias("k")).select("main", F.col("k.node").alias("centre"), F.col("k.root").alias("centre_root"))
+    b, eps = (1 - similarity) / (1 + similarity), 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None
+        for part in slices(slices(batches, 5), 6):
+            size, centre_size, apart_ = [], [], []
+            for c, x, y in zip(part.column(3).to_pylist(), as_bytes(part.column(5)), as_bytes(part.column(6)), strict=True):
+                if c != last:
+                    last, centre = c, shingles(y, width)
+                own = shingles(x, width)
+                size.append(len(own))
+                centre_size.append(len(centre))
+                apart_.append(np.setxor1d(own, centre, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(size, pa.int64()), pa.array(centre_size, pa.int64()), pa.array(apart_, pa.list_(pa.int64()))], _APART.split()[::2])
+
+    # A large group's centre is dealt over tasks.
+    dealt = centres.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    whole = members.join(texts, "node").withColumn("deal", F.pmod("node", F.lit(16)).cast("int")).join(dealt, ["main", "deal"])
+    rows = whole.select("main", "node", "root", "centre", "centre_root", "text", "centre_text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_APART.split()[::2], _APART.split()[1::2], strict=True)))
+    d = F.size("apart")
+    rows = materialize(rows.select("*", d.alias("d"), (d - b * F.col("size")).alias("s"), (b * F.col("centre_size")).alias("limit")), "near-apart")
+
+    direct = rows.where((F.col("s") <= F.col("limit") + eps) & (F.col("root") != F.col("centre_root")))
+    direct = direct.select(F.col("node").alias("a"), F.col("centre").alias("b"), (F.col("limit") - F.col("s")).alias("spare"))
+    entries = rows.select("main", "node", "root", "d", "s", "limit", F.explode("apart").alias("e"))
+    common = entries.groupBy("main", "e").agg(F.count("*").alias("n")).where("n > 1")  # what one entry alone has comes first in its order and is shared with none
+    shared = entries.join(common, ["main", "e"])
+    own = Window.partitionBy("main", "node").orderBy("n", "e")
+    # rest: an entry's elements from this one on.
+    ranked = shared.withColumn("rest", F.count("*").over(Window.partitionBy("main", "node")) - F.row_number().over(own) + 1)
+    ranked = materialize(ranked, "near-differences")
+    least = (F.greatest("s", "limit") + F.col("s")) / 2
+    some = lambda m: F.col("rest") >= F.greatest(F.lit(1), F.ceil(m - eps))
+    side = lambda df, n: df.select("main", "e", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "s", "rest")))
+    low, high = side(ranked.where(some(least)), "a"), side(ranked.where((F.col("s") > F.col("limit")) & some((F.col("s") - F.col("limit")) / (1 + b))), "b")
+    spare = F.least("rest_a", "rest_b") - (F.col("s_a") + F.col("s_b")) / 2
+    meet = (low["main"] == high["main"]) & (low["e"] == high["e"]) & (F.col("root_a") != F.col("root_b")) & (F.struct("s_a", "node_a") < F.struct("s_b", "node_b")) & (spare >= -eps)
+    met = low.join(high, meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), spare.alias("spare")).unionByName(direct)
+    return met.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("spare").cast("int").alias("tally"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -293,7 +336,7 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     edges = linked(pairs, None)
     roots = materialize(connected_components(edges), "near-roots")
     # Pairs that were checked already and aren't alike enough needn't be checked again.
-    left = near_leftovers(long_, roots).join(pairs, ["u", "v"], "left_anti")
+    left = near_leftovers(long_, roots, texts, width, similarity).join(pairs, ["u", "v"], "left_anti")
     edges = linked(materialize(left, "near-leftovers"), edges)
     return _named(rows.select("doc_id", "th", "node"), edges, "node").select("doc_id", "th", "root", "component_id")
 

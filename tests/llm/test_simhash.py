@@ -160,6 +160,30 @@ def test_sparse_groups_of_one_template(spark, n, least):
     assert of > n / 4 and met >= least * of
 
 
+def test_leftovers_of_a_template_are_few(spark, monkeypatch):
+    """0 to 8 of 150 words of a template are replaced, now and then by the same words: all pairs of similarity 0.8 are joined, though far fewer than all pairs are compared."""
+    rng = random.Random(31)
+    words, texts, n = [f"w{rng.randrange(5000)}" for _ in range(150)], [], 600
+    edits = [(i, f"y{i}") for i in rng.sample(range(150), 40)]
+    for _ in range(n):
+        own = list(words)
+        for i in rng.sample(range(150), rng.randrange(9)):
+            own[i] = f"x{rng.randrange(10**6)}"
+        for i, word in rng.sample(edits, rng.choice([0, 0, 3, 6])):
+            own[i] = word
+        texts.append(" ".join(own))
+    made, write = {}, simhash.materialize
+
+    def counted(df, name, *by):
+        made[name] = (out := write(df, name, *by)).count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    met, of = near_recall(spark, texts)
+    assert of > n and met == of
+    assert made["near-leftovers"] < 8 * n
+
+
 def test_rows_that_differ_in_other_columns_alone(spark):
     """Of repeated ids and texts the least row stays, however the table is dealt."""
     rows = [(1, "a text of some words here", lang, source, n) for n, (lang, source) in enumerate([("no", "b"), ("en", "z"), ("en", "a"), (None, "a")])]
