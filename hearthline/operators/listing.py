@@ -98,7 +98,7 @@ def _name_index(rows: DataFrame) -> DataFrame:
 
 def json_addresses(rows: DataFrame, key: str) -> DataFrame:
     """Candidates of "adresse": street, postcode and town of each object that names a street; of repeated keys the last counts."""
-    own = rows.where((F.col("source") == JSON_KEY) & F.col("together").isin(*STREET, *POSTCODE, *TOWN))
+    own = rows.where((F.col("source") == JSON_KEY) & F.col("together").isin(*STREET, *POSTCODE, *TOWN)).repartition(key)
     last = lambda names: F.max_by(F.coalesce(F.trim("value"), F.lit("")), F.when(F.col("together").isin(*names), F.col("pos")))
     objects = own.groupBy(key, "obj").agg(last(STREET).alias("street"), F.nullif(last(POSTCODE), F.lit("")).alias("code"), F.nullif(last(TOWN), F.lit("")).alias("town")).where("street <> ''")
     value = F.concat_ws(", ", "street", F.nullif(F.concat_ws(" ", "code", "town"), F.lit("")))
@@ -108,7 +108,7 @@ def json_addresses(rows: DataFrame, key: str) -> DataFrame:
 def json_showings(rows: DataFrame, key: str) -> DataFrame:
     """Candidates of "visningstidspunkter": start/end of every object with a key of viewings or showings, from its keys that hold a date, each once."""
     at, dated = F.col("together"), F.col("value").rlike(_ISO) | F.col("number")
-    own = rows.where((F.col("source") == JSON_KEY) & (at.rlike("viewing|showing") | (dated & F.col("value").isNotNull())))
+    own = rows.where((F.col("source") == JSON_KEY) & (at.rlike("viewing|showing") | (dated & F.col("value").isNotNull()))).repartition(key)
     when = lambda x: F.when(dated & x, F.col("pos"))
     start = F.coalesce(F.max_by("value", when(at.rlike(START))), F.min_by("value", when(~at.rlike(f"{START}|{END}"))))
     objects = own.groupBy(key, "obj").agg(F.bool_or(at.rlike("viewing|showing")).alias("shown"), start.alias("start"), F.max_by("value", when(~at.rlike(START) & at.rlike(END))).alias("end"))
@@ -142,7 +142,8 @@ def key_numbers(pages: DataFrame, key: str, found: str = "entries", pairs: str =
     text = clean(F.col("value"), "text")
     for kind, names in kinds.items():
         text = F.when(F.col("field").isin(*names), clean(F.col("value"), kind, F.col("number"))).otherwise(text) if kind != "text" else text
-    told = _best(every, key).select(key, F.struct("field", text.alias("value")).alias("e")).groupBy(key).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    # A page has one or two candidates of a field, so summing up before rows are dealt saves nothing: dealt by page once, they are sorted once.
+    told = _best(every.repartition(key), key).select(key, F.struct("field", text.alias("value")).alias("e")).groupBy(key).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
     return told.select(key, F.create_map(*(x for name, *_ in FIELDS for x in (F.lit(name), F.try_element_at("m", F.lit(name))))).alias("key_numbers"))
 
 

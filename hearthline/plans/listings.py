@@ -174,7 +174,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = F.array(pair("adresse", F.lit(" Veien 1 ")), pair("pris", money), pair("felleskost mnd", F.when(k % 7 != 0, F.concat((k % 9000).cast("string"), F.lit(" kr")))), pair("bruksareal", F.concat((k % 200).cast("string"), F.lit(",50 m²"))),
                     pair("byggear", F.concat(F.lit("ca. "), (k % 100 + 1900).cast("string"))), pair("energi merking", F.when(k % 2 == 1, F.lit("C - gul"))))
-    o = read(spark, sf_dir, "orders").select(_K, F.concat(F.lit("https://x.no/ad/"), (k + 1_000_000).cast("string")).alias("url"), found.alias("entries"), pairs.alias("pairs"))
+    o = staging.spread(read(spark, sf_dir, "orders").select(_K), _K).select(_K, F.concat(F.lit("https://x.no/ad/"), (k + 1_000_000).cast("string")).alias("url"), found.alias("entries"), pairs.alias("pairs"))
     return listing.key_numbers(o, _K)
 
 

@@ -1,6 +1,7 @@
 """Joins by blocks, cells, grams and spans against all pairs, and plans without nested loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,10 @@ def test_estimates_of_many_moments_equal_single_ones(spark):
 def test_no_nested_loops(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_candidates_are_dealt_by_page_once(spark):
+    """Best candidates and a page's fields come from one exchange by the page; orders of one small file are dealt over all cores."""
+    df = catalog.QUERIES["key_numbers"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and not re.search(r"Exchange hashpartitioning\(o_orderkey#\d+L, (field|obj)#", plan)
