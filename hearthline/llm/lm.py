@@ -31,6 +31,7 @@ result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -131,30 +132,45 @@ class Vocabulary:
         return Codes()
 
 
-def _stream(texts: list[bytes], codes: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All words; the stream of codes (two ends, the words, an end, for each text); where its tokens are; tokens of each text."""
+class Coder:
+    """Numbers of the head words, and codes of all words, by one look-up each; the rest is hashed."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        codes, self.first, self.shared, self.size = vocabulary.codes(), len(vocabulary.top), vocabulary.shared, vocabulary.size
+        self.number = {w: i for i, w in enumerate(vocabulary.head)}
+        self.head_codes, self.end = np.fromiter(map(codes.__getitem__, vocabulary.head), np.int64, len(self.number)), codes[END]
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """For each word its number, or -1, and its code; the words without a number."""
+        number = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        rest = number < 0
+        rare = list(itertools.compress(words, rest.tolist()))
+        crc = np.fromiter(map(zlib.crc32, rare), np.int64, len(rare))
+        code = np.append(self.head_codes, 0)[number]
+        code[rest] = (self.first + crc % self.shared) * self.size + crc // self.shared % self.size
+        return number, code, rare
+
+
+def _stream(texts: list[bytes], coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The stream of codes (two ends, the words, an end, for each text); where its tokens are; tokens of each text; the words' numbers; the words without one."""
     split = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    words = [w for own in split for w in own]
-    stream = np.full(len(words) + 3 * len(texts), codes[END], np.int64)
-    token = np.ones(len(stream), bool)
-    begin = np.cumsum(sizes + 3) - (sizes + 3)
-    token[begin] = token[begin + 1] = False
-    word_at = token.copy()
-    word_at[begin + sizes + 2] = False
-    stream[word_at] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-    return words, stream, np.flatnonzero(token), sizes + 1
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    number, code, rare = coder(list(itertools.chain.from_iterable(split)))
+    stream = np.full(len(number) + 3 * len(texts), coder.end, np.int64)
+    stream[np.arange(len(number)) + np.repeat(3 * np.arange(len(texts)) + 2, sizes)] = code
+    at = np.arange(len(number) + len(texts)) + np.repeat(2 * np.arange(len(texts)) + 2, sizes + 1)
+    return stream, at, sizes + 1, number, rare
 
 
 def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """All texts as streams of codes of bounded length: two -1 before each text, an end after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = vocabulary.codes()
+        coder = Coder(vocabulary)
         for b in slices(batches, 0):
             rows = as_bytes(b.column(0))
             for i, j in chunks(rows, STREAM_BYTES):
-                _, s, at, _ = _stream(rows[i:j], codes)
+                s, at, *_ = _stream(rows[i:j], coder)
                 out = np.full(len(s), -1, np.int32)
                 out[at] = s[at]
                 yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["stream"])
@@ -162,16 +178,25 @@ def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return texts.mapInArrow(run, "stream binary")
 
 
-def _sum_rows(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers of `at`, and for each the sum of its rows of x."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at[start], np.add.reduceat(x[order], start, axis=0)
+def _sum_rows(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """For each number below size the sum of the rows of x whose `at` it is."""
+    width = x.shape[1]
+    out = np.zeros(size * width, x.dtype)
+    np.add.at(out, ((at * width)[:, None] + np.arange(width)).ravel(), x.ravel())  # fast in one dimension only
+    return out.reshape(size, width)
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    """Small numbers in two bytes, which are sorted by radix."""
+    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * z)  # no overflow
+    """In place; the reciprocal of infinity is zero."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -205,53 +230,62 @@ class LogBilinear:
         self.squares = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
         self.seen = 0
 
-    def _move(self, name: str, at, grad: np.ndarray, rate: float) -> None:
-        squares = self.squares[name][at] + grad * grad
-        self.squares[name][at] = squares
-        self.p[name][at] -= np.float32(rate) * grad / np.sqrt(squares)
+    def _move(self, name: str, grad: np.ndarray, rate: float) -> None:
+        squares = self.squares[name]
+        squares += grad * grad
+        self.p[name] -= np.float32(rate) * grad / np.sqrt(squares)
 
     def _runs(self, group: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Each group that the sorted numbers hold, with where its run begins and ends."""
-        own, start = np.unique(group, return_index=True)
-        return zip(own.tolist(), start.tolist(), [*start[1:].tolist(), len(group)], strict=True)
+        cut = np.searchsorted(group, np.arange(len(self.begin))).tolist()
+        return ((k, i, j) for k, (i, j) in enumerate(itertools.pairwise(cut)) if i < j)
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: int = 64, inner: int = 32, rate: float = 0.05) -> None:
-        """One minibatch, by noise-contrastive estimation at both levels; the batch shares the noise groups, a group's tokens its noise classes."""
-        order = np.argsort(self.group[w], kind="stable")
+        """One minibatch, by noise-contrastive estimation at both levels; the batch shares the noise groups, a group's tokens its noise classes.
+
+        Draws of one class are alike, so a score counts as often as it was drawn. Rows of R and S meet A and B before
+        they are looked up and after their gradients are summed, so a token costs look-ups, not products.
+        """
+        order = np.argsort(_short(self.group[w]), kind="stable")
         u, v, w = u[order], v[order], w[order]
         p, c, group, n = self.p, self.size, self.group[w], np.float32(1 / len(w))
-        ru, rv = (p["R"][x // c] + p["S"][x % c] for x in (u, v))
-        context = ru @ p["A"] + rv @ p["B"]
-
-        def contrast(h: np.ndarray, real_at: np.ndarray, fake_at: np.ndarray, names: str, shift: np.ndarray) -> tuple[np.ndarray, ...]:
-            vector, bias = p[names[0]], p[names[1]]
-            own, other = vector[real_at], vector[fake_at]
-            true = (_sigmoid((h * own).sum(axis=1) + bias[real_at] - shift[real_at]) - 1) * n
-            false = _sigmoid(h @ other.T + bias[fake_at] - shift[fake_at]) * n
-            return true, false, true[:, None] * own + false @ other
+        ends = [("R", "A", u // c), ("S", "A", u % c), ("R", "B", v // c), ("S", "B", v % c)]
+        context = sum((p[x] @ p[k]).take(at, axis=0) for x, k, at in ends)
+
+        def contrast(h: np.ndarray, real: np.ndarray, drawn: np.ndarray, vector: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, ...]:
+            """How far each row's h moves each of the vectors, by the times that each was drawn; the gradients of h, the vectors and the biases."""
+            off = h @ vector.T
+            off += bias
+            _sigmoid(off)
+            rows = np.arange(len(h))
+            true = off[rows, real] - 1
+            off *= drawn
+            off[rows, real] += true
+            off *= n
+            return off @ vector, off.T @ h, off.sum(axis=0)
 
         # Groups: the batch's against noise groups.
-        fake = np.minimum(np.searchsorted(self.group_draw, self.rng.random(noise)), len(self.group_draw) - 1)
-        true, false, back = contrast(context, group, fake, "Gg", self.group_noise + np.float32(np.log(noise)))
-        ends = np.concatenate([group, fake])
-        moves = [("G", *_sum_rows(ends, np.concatenate([true[:, None] * context, false.T @ context]))), ("g", *_sum_rows(ends, np.concatenate([true, false.sum(axis=0)])))]
+        count = lambda drawn, size: np.bincount(drawn, minlength=size).astype(np.float32)
+        groups = len(self.group_draw)
+        fake = np.minimum(np.searchsorted(self.group_draw, self.rng.random(noise)), groups - 1)
+        back, *moved = contrast(context, group, count(fake, groups), p["G"], p["g"] - self.group_noise - np.float32(np.log(noise)))
+        moves = [("G", moved[0]), ("g", moved[1])]
         # Classes: each token's against noise classes of its group.
-        shift = self.class_noise + np.float32(np.log(inner))
-        true, at, vectors, biases = np.empty(len(w), np.float32), [w], [], []
-        for k, i, j in self._runs(group):
-            first, end = self.begin[k], self.begin[k + 1]
-            fake = np.clip(np.searchsorted(self.class_draw, k + self.rng.random(inner)), first, end - 1)
-            true[i:j], false, moved = contrast(context[i:j], w[i:j], fake, "Qb", shift)
+        shifted = p["b"] - self.class_noise - np.float32(np.log(inner))
+        vectors, biases = np.zeros_like(p["Q"]), np.zeros_like(p["b"])
+        runs = list(self._runs(group))
+        met = np.array([k for k, _, _ in runs])[:, None]
+        drawn = count(np.clip(np.searchsorted(self.class_draw, met + self.rng.random((len(met), inner))), self.begin[met], self.begin[met + 1] - 1).ravel(), c)
+        for k, i, j in runs:
+            own = slice(self.begin[k], self.begin[k + 1])
+            moved, vectors[own], biases[own] = contrast(context[i:j], w[i:j] - own.start, drawn[own], p["Q"][own], shifted[own])
             back[i:j] += moved
-            at.append(fake)
-            vectors.append(false.T @ context[i:j])
-            biases.append(false.sum(axis=0))
-        ends = np.concatenate(at)
-        moves += [("Q", *_sum_rows(ends, np.concatenate([true[:, None] * context, *vectors]))), ("b", *_sum_rows(ends, np.concatenate([true, *biases])))]
-        both, rows = np.concatenate([u, v]), np.concatenate([back @ p["A"].T, back @ p["B"].T])
-        moves += [("R", *_sum_rows(both // c, rows)), ("S", *_sum_rows(both % c, rows)), ("A", slice(None), ru.T @ back), ("B", slice(None), rv.T @ back)]
-        for name, at, grad in moves:
-            self._move(name, at, grad, rate)
+        moves += [("Q", vectors), ("b", biases)]
+        sums = [(x, k, _sum_rows(at, back, c)) for x, k, at in ends]
+        moves += [(x, sum(g @ p[k].T for y, k, g in sums if y == x)) for x in "RS"]
+        moves += [(k, sum(p[x].T @ g for x, y, g in sums if y == k)) for k in "AB"]
+        for name, grad in moves:
+            self._move(name, grad, rate)
         self.seen += len(w)
 
     def scorer(self):
@@ -262,15 +296,18 @@ class LogBilinear:
         def score(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
             out = np.empty(len(w))
             for n in range(0, len(w), CONTEXTS):
-                own = n + np.argsort(self.group[w[n : n + CONTEXTS]], kind="stable")
+                own = n + np.argsort(_short(self.group[w[n : n + CONTEXTS]]), kind="stable")
                 x, y, z = u[own], v[own], w[own]
-                context, group = r["A"][0][x // c] + r["A"][1][x % c] + r["B"][0][y // c] + r["B"][1][y % c], self.group[z]
-                scores = context @ p["G"].T + p["g"]
-                part = scores[np.arange(len(z)), group] - _log_sum(scores)
+                group, rows = self.group[z], np.arange(len(z))
+                context = sum(r[k][half].take(at, axis=0) for k, code in (("A", x), ("B", y)) for half, at in enumerate((code // c, code % c)))
+                scores = context @ p["G"].T
+                scores += p["g"]
+                part = scores[rows, group] - _log_sum(scores)
                 for k, i, j in self._runs(group):
                     first, end = self.begin[k], self.begin[k + 1]
-                    scores = context[i:j] @ p["Q"][first:end].T + p["b"][first:end]
-                    part[i:j] += scores[np.arange(j - i), z[i:j] - first] - _log_sum(scores)
+                    scores = context[i:j] @ p["Q"][first:end].T
+                    scores += p["b"][first:end]
+                    part[i:j] += scores[rows[: j - i], z[i:j] - first] - _log_sum(scores)
                 out[own] = part
             return out / np.log(10)
 
@@ -337,41 +374,30 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     model = train_model(train, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, codes, top, head = model.scorer(), vocabulary.codes(), vocabulary.top, vocabulary.head
-        number = {w: i for i, w in enumerate(head)}
+        score, coder, top, head = model.scorer(), Coder(vocabulary), vocabulary.top, vocabulary.head
         log_c = np.append(np.log10(np.fromiter(head.values(), float, len(head)) + 0.5), 0.0)
-        is_top = np.append(np.fromiter((w in top for w in head), bool, len(head)), False)
+        log_rest = np.where(np.append(np.fromiter((w in top for w in head), bool, len(head)), False), 0.0, log_c)  # top words are classes of their own
         share = np.log10(vocabulary.class_mass)
-        end = log_c[number[END]] if END in number else np.log10(0.5)
+        end, has_end = log_c[coder.number[END]] if END in head else np.log10(0.5), END in head
         for b in slices(batches, 2):
-            rows, ids, hashes = as_bytes(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
+            rows = as_bytes(b.column(2))
             for i, j in chunks(rows):
-                words, s, at, sizes = _stream(rows[i:j], codes)
-                stop = np.cumsum(sizes)
-                logp = score(s[at - 2], s[at - 1], s[at] // vocabulary.size) - share[s[at] // vocabulary.size]
-                lm = np.add.reduceat(logp, stop - sizes)
-                which = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+                s, at, sizes, number, rare = _stream(rows[i:j], coder)
+                klass = s[at] // vocabulary.size
+                lm = np.add.reduceat(score(s[at - 2], s[at - 1], klass) - share[klass], np.cumsum(sizes) - sizes)
                 doc = np.repeat(np.arange(j - i), sizes - 1)
                 by_doc = lambda x: np.bincount(doc, x, minlength=j - i)  # noqa: E731, B023
-                known, base = by_doc(which >= 0), by_doc(log_c[which])
-                rest = by_doc(np.where(is_top[which], 0.0, log_c[which]))
-                has_end = END in number
-                out = {k: [] for k in _ROWS.names}
-
-                def add(**row):
-                    for k, v in row.items():
-                        out[k].append(v)  # noqa: B023
-
-                rare = np.flatnonzero(which < 0)
-                cut = np.searchsorted(doc[rare], np.arange(j - i + 1))
-                for d in range(j - i):
-                    name = {"doc_id": ids[i + d], "th": hashes[i + d]}
-                    # The text's own row; its word holds a space, so no word joins it.
-                    mark = b" " + str(name).encode()
-                    add(**name, word=mark, tf=0, tokens=int(sizes[d]), known=int(known[d]) + has_end, base=base[d] + end, model=lm[d] + rest[d])
-                    for w, tf in Counter([words[x] for x in rare[cut[d] : cut[d + 1]]]).items():
-                        add(**name, word=w, tf=tf, tokens=None, known=0, base=0.0, model=0.0)
-                yield pa.RecordBatch.from_pydict(out, schema=_ROWS)
+                # A text's own row, whose word holds a space, so no word joins it; then a row for each of its rare words.
+                own, extra = pa.table([b.column(x).slice(i, j - i) for x in (0, 1)], ["doc_id", "th"]), Counter(zip(doc[number < 0].tolist(), rare, strict=True))
+                at_doc, n = np.append(np.arange(j - i), np.fromiter((d for d, _ in extra), np.int64, len(extra))), len(extra)
+                marks = [f" {x} {y}".encode() for x, y in zip(*(x.to_pylist() for x in own.columns), strict=True)]
+                zeros = lambda x: pa.array(np.append(x, np.zeros(n, x.dtype)))  # noqa: E731, B023
+                table = own.take(pa.array(at_doc)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([
+                    *(x.combine_chunks() for x in table.columns), pa.array([*marks, *(w for _, w in extra)], pa.binary()),
+                    pa.array(np.append(np.zeros(j - i, np.int64), np.fromiter(extra.values(), np.int64, n))), pa.array(np.append(sizes, np.zeros(n, np.int64)), mask=np.arange(n + j - i) >= j - i),
+                    zeros(by_doc(number >= 0).astype(np.int64) + has_end), zeros(by_doc(log_c[number]) + end), zeros(lm + by_doc(log_rest[number])),
+                ], schema=_ROWS)
 
     parts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, _ROWS_SQL)
     met = parts.join(counts, "word", "left")
